@@ -26,7 +26,7 @@ PART_BYTES = 16 << 20
 
 _WORD_BYTES = frozenset([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _NORMAL = bytes((b + 32 if 0x41 <= b < 0x5B else b) if b in _WORD_BYTES else 0x20 for b in range(256))
-_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORDS = re.compile(rb"[^ ]+")
 
 SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
 PART_SCHEMA = "doc_id long, text string, ranges array<array<long>>, item_ids array<string>"
@@ -115,7 +115,7 @@ def _characters(text: str, ranges: list[list[int]]) -> list[dict[str, int]]:
     if not ranges:
         return []
     raw = text.encode()
-    at = [m.span() for m in _WORDS.finditer(raw)]
+    at = [m.span() for m in _WORDS.finditer(raw.translate(_NORMAL))]
     spans, seen, chars = [], 0, 0
     for first, last in ranges:
         ends = []
