@@ -64,3 +64,22 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def documents(df: DataFrame, *columns: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the columns an operator needs, so that extra columns can't clash with its own."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *columns)
+
+
+def most_frequent(counts: DataFrame, words: int) -> list[tuple[str, int]]:
+    """About the ``words`` most frequent rows of (word, n), never more: whole steps of frequency, so no tie is cut.
+
+    Frequencies are tallied in steps of a sixteenth of a power of two first; only words above the step at
+    which the list would grow too long come to the driver.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    tally = sorted(counts.select(step).groupBy("step").count().collect(), reverse=True)
+    total, least = 0, None
+    for s, n in tally:
+        total += n
+        if total > words:
+            break
+        least = s
+    if least is None:
+        return []
+    return sorted(((r["word"], r["n"]) for r in counts.filter(F.floor(F.log2("n") * 16) >= least).select("word", "n").collect()), key=lambda r: (-r[1], r[0]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, suffix_dedup, token_counts, warc
+from . import bpe, decontaminate, html_text, line_dedup, lm, near_dedup, quality, suffix_dedup, token_counts, warc
 from .common import table
 
 #: The tokenizer's file, on the driver; a parameter of the operators.
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,7 +61,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_roundtrip, op3_repeated_passages, op4_line_dedup, op5_warc, op6_quality_rules, op7_decontaminate, op8_token_counts, op9_near_dedup, op10_main_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_roundtrip, op3_repeated_passages, op4_line_dedup, op5_warc, op6_quality_rules, op7_decontaminate, op8_token_counts, op9_near_dedup, op10_main_text)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
