@@ -319,7 +319,7 @@ def _counts(vocabulary):
 
 
 def lexicon(docs: DataFrame, vocabulary_json: str, words: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the most frequent words of all texts; ties go to the word that sorts first."""
+    """The transducer of the most frequent words of all texts."""
     spark = docs.sparkSession
     counted = arrow_map(docs.select(F.col("text").cast("string").alias("text")), _counts(spark.sparkContext.broadcast(vocabulary_json)), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
@@ -341,11 +341,16 @@ def encode(docs: DataFrame, path: str, compiled: bytes | None = None, words: int
     def run(batches):
         encoder = Encoder(Vocabulary(vocabulary.value), lex.value)
         for b in batches:
-            yield batch(_IDS, b["doc_id"], [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(texts(b["text"]))])
+            yield batch(_IDS, b["doc_id"], _lists(encoder.encode(texts(b["text"]))))
 
     return arrow_map(documents(docs), run, SCHEMA)
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of ids; null ids are an empty text."""
     with open(path, encoding="utf-8") as f:
@@ -360,14 +365,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return arrow_map(encoded.select(F.col("doc_id").cast("long"), "ids"), run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str, compiled: bytes | None = None, words: int = LEXICON_WORDS) -> DataFrame:
-    """Encodes every text, decodes its ids again, and returns counts and digests of both in one pass."""
+def digests(docs: DataFrame, path: str, compiled: bytes | None = None, words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
+    """Encodes every text, decodes its ids again, and returns counts and digests of both, and the ids if asked, in one pass."""
     vocabulary, lex = _load(docs, path, compiled, words)
+    schema = pa.schema([*_DIGESTS, pa.field("ids", pa.list_(pa.int32()))]) if with_ids else _DIGESTS
 
     def run(batches):
         encoder = Encoder(Vocabulary(vocabulary.value), lex.value)
         for b in batches:
             ids = encoder.encode(texts(b["text"]))
-            yield batch(_DIGESTS, b["doc_id"], [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids])
+            lists = [_lists(ids)] if with_ids else []
+            yield batch(schema, b["doc_id"], [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids], *lists)
 
-    return arrow_map(documents(docs), run, DIGEST_SCHEMA)
+    return arrow_map(documents(docs), run, DIGEST_SCHEMA + (", ids array<int>" if with_ids else ""))

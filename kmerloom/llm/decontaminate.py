@@ -10,7 +10,6 @@ window; repeated items keep their own ids and both count; repeated documents eac
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import ahocorasick
@@ -133,18 +132,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, par
     Items go to the executors in parts of about ``part_bytes`` of text, each part one automaton. With one
     part (any usual benchmark) a document is scanned once; else once per part. Nothing is shuffled.
     """
-    spark = docs.sparkSession
     out = documents(docs)
+    every = _parts(benchmark, part_bytes)
+    for i, patterns in enumerate(every):
+        last = i == len(every) - 1
+        out = arrow_map(out, _map(patterns, size, last), SCHEMA if last else PART_SCHEMA)
+    return out
+
+
+def _parts(benchmark: DataFrame, part_bytes: int) -> list:
+    """Broadcasts of (item_id, text), as many as keep each near ``part_bytes`` of text; one at least."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // part_bytes) or 1
-    for part in range(parts):
-        chosen = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        patterns = spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
-        last = part == parts - 1
-        out = arrow_map(out, _map(patterns, size, last), SCHEMA if last else PART_SCHEMA)
-    return out
+    chosen = [items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) for part in range(parts)]
+    return [benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in c.collect()]) for c in chosen]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows, whole, of documents that hold no window of any item."""
+    for patterns in _parts(benchmark, part_bytes):
 
+        def run(batches, patterns=patterns):
+            automaton = build(patterns.value, size)
+            for b in batches:
+                if b.num_rows:
+                    yield b.filter(pa.array([not (automaton and (found := words(t)) and scan(automaton, found)[0]) for t in texts(b["text"])]))
 
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        docs = arrow_map(docs, run, docs.schema)
+    return docs

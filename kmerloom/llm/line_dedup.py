@@ -234,6 +234,30 @@ def line_dedup(docs: DataFrame, digests: bool = False, filter_bytes: int = FILTE
     return apply_drops(docs, drops(docs, repeated, _broadcast_filters(docs.sparkSession, filters, filter_bytes)), digests)
 
 
+def clean_text(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """The rows, whole, with the text that stays; ``n_chars``, where there is one, counts it again. Null texts stay null."""
+    repeated = keep(reference_counts(postings(docs)).filter("owner < last"), "line-counts")
+    filters = keep(build_filters(repeated), "line-filters")
+    dropped = drops(docs, repeated, _broadcast_filters(docs.sparkSession, filters, filter_bytes)).withColumnsRenamed({"doc_id": "__id", "keys": "__keys"})
+    names = docs.columns
+    joined = docs.join(dropped.hint("shuffle_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("__id"), "left").drop("__id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = b.select(names)
+            text = []
+            for own, keys in zip(b["text"].to_pylist(), b["__keys"].to_pylist(), strict=True):
+                gone = {struct.pack("<qq", k["k1"], k["k2"]) for k in keys or ()}
+                text.append(b"\n".join(x for x in own.encode().split(b"\n") if line_key(x) not in gone).decode() if own and gone else own)
+            out = out.set_column(names.index("text"), "text", pa.array(text, out.schema.field("text").type))
+            if "n_chars" in names:
+                kind = out.schema.field("n_chars").type
+                out = out.set_column(names.index("n_chars"), "n_chars", pa.array([None if t is None else len(t) for t in text], kind))
+            yield out
+
+    return arrow_map(joined, run, docs.schema)
+
+
 class LineStore:
     """An incremental index: postings, reference counts and filters, each version a set of tables in the shared folder."""
 

@@ -250,3 +250,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sketched.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
     null = lambda c: F.when(F.col(c) < NULL_ID, F.col(c)).alias(c)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select(null("doc_id"), "n_shingles", null("component_id"), "kept")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, whole, of the document with the smallest id of each group; documents without words all stay."""
+    stay = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")

@@ -202,3 +202,18 @@ def judge(docs: DataFrame, trees: Trees | None, keep: float = KEEP) -> DataFrame
 
 def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep: float = KEEP) -> DataFrame:
     return judge(docs, train(docs, labels, rows), keep)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, keep: float = KEEP) -> DataFrame:
+    """The rows, whole, of documents that pass the base rules and the trees."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+
+    def run(batches):
+        for b in batches:
+            found = [statistics(t) for t in texts(b["text"])]
+            if found:
+                x = np.array([f for _, f in found], float)
+                p = model.value.probability(x) if model.value is not None else np.ones(len(found))
+                yield b.filter(pa.array([bool(q >= keep) and not base_fails(s[0], s[4]) for (s, _), q in zip(found, p, strict=True)]))
+
+    return arrow_map(docs, run, docs.schema)
