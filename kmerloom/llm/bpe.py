@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, documents, texts
+from .common import arrow_map, batch, documents, keep, most_frequent, texts
 
 #: Words in the lexicon: bounds the broadcast to a few MB.
 LEXICON_WORDS = 60_000
@@ -322,8 +322,8 @@ def lexicon(docs: DataFrame, vocabulary_json: str, words: int = LEXICON_WORDS) -
     """The transducer of the most frequent words of all texts."""
     spark = docs.sparkSession
     counted = arrow_map(docs.select(F.col("text").cast("string").alias("text")), _counts(spark.sparkContext.broadcast(vocabulary_json)), "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    frequent = [r[0].encode() for r in top]
+    counts = keep(counted.groupBy("word").agg(F.sum("n").alias("n")), "bpe-counts")
+    frequent = [w.encode() for w, _ in most_frequent(counts, words)]
     return compile_lexicon(dict(zip(frequent, Vocabulary(vocabulary_json).merge(frequent), strict=True)))
 
 
