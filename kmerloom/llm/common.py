@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -35,12 +36,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/kmerloom/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, lost executors don't matter."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends there, lost executors don't matter.
+
+    Shuffle files behind the table are of no more use; a collection of garbage lets Spark remove them.
+    """
+    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    del df
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out.__dict__["kept_in"] = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of keep() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.__dict__["kept_in"])
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

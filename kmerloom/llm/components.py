@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     e = keep(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(most):
-        e = keep(_small(_large(e)), "links")
+        last, e = e, keep(_small(_large(e)), "links")
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,7 +9,7 @@ and equal, and pairs that may reach the threshold are verified on the full sets.
 
 Pairs within a bucket are not listed: first each member is held against the bucket's smallest document.
 Only where that leaves a bucket's members in several components are pairs from different components
-listed, unless their estimate rules them out. A pair at the threshold shares no band, and so is missed,
+listed, unless their estimate or their smallest hashes rule them out. A pair at the threshold shares no band, and so is missed,
 with a chance of 5e-6.
 
 Defined results: null, empty and wordless texts have no shingles and stand alone; one to four words are
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, documents, keep, texts
+from .common import arrow_map, batch, discard, documents, keep, texts
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
@@ -36,6 +36,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose estimate is lower by more than five standard deviations than the threshold aren't verified.
 LEAST_ESTIMATE = THRESHOLD / 100 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
+#: As many registers at least are equal in pairs that such an estimate allows.
+LEAST_EQUAL = int((LEAST_ESTIMATE - 0.04) * REGISTERS)
+#: Smallest shingle hashes that pairs of different components are held against each other by.
+BOTTOM = 512
 #: Members of a bucket that are compared in one task; larger buckets are compared block by block.
 BLOCK = 2000
 SALTS = 16
@@ -132,8 +136,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(bucket, doc_id, n): a row for each band."""
-    schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+    """(bucket, band, doc_id, n): a row for each band."""
+    schema = pa.schema([("bucket", pa.int64()), ("band", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,9 +146,9 @@ def bands(reps: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 key = _mixed(key * _STEP + r[:, :, k])
             ids, n = (np.repeat(b[c].to_numpy(zero_copy_only=False), BANDS) for c in ("doc_id", "n"))
-            yield batch(schema, pa.array(key.ravel().astype(np.int64)), pa.array(ids), pa.array(n))
+            yield batch(schema, key.ravel().astype(np.int64), np.tile(np.arange(BANDS, dtype=np.int8), len(r)), ids, n)
 
-    return arrow_map(reps.select("doc_id", "n", "registers"), run, "bucket long, doc_id long, n long")
+    return arrow_map(reps.select("doc_id", "n", "registers"), run, "bucket long, band tinyint, doc_id long, n long")
 
 
 def _near(a: str, b: str) -> str:
@@ -203,11 +207,38 @@ def star_pairs(banded: DataFrame) -> DataFrame:
     return banded.join(heads, "bucket").filter("doc_id > u").filter(_near("n", "nu")).select("u", F.col("doc_id").alias("v")).distinct()
 
 
-def cross_pairs(banded: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components that their registers allow. found: (node, component)."""
+def smallest(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and the smallest BOTTOM shingle hashes, in order: all of them for most documents."""
+    schema = pa.schema([("doc_id", pa.int64()), ("bottom", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for b in batches:
+            yield batch(schema, b["doc_id"], [shingler.shingles(t)[:BOTTOM].tobytes() for t in texts(b["text"])])
+
+    return arrow_map(held.join(ids, "doc_id", "left_semi").select("doc_id", "text"), run, "doc_id long, bottom binary")
+
+
+def bottom_similarity(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, float]:
+    """The similarity that the smallest hashes say, and the least that a pair at the threshold shows: exact for small sets."""
+    common = np.intersect1d(a, b, assume_unique=True)
+    if n_a <= BOTTOM and n_b <= BOTTOM:
+        return len(common) / max(1, n_a + n_b - len(common)), THRESHOLD / 100 - 1e-12
+    union = np.union1d(a, b)[:BOTTOM]
+    return np.searchsorted(common, union[-1], "right") / len(union), THRESHOLD / 100 - 5 * (0.75 * 0.25 / len(union)) ** 0.5
+
+
+def cross_pairs(banded: DataFrame, reps: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of one bucket and different components that neither registers nor smallest hashes rule out. found: (node, component).
+
+    A pair is looked at in the first band that it shares. Sets of up to BOTTOM shingles are compared exactly,
+    so of a group that hangs together only as many pairs are listed as tie it up.
+    """
     of = banded.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high").select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    inside = of.join(mixed, "bucket").join(reps.select("doc_id", "registers"), "doc_id")
+    members = keep(of.join(mixed, "bucket"), "near-mixed")
+    sets = smallest(held, members.select("doc_id").distinct())
+    inside = members.join(reps.select("doc_id", "registers").join(sets, "doc_id"), "doc_id")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = inside.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
@@ -215,17 +246,30 @@ def cross_pairs(banded: DataFrame, reps: DataFrame, found: DataFrame) -> DataFra
         import pandas as pd
 
         p = p.sort_values("doc_id")
-        ids, n, part, own = (p[c].to_numpy() for c in ("doc_id", "n", "component", "own"))
+        ids, n, part, own = (p[c].to_numpy().copy() for c in ("doc_id", "n", "component", "own"))
         r = np.frombuffer(b"".join(p["registers"]), np.uint16).reshape(-1, REGISTERS)
-        low, high = int(p["low"].iloc[0]), int(p["high"].iloc[0])
+        bands_of = r.view(np.uint64)  # a band's four registers as one number
+        sets = [np.frombuffer(x, np.uint64) for x in p["bottom"]]
+        band, one_block = int(p["band"].iloc[0]), p["low"].iloc[0] == p["high"].iloc[0]
         us, vs = [], []
         for i in range(len(ids)):
             j = np.arange(i + 1, len(ids))
-            j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i])) & ((low == high) | (own[j] != own[i]))]
+            j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i])) & (one_block | (own[j] != own[i]))]
+            if band and len(j):
+                j = j[~(bands_of[j, :band] == bands_of[i, :band]).any(1)]
+            if len(j):
+                j = j[(r[j] == r[i]).sum(1) >= LEAST_EQUAL]
             if len(j):
                 j = j[estimate(np.broadcast_to(r[i], (len(j), REGISTERS)), r[j], np.full(len(j), n[i]), n[j]) >= LEAST_ESTIMATE]
-                us += [ids[i]] * len(j)
-                vs += ids[j].tolist()
+            for k in j:
+                if part[k] == part[i]:
+                    continue
+                like, least = bottom_similarity(sets[i], sets[k], n[i], n[k])
+                if like >= least:
+                    us.append(ids[i])
+                    vs.append(ids[k])
+                    if max(n[i], n[k]) <= BOTTOM:  # a link for certain
+                        part[part == part[k]] = part[i]
         return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
     return dealt.groupBy("bucket", "low", "high").applyInPandas(run, "u long, v long").distinct()
@@ -241,10 +285,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = keep(_ids(docs).join(involved.hint("shuffle_hash"), "doc_id", "left_semi"), "near-texts")
     links = keep(verified(tested, held), "near-links")
     found = keep(components(links), "near-components")
-    more = keep(cross_pairs(banded, reps, found).join(tested, ["u", "v"], "left_anti"), "near-cross")
+    more = keep(cross_pairs(banded, reps, held, found).join(tested, ["u", "v"], "left_anti"), "near-cross")
     if not more.isEmpty():
         links = links.unionByName(keep(verified(more, held), "near-links"))
         found = keep(components(links), "near-components")
+    discard(banded, tested, held, more)
     classes = reps.select("d1", "d2", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = sketched.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
