@@ -348,6 +348,19 @@ def duplicate_feature_vectors(spark, sf_dir):
     return stats.duplicate_features(vectors(spark, sf_dir).select("vec_id", coarse.alias("features")), "vec_id").select("vec_id")
 
 
+@query(f"WITH {_LONG}, t AS (SELECT vec_id, sum(abs(x)) AS s FROM long GROUP BY vec_id) SELECT idx, round(var_samp(abs(x) / s), 9) AS variance FROM long JOIN t USING (vec_id) GROUP BY idx")
+def normalized_variance(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.transform("features", F.abs).alias("features"))
+    return stats.normalized_variance(v).select("idx", F.round("variance", 9).alias("variance"))
+
+
+@query("SELECT doc_id, CAST(nullif(n_chars % 7, 0) AS DOUBLE) AS x, n_chars % 7 = 0 AS missing FROM documents")
+def missing_features(spark, sf_dir):
+    """Rows whose features miss a value."""
+    x = F.when(F.col("n_chars") % 7 != 0, (F.col("n_chars") % 7).cast("double"))
+    return load(spark, sf_dir, "documents").select("doc_id", x.alias("x"), sequences.has_missing(F.array(x)).alias("missing"))
+
+
 # --- correlation -----------------------------------------------------------------------------------------
 
 
@@ -422,6 +435,17 @@ def label_index(spark, sf_dir):
     return embed.label_index(vectors(spark, sf_dir)).withColumn("genus", F.col("genus").cast("long"))
 
 
+@query("SELECT vec_id, unnest(range(10)) AS class, CASE WHEN unnest(range(10)) = label THEN 1 ELSE 0 END AS hot FROM embeddings")
+def one_hot(spark, sf_dir):
+    h = vectors(spark, sf_dir).select("vec_id", F.posexplode(sequences.one_hot(F.col("genus"), 10)).alias("class", "hot"))
+    return h.select("vec_id", F.col("class").cast("long").alias("class"), "hot")
+
+
+@query("SELECT DISTINCT translate(p_type, ' /', '__') AS name FROM part")
+def safe_names(spark, sf_dir):
+    return load(spark, sf_dir, "part").select(sequences.safe_name(F.col("p_type")).alias("name")).distinct()
+
+
 def predictions(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "labels").select(F.col("quality").alias("y"), F.col("toxic").alias("pred"))
 
@@ -479,6 +503,20 @@ def r2(spark, sf_dir):
     return evaluate.r2(x, "y", "p").select(r6("r2"))
 
 
+@query("WITH p AS (SELECT quality AS y, CASE WHEN toxic = 1 THEN [0.7, 0.3] ELSE [0.2, 0.8] END AS proba FROM labels), l AS (SELECT c AS class, CASE WHEN y = c THEN 1.0 ELSE 0.0 END AS t, proba[c + 1] AS s FROM p, (SELECT unnest([0, 1]) AS c)), m AS (SELECT class, avg(t) AS m FROM l GROUP BY class) SELECT round(avg(r), 6) AS r2 FROM (SELECT 1 - sum((t - s) * (t - s)) / sum((t - m) * (t - m)) AS r FROM l JOIN m USING (class) GROUP BY class)")
+def r2_probabilities(spark, sf_dir):
+    toxic = F.when(F.col("pred") == 1, F.array(F.lit(0.7), F.lit(0.3))).otherwise(F.array(F.lit(0.2), F.lit(0.8)))
+    return evaluate.r2_probabilities(predictions(spark, sf_dir).withColumn("proba", toxic)).select(r6("r2"))
+
+
+@query("SELECT label AS genus, round(avg(e1), 6) AS mean_x, round(avg(e2), 6) AS mean_y, round(var_samp(e1), 6) AS var_x, round(var_samp(e2), 6) AS var_y, round(covar_samp(e1, e2), 6) AS cov_xy, count(*) AS n FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2 FROM embeddings) GROUP BY label")
+def class_ellipses(spark, sf_dir):
+    """Of the first two features in place of the first two components."""
+    v = vectors(spark, sf_dir).select("genus", F.col("features")[0].alias("PC1"), F.col("features")[1].alias("PC2"))
+    e = embed.ellipses(v)
+    return e.select("genus", *map(r6, ("mean_x", "mean_y", "var_x", "var_y", "cov_xy")), "n")
+
+
 @query("WITH c AS (SELECT lang AS genus, count(*) AS n FROM documents GROUP BY lang) SELECT genus, round((SELECT sum(n) FROM c) * 1.0 / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c")
 def class_weights(spark, sf_dir):
     return evaluate.class_weights(rna(spark, sf_dir)).select("genus", r6("weight"))
