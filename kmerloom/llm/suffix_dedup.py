@@ -9,7 +9,8 @@ bytes) are sorted, by q-gram bucket first and then by the identifiers that reach
 of strings that chose the position.
 
 In sorted order a look at the neighbours decides: equal identifiers, all strings of the run are repeated;
-a q-gram bucket of its own, none is; else the run's strings are refined one by one at full depth. Positions
+a q-gram bucket of its own, none is; else the run is cut into parts, whose bucket is a deeper string that
+their strings share, and the same is done again, in the last round string by string. Positions
 are dealt over tasks by ranges of the whole sort key, so a bucket of any size is spread; only each task's
 first and last row meet on the driver.
 
@@ -26,11 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .common import arrow_map, batch, documents, keep, texts
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
+#: Strings of a run that are refined together, round by round.
+WIDTHS = (8, 1)
+#: The stored rows have one file for so many sorted parts.
+FEWER = 8
 #: Bytes of texts that are hashed together: arrays that stay in the cache.
 CHUNK = 1 << 17
 POSITION_BITS = np.uint64(32)
@@ -41,8 +47,8 @@ _LETTERS = _RANDOM.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2
 _BASES = [int(x) | 5 for x in _RANDOM.integers(1 << 40, 1 << 62, 2)]
 _M = (1 << 64) - 1
 
-ROW = "q long, u1 long, u2 long, doc_id long, t int, a int, n int"
-_ROW = pa.schema([("q", pa.int64()), ("u1", pa.int64()), ("u2", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("a", pa.int32()), ("n", pa.int32())])
+ROW = "q long, u1 long, u2 long, doc_id long, t int, a int, n int, d int"
+_ROW = pa.schema([("q", pa.int64()), ("u1", pa.int64()), ("u2", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("a", pa.int32()), ("n", pa.int32()), ("d", pa.int32())])
 _STATE = pa.schema([*_ROW, ("part", pa.int32()), ("edge", pa.int32()), ("repeated", pa.bool_()), ("refine", pa.bool_())])
 STATE = ROW + ", part int, edge int, repeated boolean, refine boolean"
 
@@ -61,11 +67,20 @@ def grams(raw: np.ndarray, stream: int) -> np.ndarray:
     return h
 
 
-def deeper(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Identifiers of depth 200 at some positions, from those of later offsets: 64 + 64 = 128, 128 + 64 (the last eight overlap)."""
+def deeper(h: np.ndarray, at: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Identifiers of a greater depth at some positions, from those of later offsets: 64 and 64 make 128, and so on; the last overlap."""
     c = np.uint64(0x9E3779B97F4A7C15)
-    twice = _mixed(h[at] * c + h[at + GRAM])
-    return _mixed(_mixed(twice * c + h[at + 2 * GRAM]) * c + h[at + LENGTH - GRAM])
+    out = h[at]
+    for offset in (*range(GRAM, depth - GRAM, GRAM), depth - GRAM):
+        out = _mixed(out * c + h[at + offset])
+    return out
+
+
+def _identified(raw: np.ndarray, h: np.ndarray, p: np.ndarray, a: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each run: of the bytes from its first string's start to its last one's end, and where p lies in them."""
+    c = np.uint64(0x9E3779B97F4A7C15)
+    shape = ((p - a) * 256 + n).astype(np.uint64)
+    return [_mixed((deeper(x, a) * c + deeper(x, a + n - 1)) * c + shape).view(np.int64) for x in (h, grams(raw, 1))]
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +121,6 @@ def positions(docs: DataFrame) -> DataFrame:
     """A row for each chosen position: its buckets, its document, the run of strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
             raws = [t.encode() for t in texts(b["text"])]
             ids, tags = b["doc_id"].to_numpy(), b["t"].to_numpy()
@@ -117,11 +131,9 @@ def positions(docs: DataFrame) -> DataFrame:
                     continue
                 h = grams(raw, 0)
                 p, a, n = anchors(raw, ends, h)
-                shape = ((p - a) * 256 + n).astype(np.uint64)
-                u = [_mixed((deeper(x, a) * c + deeper(x, a + n - 1)) * c + shape).view(np.int64) for x in (h, grams(raw, 1))]
                 of = np.searchsorted(ends, a, "right")
                 begin = np.concatenate([[0], ends])[of]
-                yield batch(_ROW, *map(pa.array, (_mixed(h[p]).view(np.int64), *u, ids[i:j][of], tags[i:j][of], (a - begin).astype(np.int32), n.astype(np.int32))))
+                yield batch(_ROW, *map(pa.array, (_mixed(h[p]).view(np.int64), *_identified(raw, h, p, a, n), ids[i:j][of], tags[i:j][of], (a - begin).astype(np.int32), n.astype(np.int32), (p - a).astype(np.int32))))
 
     return arrow_map(docs, run, ROW)
 
@@ -135,7 +147,11 @@ def _decide(q, u1, u2) -> tuple[np.ndarray, np.ndarray]:
 
 
 def states(rows: DataFrame) -> DataFrame:
-    """doc_id, t, a, n, repeated, refine of the runs that are not single already."""
+    """doc_id, t, a, n, d, repeated, refine of the runs that are not single already.
+
+    Sorting needs many tasks, what comes of it few files: the decided rows are persisted while the tasks' edges
+    are looked at, then stored in fewer parts.
+    """
     spark = rows.sparkSession
     order = ["q", "u1", "u2", "doc_id", "t", "a"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -165,9 +181,12 @@ def states(rows: DataFrame) -> DataFrame:
         if carry is not None:
             yield _edge(carry, carry.num_rows - 1, part, 1)
 
-    told = keep(arrow_map(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), run, STATE), "passages-states")
+    told = arrow_map(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), run, STATE).persist(StorageLevel.DISK_ONLY)
     edges = told.filter("edge >= 0").orderBy("part", "edge").collect()
-    return told.filter("edge < 0").select("doc_id", "t", "a", "n", "repeated", "refine").unionByName(spark.createDataFrame(_edges(edges), "doc_id long, t int, a int, n int, repeated boolean, refine boolean"))
+    columns = ["doc_id", "t", "a", "n", "d", "repeated", "refine"]
+    inner = keep(told.filter("edge < 0").select(columns).coalesce(max(1, parts // FEWER)), "passages-found")
+    told.unpersist(True)
+    return inner.unionByName(spark.createDataFrame(_edges(edges), "doc_id long, t int, a int, n int, d int, repeated boolean, refine boolean"))
 
 
 def _edge(rows: pa.Table, at: int, part: int, edge: int) -> pa.RecordBatch:
@@ -186,58 +205,47 @@ def _edges(rows: list) -> list[tuple]:
         if a["part"] != z["part"] and a["q"] == z["q"]:
             k = 0 if (a["u1"], a["u2"]) == (z["u1"], z["u2"]) else 1
             told[i - 1][k] = told[i][k] = True
-    return [(r["doc_id"], r["t"], r["a"], r["n"], *x) for r, x in zip(rows, told, strict=True) if any(x)]
+    return [(r["doc_id"], r["t"], r["a"], r["n"], r["d"], *x) for r, x in zip(rows, told, strict=True) if any(x)]
 
 
-def _with_runs(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+def _with_runs(docs: DataFrame, found: DataFrame, how: str, *columns: str) -> DataFrame:
     """Documents with the runs found in them. A document has no more runs than bytes."""
     runs = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct(*columns)).alias("runs"))
-    return docs.join(runs.hint("shuffle_hash"), ["doc_id", "t"], "left")
-
-
-_RUN = pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))
-_STRING = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("text", pa.string()), ("runs", _RUN), ("w1", pa.int64()), ("w2", pa.int64()), ("a", pa.int32()), ("open", pa.bool_())])
-STRING = "doc_id long, t int, text string, runs array<struct<a:int,n:int>>, w1 long, w2 long, a int, open boolean"
-OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    return docs.join(runs.hint("shuffle_hash"), ["doc_id", "t"], how).select("doc_id", "t", "text", "runs")
 
 
-def refined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Per document its text and repeated runs (a row without w1), and a row for each string to be refined.
+def refined(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """Rows like those of positions(), for parts of the runs in found: of up to ``width`` strings, cut at equal distances from the q-gram.
 
-    open: whether the string's own fate is open; those of repeated runs only take part for the others.
+    A part's bucket is what all strings at its distances have in common, 200 - width + 1 bytes.
     """
 
-    def rows(b: pa.RecordBatch, strings: list[tuple]) -> Iterator[pa.RecordBatch]:
-        k, w1, w2, at, free = (np.concatenate(x) for x in zip(*strings, strict=True))
-        for i in range(0, len(k), 100_000):
-            of = pa.array(k[i : i + 100_000])
-            m = len(of)
-            yield batch(_STRING, b["doc_id"].take(of), b["t"].take(of), pa.nulls(m, pa.string()), pa.nulls(m, _RUN), *(x[i : i + 100_000] for x in (w1, w2, at, free)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            many, runs = texts(b["text"]), b["runs"].to_pylist()
-            own = [[{"a": r["a"], "n": r["n"]} for r in of or () if r["repeated"]] for of in runs]
-            n = b.num_rows
-            yield batch(_STRING, b["doc_id"], b["t"], many, own, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()))
-            strings, size = [], 0
-            for k, (text, of) in enumerate(zip(many, runs, strict=True)):
-                if fine := [r for r in of or () if r["refine"]]:
-                    raw = np.frombuffer(text.encode(), np.uint8)
-                    at = np.concatenate([np.arange(r["a"], r["a"] + r["n"]) for r in fine])
-                    free = np.repeat([not r["repeated"] for r in fine], [r["n"] for r in fine])
-                    strings.append((np.full(len(at), k), *(deeper(grams(raw, x), at).view(np.int64) for x in (0, 1)), at, free))
-                    size += len(at)
-                if strings and (size > 100_000 or k == n - 1):
-                    yield from rows(b, strings)
-                    strings, size = [], 0
-            if strings:
-                yield from rows(b, strings)
-
-    return keep(arrow_map(_with_runs(docs, found, "a", "n", "repeated", "refine").select("doc_id", "t", "text", "runs"), run, STRING), "passages-strings")
+            out = []
+            for doc_id, t, text, runs in zip(*(b[c].to_pylist() for c in ("doc_id", "t", "text", "runs")), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                h = grams(raw, 0)
+                a0, n0, d0 = (np.array([r[c] for r in runs], np.int64) for c in ("a", "n", "d"))
+                s = np.repeat(a0 - np.concatenate([[0], np.cumsum(n0)])[:-1], n0) + np.arange(n0.sum())
+                p = np.repeat(a0 + d0, n0)
+                part = (p - s) // width
+                new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (part[1:] != part[:-1]) | (s[1:] != s[:-1] + 1)]))
+                n = np.diff(np.concatenate([new, [len(s)]]))
+                p, a, part = p[new], s[new], part[new]
+                q = _mixed(deeper(h, p - part * width, LENGTH - width + 1)).view(np.int64)
+                m = len(a)
+                out.append((q, *_identified(raw, h, p, a, n), np.full(m, doc_id), np.full(m, t, np.int32), a.astype(np.int32), n.astype(np.int32), (p - a).astype(np.int32)))
+            if out:
+                yield batch(_ROW, *(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)))
+
+    return arrow_map(_with_runs(docs, found, "inner", "a", "n", "d"), run, ROW)
+
+
+OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def spans_of(runs: list[dict]) -> list[list[int]]:
@@ -254,18 +262,18 @@ def spans_of(runs: list[dict]) -> list[list[int]]:
 def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, the removed byte ranges and the bytes that stay, or their digest."""
     d = documents(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-    found = states(keep(positions(d), "passages-rows"))
-    both = refined(d, found)
-    strings = both.filter("w1 is not null").select("doc_id", "t", "w1", "w2", "a", "open")
-    again = strings.groupBy("w1", "w2").agg(F.count("*").alias("copies")).filter("copies > 1").select("w1", "w2")
-    more = strings.filter("open").join(again, ["w1", "w2"]).select("doc_id", "t", "a")
+    found = states(positions(d))
+    repeated = found.filter("repeated")
+    for width in WIDTHS:
+        found = states(refined(d, found.filter("refine"), width))
+        repeated = repeated.unionByName(found.filter("repeated"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, own, others in zip(b["text"].to_pylist(), b["own"].to_pylist(), b["runs"].to_pylist(), strict=True):
+            for text, runs in zip(b["text"].to_pylist(), b["runs"].to_pylist(), strict=True):
                 raw = text.encode()
-                spans = spans_of([*(own or ()), *({"a": r["a"], "n": 1} for r in others or ())])
+                spans = spans_of(runs or ())
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(raw), len(raw) - len(kept), spans, kept))
@@ -276,5 +284,4 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
             else:
                 yield batch(_OUT, ids, size, gone, [[{"start": x, "end": y} for x, y in s] for s in spans], kept)
 
-    whole = both.filter("w1 is null").select("doc_id", "t", "text", F.col("runs").alias("own"))
-    return arrow_map(_with_runs(whole, more, "a").select("doc_id", "text", "own", "runs"), run, DIGEST if digests else OUT)
+    return arrow_map(_with_runs(d, repeated, "left", "a", "n"), run, DIGEST if digests else OUT)
