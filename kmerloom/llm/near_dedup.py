@@ -242,37 +242,67 @@ def cross_pairs(banded: DataFrame, reps: DataFrame, held: DataFrame, found: Data
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = inside.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    def run(p):
-        import pandas as pd
-
-        p = p.sort_values("doc_id")
-        ids, n, part, own = (p[c].to_numpy().copy() for c in ("doc_id", "n", "component", "own"))
-        r = np.frombuffer(b"".join(p["registers"]), np.uint16).reshape(-1, REGISTERS)
-        bands_of = r.view(np.uint64)  # a band's four registers as one number
-        sets = [np.frombuffer(x, np.uint64) for x in p["bottom"]]
-        band, one_block = int(p["band"].iloc[0]), p["low"].iloc[0] == p["high"].iloc[0]
-        us, vs = [], []
-        for i in range(len(ids)):
-            j = np.arange(i + 1, len(ids))
-            j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i])) & (one_block | (own[j] != own[i]))]
-            if band and len(j):
-                j = j[~(bands_of[j, :band] == bands_of[i, :band]).any(1)]
-            if len(j):
-                j = j[(r[j] == r[i]).sum(1) >= LEAST_EQUAL]
-            if len(j):
-                j = j[estimate(np.broadcast_to(r[i], (len(j), REGISTERS)), r[j], np.full(len(j), n[i]), n[j]) >= LEAST_ESTIMATE]
-            for k in j:
-                if part[k] == part[i]:
-                    continue
-                like, least = bottom_similarity(sets[i], sets[k], n[i], n[k])
-                if like >= least:
-                    us.append(ids[i])
-                    vs.append(ids[k])
-                    if max(n[i], n[k]) <= BOTTOM:  # a link for certain
-                        part[part == part[k]] = part[i]
-        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
-
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(run, "u long, v long").distinct()
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+        for b in _and_end(batches):
+            t = carry if b is None else pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
+                continue
+            bucket, low, high = (t[c].to_numpy() for c in ("bucket", "low", "high"))
+            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            begin = [0, *new.tolist()]
+            ends = [*begin[1:], t.num_rows]
+            done = len(begin) if b is None else len(begin) - 1  # the last bucket may go on
+            carry = None if b is None else t.slice(begin[-1])
+            if done:
+                band, ids, n, part, own = (t[c].to_numpy() for c in ("band", "doc_id", "n", "component", "own"))
+                bits, sets = t["registers"].to_pylist(), t["bottom"].to_pylist()
+                us, vs = [], []
+                for x, y in zip(begin[:done], ends[:done], strict=True):
+                    if y - x > 1:
+                        found = _ties(ids[x:y], n[x:y], part[x:y].copy(), own[x:y], bits[x:y], sets[x:y], int(band[x]), low[x] == high[x])
+                        us += found[0]
+                        vs += found[1]
+                yield batch(schema, us, vs)
+
+    keys = ["bucket", "low", "high"]
+    parts = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "doc_id").select(*keys, "band", "doc_id", "n", "component", "own", "registers", "bottom")
+    return arrow_map(sorted_, run, "u long, v long").distinct()
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _ties(ids, n, part, own, bits, sets, band: int, one_block: bool) -> tuple[list[int], list[int]]:
+    """Pairs of a bucket, ordered by id, that may link different components. part: components; changes as links are certain."""
+    r = np.frombuffer(b"".join(bits), np.uint16).reshape(-1, REGISTERS)
+    bands_of = r.view(np.uint64)  # a band's four registers as one number
+    us: list[int] = []
+    vs: list[int] = []
+    for i in range(len(ids)):
+        j = np.arange(i + 1, len(ids))
+        j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i])) & (one_block | (own[j] != own[i]))]
+        if band and len(j):
+            j = j[~(bands_of[j, :band] == bands_of[i, :band]).any(1)]
+        if len(j):
+            j = j[(r[j] == r[i]).sum(1) >= LEAST_EQUAL]
+        if len(j):
+            j = j[estimate(np.broadcast_to(r[i], (len(j), REGISTERS)), r[j], np.full(len(j), n[i]), n[j]) >= LEAST_ESTIMATE]
+        for k in j:
+            if part[k] == part[i]:
+                continue
+            like, least = bottom_similarity(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[k], np.uint64), n[i], n[k])
+            if like >= least:
+                us.append(int(ids[i]))
+                vs.append(int(ids[k]))
+                if max(n[i], n[k]) <= BOTTOM:  # a link for certain
+                    part[part == part[k]] = part[i]
+    return us, vs
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
