@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, arrow_map, batch, discard, documents, keep, texts
 
 MIN_CHARS = 10
-SHARDS = 64
+#: Shards of keys: these at least, more where one would hold more keys than SHARD_KEYS.
+SHARDS, SHARD_KEYS = 64, 500_000
 #: Filters larger than this together aren't sent to the executors; all lines are then joined.
 FILTER_BYTES = 64 << 20
 NULL_ID = (1 << 63) - 1
@@ -227,23 +228,25 @@ def apply_drops(docs: DataFrame, dropped: DataFrame, digests: bool = False) -> D
     return arrow_map(joined, run, f"doc_id long, n_lines long, n_dropped long, {'kept_sha256' if digests else 'text'} string")
 
 
-def _filters_of(repeated: DataFrame, filter_bytes: int):
-    filters = keep(build_filters(repeated), "line-filters")
+def _filters_of(repeated: DataFrame, filter_bytes: int) -> tuple:
+    """Filters for the executors, or None, and the number of shards."""
+    shards = max(SHARDS, repeated.count() // SHARD_KEYS)
+    filters = keep(build_filters(repeated, shards), "line-filters")
     out = _broadcast_filters(repeated.sparkSession, filters, filter_bytes)
     discard(filters)
-    return out
+    return out, shards
 
 
 def line_dedup(docs: DataFrame, digests: bool = False, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Drops repeated lines of all documents at once."""
     repeated = keep(reference_counts(postings(docs)).filter("owner < last"), "line-counts")
-    return apply_drops(docs, drops(docs, repeated, _filters_of(repeated, filter_bytes)), digests)
+    return apply_drops(docs, drops(docs, repeated, *_filters_of(repeated, filter_bytes)), digests)
 
 
 def clean_text(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """The rows, whole, with the text that stays; ``n_chars``, where there is one, counts it again. Null texts stay null."""
     repeated = keep(reference_counts(postings(docs)).filter("owner < last"), "line-counts")
-    dropped = drops(docs, repeated, _filters_of(repeated, filter_bytes)).withColumnsRenamed({"doc_id": "__id", "keys": "__keys"})
+    dropped = drops(docs, repeated, *_filters_of(repeated, filter_bytes)).withColumnsRenamed({"doc_id": "__id", "keys": "__keys"})
     names = docs.columns
     joined = docs.join(dropped.hint("shuffle_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("__id"), "left").drop("__id")
 

@@ -154,7 +154,7 @@ def index(entries: DataFrame, size: int = BLOCK_ENTRIES) -> DataFrame:
         if rows:
             yield batch(_BLOCK, *zip(pack(rows), strict=True))
 
-    n = max(1, entries.sparkSession.sparkContext.defaultParallelism)
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartitionByRange(n, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
     return keep(arrow_map(dealt, run, "first string, last string, block string, n long, data binary"), "warc-index")
 
