@@ -35,8 +35,8 @@ FOLDS, HELD_OUT = 7, 2
 OUTPUTS, KNOWN, WIDTH = 2000, 100_000, 24
 #: Noise words of a mini-batch, its tokens, and the step size.
 NOISE, TOKENS, STEP = 64, 1024, 0.15
-#: Tables to average: training runs in at most so many tasks.
-TRAINERS = 64
+#: Tables to average: training runs in at most so many tasks, whose tables are first averaged in lots.
+TRAINERS, LOTS = 4096, 64
 BLOCK_ROWS = 256
 COUNT_WORDS = 300_000
 OTHER, END = 0, 1
@@ -130,29 +130,37 @@ class Trainer:
         self._step(t.bias, self.past[3], at, gb)
 
 
+class _Numbers(dict):
+    """Numbers of words; 0 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return OTHER
+
+
 class Vocabulary:
-    """Output classes of words: 0 others, 1 the end, then the frequent words."""
+    """Numbers of words: 0 others, 1 the end, then the frequent words, which are the model's outputs, then further known ones."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.number = {w: i + 2 for i, w in enumerate(frequent)}
+    def __init__(self, frequent: list[bytes], known: list[bytes] = ()):
+        self.number = _Numbers({w: i for i, w in enumerate([b"", *frequent, *known], 1)})
         self.size = len(frequent) + 2
 
-    def encode(self, cut: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of all tokens of the texts one after the other, those one and two before, and each text's tokens."""
-        get = self.number.get
+    def encode(self, cut: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of the texts one after the other, each with its end: classes, those one and two tokens before, each text's tokens, all numbers, all words."""
+        flat = [t for c in cut for t in (*c, b"")]
         n = np.array([len(c) + 1 for c in cut])
-        w = np.fromiter((x for c in cut for x in (*[get(t, OTHER) for t in c], END)), np.int32, int(n.sum()))
+        ids = np.fromiter(map(self.number.__getitem__, flat), np.int32, len(flat))
+        w = np.where(ids < self.size, ids, OTHER)
         c1, c2 = np.roll(w, 1), np.roll(w, 2)
         start = np.concatenate([[0], np.cumsum(n)])[:-1]
         c1[start] = c2[start] = self.size
         c2[(start + 1)[n > 1]] = self.size
-        return w, c1, c2, n
+        return w, c1, c2, n, ids, flat
 
 
 def train_tables(train: DataFrame, frequent: list[bytes], counts: np.ndarray) -> Tables:
     """Tables averaged over tasks, each of which starts alike and sees all its texts."""
     given = train.sparkSession.sparkContext.broadcast((frequent, counts))
-    schema = pa.schema([("block", pa.int32()), ("weight", pa.float64()), ("rows", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("lot", pa.int32()), ("weight", pa.float64()), ("rows", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -160,7 +168,7 @@ def train_tables(train: DataFrame, frequent: list[bytes], counts: np.ndarray) ->
         v, c = Vocabulary(given.value[0]), given.value[1]
         trainer, seen = Trainer(Tables.start(c), c, TaskContext.get().partitionId()), 0
         for b in batches:
-            w, c1, c2, _ = v.encode([words_of(t) for t in texts(b["text"])])
+            w, c1, c2, *_ = v.encode([words_of(t) for t in texts(b["text"])])
             order = trainer.random.permutation(len(w))
             for i in range(0, len(w), TOKENS):
                 at = order[i : i + TOKENS]
@@ -169,14 +177,17 @@ def train_tables(train: DataFrame, frequent: list[bytes], counts: np.ndarray) ->
         if seen:
             rows = trainer.t.rows()
             blocks = [rows[i : i + BLOCK_ROWS].astype("<f4").tobytes() for i in range(0, len(rows), BLOCK_ROWS)]
-            yield batch(schema, np.arange(len(blocks), dtype=np.int32), np.full(len(blocks), float(seen)), blocks)
+            lot = TaskContext.get().partitionId() % LOTS
+            yield batch(schema, np.arange(len(blocks), dtype=np.int32), np.full(len(blocks), lot, np.int32), np.full(len(blocks), float(seen)), blocks)
 
     def mean(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["weight", "rows"])
         total = sum(w * np.frombuffer(r, "<f4").astype(np.float64) for w, r in zip(p["weight"], p["rows"], strict=True))
-        return pd.DataFrame({"block": [int(p["block"].iloc[0])], "rows": [(total / p["weight"].sum()).astype("<f4").tobytes()]})
+        return pd.DataFrame({"block": [int(p["block"].iloc[0])], "weight": [p["weight"].sum()], "rows": [(total / p["weight"].sum()).astype("<f4").tobytes()]})
 
-    found = arrow_map(train.select("text").coalesce(TRAINERS), run, "block int, weight double, rows binary").groupBy("block").applyInPandas(mean, "block int, rows binary").collect()
+    trained = arrow_map(train.select("text").coalesce(TRAINERS), run, "block int, lot int, weight double, rows binary")
+    form = "block int, weight double, rows binary"
+    found = trained.groupBy("block", "lot").applyInPandas(mean, form).groupBy("block").applyInPandas(mean, form).select("block", "rows").collect()
     if not found:
         return Tables.start(counts)
     return Tables.of(np.frombuffer(b"".join(bytes(r["rows"]) for r in sorted(found)), "<f4").reshape(-1, WIDTH))
@@ -223,36 +234,29 @@ def _parts(docs: DataFrame, frequent, known, tables: Tables) -> DataFrame:
         if model not in _LAST:
             _LAST.clear()
             frequent, known, tables = given.value
-            v = Vocabulary(frequent)
-            logs = {w: float(np.log10(c + 1.0)) for w, c in known}
-            _LAST[model] = v, logs, {w: x for w, x in logs.items() if w not in v.number}, Scorer(tables)
-        v, logs, outside, scorer = _LAST[model]
-        end = logs.get(b"", 0.0)
+            counts = dict(known)
+            v = Vocabulary(frequent, [w for w, _ in known if w][len(frequent) :])
+            logs = np.array([0.0, *(np.log10(counts.get(w, 0) + 1.0) for w in v.number)])
+            seen = np.array([0, *(w in counts for w in v.number)], np.int64)
+            _LAST[model] = v, logs, seen, Scorer(tables)
+        v, logs, seen, scorer = _LAST[model]
         random = np.random.default_rng()
         for b in batches:
             many = [words_of(t) for t in texts(b["text"])]
             if not many:
                 continue
-            w, c1, c2, n = v.encode(many)
+            w, c1, c2, n, ids, flat = v.encode(many)
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-            model_log = np.add.reduceat(scorer.log_probability(w, c1, c2), begin) / np.log(10)
-            other = np.add.reduceat((w == OTHER).astype(np.int64), begin)
+            total = lambda x: np.add.reduceat(x, begin)  # noqa: B023, E731
             row = random.integers(-(1 << 63), 1 << 63, len(many), dtype=np.int64)
-            known_tokens, log_counts, log_other = [], [], []
-            rows, rare, times = [], [], []
-            for i, cut in enumerate(many):
-                held = [logs[t] for t in cut if t in logs]
-                known_tokens.append(len(held) + (b"" in logs))
-                log_counts.append(sum(held) + end)
-                log_other.append(sum([outside[t] for t in cut if t in outside]))
-                if len(held) < len(cut):
-                    new = Counter([t for t in cut if t not in logs])
-                    rows += [row[i]] * len(new)
-                    rare += [t.decode() for t in new]
-                    times += new.values()
-            yield batch(_PART, row, b["doc_id"], n, known_tokens, log_counts, model_log, other, log_other, pa.nulls(len(many), pa.string()), pa.nulls(len(many), pa.int64()))
-            if rare:
-                yield batch(_PART, rows, *(pa.nulls(len(rare), f.type) for f in list(_PART)[1:8]), rare, times)
+            nothing = pa.nulls(len(many), pa.string()), pa.nulls(len(many), pa.int64())
+            log = logs[ids]
+            yield batch(_PART, row, b["doc_id"], n, total(seen[ids]), total(log), total(scorer.log_probability(w, c1, c2)) / np.log(10), total((w == OTHER).astype(np.int64)), total(np.where(ids >= v.size, log, 0.0)), *nothing)
+            at = np.flatnonzero(ids == OTHER)
+            if len(at):
+                new = Counter(zip(np.searchsorted(begin, at, "right").tolist(), [flat[i] for i in at], strict=True))
+                of, rare = zip(*new, strict=True)
+                yield batch(_PART, row[np.array(of) - 1], *(pa.nulls(len(rare), f.type) for f in list(_PART)[1:8]), [t.decode() for t in rare], list(new.values()))
 
     return arrow_map(docs, run, PART)
 
