@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Cleaning
 from ..functions import sequences
@@ -126,5 +125,13 @@ def clean(records: DataFrame, c: Cleaning = Cleaning(), chimeras: ChimeraFilter
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """All rows but the first of each key."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn > 1").drop("__rn")
+    """All rows but the first of each key, nulls being a key like any other; order has to tell a key's rows apart.
+
+    A grouped minimum and a join on the keys' hash: a key with very many rows is combined before the shuffle,
+    and the join's side with all rows can be split.
+    """
+    first = df.groupBy(F.xxhash64(*keys).alias("__h"), *(F.col(k).alias(f"__{i}") for i, k in enumerate(keys))).agg(F.min(F.struct(*order)).alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    on = F.xxhash64(*keys) == F.col("__h")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return df.join(first, on).filter(F.struct(*order) > F.col("__first")).select(*df.columns)

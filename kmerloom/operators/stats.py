@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Profiling
 from ..functions.sequences import normalized
+from .clean import first_wins
 
 
 def dataset_summary(rows: DataFrame, n_features: int, label: str = "genus", length: str = "sequence_length") -> DataFrame:
@@ -36,7 +36,7 @@ def imbalance(rows: DataFrame, label: str = "genus") -> DataFrame:
 
 def duplicate_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Every row of a key but the first."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__rn > 1").drop("__rn")
+    return first_wins(rows, [key], [order])
 
 
 def duplicate_features(rows: DataFrame, order: str, features: str = "features") -> DataFrame:

@@ -79,3 +79,8 @@ def test_summary_keeps_lost_genera(spark):
 def test_nested_property(spark, sequences):
     rows = [("g", s) for s in sequences]
     assert sorted(x["seq_idx"] for x in clean.drop_nested(records(spark, [(g, "", s) for g, s in rows])).collect()) == naive(rows)
+
+
+def test_first_wins(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), (None, 2), (None, 5), ("b", 4)], "k string, i int")
+    assert sorted(r["i"] for r in clean.first_wins(df, ["k"], ["i"]).collect()) == [3, 5]
