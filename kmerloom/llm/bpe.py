@@ -15,6 +15,7 @@ import hashlib
 import json
 import mmap
 import tempfile
+import uuid
 from collections import Counter
 from heapq import heapify, heappop, heappush
 
@@ -29,7 +30,7 @@ from .common import arrow_map, batch, documents, keep, most_frequent, texts
 #: Words in the lexicon: bounds the broadcast to a few MB.
 LEXICON_WORDS = 60_000
 #: Words that a worker remembers, and the words that one task counts, before it starts again or hands over.
-MEMO_WORDS, COUNT_WORDS = 200_000, 300_000
+MEMO_WORDS, COUNT_WORDS = 400_000, 300_000
 #: Words of up to so many bytes are merged side by side in one matrix.
 WIDE = 48
 
@@ -297,7 +298,20 @@ class Encoder:
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+#: What a worker keeps between its tasks: the encoder of the last call.
+_LAST: dict[str, Encoder] = {}
+
+
+def kept_encoder(key: str, vocabulary: str, lexicon: bytes | None = None) -> Encoder:
+    """The worker's encoder for a call of an operator, key being the call's own."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Encoder(Vocabulary(vocabulary), lexicon)
+    return _LAST[key]
+
+
 def _counts(vocabulary):
+    key = uuid.uuid4().hex
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def rows(seen: Counter) -> pa.RecordBatch:
@@ -305,7 +319,7 @@ def _counts(vocabulary):
         return batch(schema, of, [seen[w] for w in of])
 
     def run(batches):
-        encoder = Encoder(Vocabulary(vocabulary.value))
+        encoder = kept_encoder(key, vocabulary.value)
         seen: Counter = Counter()
         for b in batches:
             for text in texts(b["text"]):
@@ -337,9 +351,10 @@ def _load(docs: DataFrame, path: str, compiled: bytes | None, words: int):
 def encode(docs: DataFrame, path: str, compiled: bytes | None = None, words: int = LEXICON_WORDS) -> DataFrame:
     """doc_id and ids of every text. path: the tokenizer's file on the driver."""
     vocabulary, lex = _load(docs, path, compiled, words)
+    key = uuid.uuid4().hex
 
     def run(batches):
-        encoder = Encoder(Vocabulary(vocabulary.value), lex.value)
+        encoder = kept_encoder(key, vocabulary.value, lex.value)
         for b in batches:
             yield batch(_IDS, b["doc_id"], _lists(encoder.encode(texts(b["text"]))))
 
@@ -369,9 +384,10 @@ def digests(docs: DataFrame, path: str, compiled: bytes | None = None, words: in
     """Encodes every text, decodes its ids again, and returns counts and digests of both, and the ids if asked, in one pass."""
     vocabulary, lex = _load(docs, path, compiled, words)
     schema = pa.schema([*_DIGESTS, pa.field("ids", pa.list_(pa.int32()))]) if with_ids else _DIGESTS
+    key = uuid.uuid4().hex
 
     def run(batches):
-        encoder = Encoder(Vocabulary(vocabulary.value), lex.value)
+        encoder = kept_encoder(key, vocabulary.value, lex.value)
         for b in batches:
             ids = encoder.encode(texts(b["text"]))
             lists = [_lists(ids)] if with_ids else []

@@ -12,11 +12,13 @@ a character spans that character.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder, Vocabulary
+from .bpe import kept_encoder
 from .common import arrow_map, batch, documents, texts
 
 SCHEMA = "doc_id long, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
@@ -57,9 +59,10 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """A row for each section: its characters, its tokens, those that cross into another, the document's tokens."""
     with open(path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
+    key = uuid.uuid4().hex
 
     def run(batches):
-        encoder = Encoder(Vocabulary(vocabulary.value))
+        encoder = kept_encoder(key, vocabulary.value)
         lengths = np.array([len(b) for b in encoder.vocabulary.bytes_of], np.int64)
         for b in batches:
             many = texts(b["text"])
