@@ -10,25 +10,28 @@ from pyspark.sql.window import Window
 STEPS = 4096
 
 
-def confusion(rows: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
-    """y, pred, n for all pairs of labels that occur on either side; n is 0 where a pair doesn't."""
+def confusion(rows: DataFrame, y: str = "y", pred: str = "pred", labels: list | None = None) -> DataFrame:
+    """y, pred, n for all pairs of labels that occur on either side, and of those given; n is 0 where a pair doesn't occur."""
     seen = rows.groupBy(F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
-    labels = seen.select(F.col("y").alias("l")).union(seen.select("pred")).distinct()
-    cells = labels.select(F.col("l").alias("y"), F.lit(1).alias("one")).join(labels.select(F.col("l").alias("pred"), F.lit(1).alias("one")), "one").drop("one")  # classes by classes
+    known = seen.select(F.col("y").alias("l")).union(seen.select("pred"))
+    if labels:
+        known = known.union(rows.sparkSession.createDataFrame([(x,) for x in labels], f"l {dict(rows.dtypes)[y]}"))
+    known = known.distinct()
+    cells = known.select(F.col("l").alias("y"), F.lit(1).alias("one")).join(known.select(F.col("l").alias("pred"), F.lit(1).alias("one")), "one").drop("one")  # classes by classes
     return cells.join(seen, ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def per_class(c: DataFrame) -> DataFrame:
-    """label, precision, recall, f1, support; a division by zero gives 0."""
+    """label, precision, recall, f1, support, predicted; a division by zero gives 0."""
     ends = c.select(F.col("y").alias("label"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted")).unionByName(c.select(F.col("pred").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted")))
     s = ends.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return s.select("label", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"), "support")
+    return s.select("label", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"), "support", "predicted")
 
 
 def summary(c: DataFrame, all_labels: bool = False) -> DataFrame:
-    """accuracy, macro and weighted precision, recall and f1. Macro counts labels present in truth or prediction."""
-    p = per_class(c)
+    """accuracy, macro and weighted precision, recall and f1. Macro is over labels present in truth or prediction, or over all of c's."""
+    p = per_class(c) if all_labels else per_class(c).filter("support + predicted > 0")
     weighted = lambda m: F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}")
     both = p.agg(*(F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")), *map(weighted, ("precision", "recall", "f1")))
     accuracy = c.agg(F.try_divide(F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
@@ -36,10 +39,10 @@ def summary(c: DataFrame, all_labels: bool = False) -> DataFrame:
 
 
 def report(c: DataFrame) -> DataFrame:
-    """A row for each class, then accuracy, macro avg and weighted avg."""
+    """A row for each class of c, then accuracy, macro avg (over all of them) and weighted avg."""
     p = per_class(c)
     classes = p.select(F.col("label").cast("string").alias("label"), "precision", "recall", "f1", F.col("support").cast("double").alias("support"))
-    s = summary(c).crossJoin(c.agg(F.sum("n").cast("double").alias("total")))
+    s = summary(c, True).crossJoin(c.agg(F.sum("n").cast("double").alias("total")))
     rows = [s.select(F.lit("accuracy").alias("label"), F.col("accuracy").alias("precision"), F.col("accuracy").alias("recall"), F.col("accuracy").alias("f1"), F.col("accuracy").alias("support"))]
     rows += [s.select(F.lit(f"{kind} avg").alias("label"), *(F.col(f"{kind}_{m}").alias(m) for m in ("precision", "recall", "f1")), F.col("total").alias("support")) for kind in ("macro", "weighted")]
     for r in rows:

@@ -92,7 +92,8 @@ def train_and_evaluate(features: DataFrame, meta: DataFrame, names: list[str], m
     cv = models.cross_validate(model, train, folds=s.folds, **({"forest": forest} if model == "random_forest" else {"boosting": boosting})) if cross_validate else None
     fitted = models.train(model, train, val, forest, boosting)
     predicted = models.predict(fitted, test)
-    c = evaluate.confusion(predicted)
+    classes = [float(i) for i in range(rows.select("y").distinct().count())]
+    c = evaluate.confusion(predicted, labels=classes)
     areas = evaluate.auc(evaluate.roc_points(points := evaluate.one_vs_rest(predicted)))
     summary = evaluate.summary(c).first().asDict() | {"macro_auc": evaluate.macro_auc(areas).first()[0], "r2_discrete": evaluate.r2(predicted, "y", "pred").first()[0], "r2_probabilities": evaluate.r2_probabilities(predicted).first()[0], "model": model, "parameters": asdict(forest if model == "random_forest" else boosting), "n_features": len(names)}
     shap = None
@@ -101,7 +102,7 @@ def train_and_evaluate(features: DataFrame, meta: DataFrame, names: list[str], m
             shap = explain.explain(test, explain.trees_of(rows.sparkSession, fitted), names)
         except Exception as e:  # the run is worth more than its attributions
             warnings.warn(f"no attributions: {e}", stacklevel=2)
-    return Trained(fitted, cv, evaluate.report(evaluate.confusion(models.predict(fitted, val))), evaluate.report(c), summary, evaluate.roc_points(points), models.importances(fitted, names), shap)
+    return Trained(fitted, cv, evaluate.report(evaluate.confusion(models.predict(fitted, val), labels=classes)), evaluate.report(c), summary, evaluate.roc_points(points), models.importances(fitted, names), shap)
 
 
 def diagnose(features: DataFrame, meta: DataFrame, n_features: int, p: Profiling = Profiling()) -> dict[str, DataFrame]:  # noqa: B008

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kmerloom.config import Kmers, Reducing, Splitting
+from kmerloom.config import Kmers, Splitting
 from kmerloom.functions import sequences
 from kmerloom.operators import correlation, embed, kmers, split, stats
 

@@ -16,6 +16,9 @@ def test_scores_by_hand(spark):
     never = evaluate.per_class(evaluate.confusion(spark.createDataFrame([(0, 0), (1, 0)], "y int, pred int")))
     assert {r["label"]: r["precision"] for r in never.collect()} == {0: 0.5, 1: 0.0}
     assert evaluate.report(c).count() == 6
+    more = evaluate.confusion(df, labels=[0, 1, 2, 3])
+    assert np.isclose(evaluate.summary(more).first()["macro_f1"], s["macro_f1"]) and evaluate.report(more).count() == 7
+    assert np.isclose(evaluate.summary(more, True).first()["macro_f1"], s["macro_f1"] * 3 / 4)
 
 
 def test_roc_with_ties(spark):
