@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +16,6 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 1000
 #: White space of the text contracts.
 SPACE = " \t\n\x0b\x0c\r"
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: A-Z to a-z, everything else as it is.
-LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -107,7 +107,9 @@ class Trainer:
 
     def _step(self, table: np.ndarray, past: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(at, kind="stable")
-        rows, begin = np.unique(at[order], return_index=True)
+        in_order = at[order]
+        begin = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+        rows = in_order[begin]
         g = np.add.reduceat(gradient[order], begin, axis=0)
         past[rows] += (g * g).mean(1) if g.ndim > 1 else g * g
         scale = STEP / np.sqrt(past[rows])
@@ -205,13 +207,16 @@ class Scorer:
         for i in range(0, len(w), 1 << 15):
             a, x, y = w[i : i + (1 << 15)], c1[i : i + (1 << 15)], c2[i : i + (1 << 15)]
             code = x.astype(np.int64) * self.k + y
-            new = np.unique(code[np.isnan(self.log_z[code])])
+            log_z = self.log_z[code]
+            new = np.unique(code[np.isnan(log_z)])
             for j in range(0, len(new), 1024):
                 n = new[j : j + 1024]
                 s = (t.first[n // self.k] + t.second[n % self.k]) @ t.out.T + t.bias
                 top = s.max(1)
                 self.log_z[n] = np.log(np.exp(s - top[:, None]).sum(1)) + top
-            out[i : i + (1 << 15)] = np.einsum("ij,ij->i", t.first[x] + t.second[y], t.out[a]) + t.bias[a] - self.log_z[code]
+            if len(new):
+                log_z = self.log_z[code]
+            out[i : i + (1 << 15)] = np.einsum("ij,ij->i", t.first[x] + t.second[y], t.out[a]) + t.bias[a] - log_z
         return out
 
 
