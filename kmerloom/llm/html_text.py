@@ -2,9 +2,10 @@
 
 For every node of a page's tree: characters, tags, characters and tags within links. A node's composite
 text density is its characters per tag, scaled by how few of them are links. The densities of a node's
-children add up to its density sum; the node with the largest sum holds the content. The lowest density
-on the path from it up to the body is the threshold below which its own children are left out if they
-are not text blocks. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are cut
+children add up to its density sum, text outside its blocks counting as one more child; the node with the
+largest sum holds the content, and all of the article that it stands in. The lowest density on the path from
+it up to the body is the threshold: other parts of the page count only if they are no less dense, and link
+lists below it are left out. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are cut
 from the tree first, by element, role and names of class and id.
 
 Defined results: a null, empty or text-free page gives an empty text; markup that is never closed ends
@@ -33,6 +34,8 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CUT = frozenset("head nav footer aside form script style noscript template iframe button select input textarea label fieldset option svg canvas object embed audio video map dialog menu noembed noframes xmp math".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side-bar|navs?|navbar|navigation|menus?|breadcrumbs?|footer|foot|comments?|commentlist|replies|reply|responses?|disqus|discussion|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|toolbar|pagination|pager|skip|masthead|copyright|legal|disclaimer|rating|tags|tagcloud)(?=$|[\s_-])", re.I)
+#: Elements that can be the content of a page; others only if blocks are inside.
+HOLDS = frozenset("html body address article blockquote center details dir div dl figure main ol section table tbody td th tr ul".split())
 #: An end tag that these starts imply.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav header footer form blockquote".split())
@@ -42,12 +45,14 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "run", "holds", "density", "run_density", "sum", "peak")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.items, self.cut = tag, parent, [], cut
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
+        self.run, self.holds = [0, 0, 0, 0], False  # the same four of text and inline elements outside blocks; whether blocks are inside
+        self.density = self.run_density = self.sum = 0.0
+        self.peak: Node | None = None
 
 
 def _is_cut(tag: str, attributes: str, inside: Node) -> bool:
@@ -109,7 +114,7 @@ def parse(page: str) -> Node:
 
 
 def measure(root: Node) -> Node:
-    """Densities of all nodes; returns the body."""
+    """Densities, their sums and the largest sums below, of all nodes; returns the body."""
     order, stack = [], [root]
     body = root
     while stack:
@@ -117,9 +122,11 @@ def measure(root: Node) -> Node:
         order.append(node)
         if node.tag == "body":
             body = node
-        stack += [x for x in node.items if isinstance(x, Node) and not x.cut]
+        stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.cut]
     for node in reversed(order):
-        node.chars += sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        node.chars += own
+        node.run[0] += own
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         if (up := node.parent) is not None:
@@ -127,40 +134,63 @@ def measure(root: Node) -> Node:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
+            if node.tag in BLOCK or node.holds:
+                up.holds = True
+            else:
+                up.run = [x + y for x, y in zip(up.run, (node.chars, node.tags + 1, node.link_chars, node.link_tags), strict=True)]
     share = body.link_chars / body.chars if body.chars else 0.0
+
+    def density(c: int, t: int, lc: int, lt: int) -> float:
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        of = c / (lc or 1) * (t or 1) / (lt or 1)
+        return c / (t or 1) * math.log(max(of, 1.0)) / math.log(base) if base > 1.0 + 1e-9 else c / (t or 1) * math.log(max(of, 1.0) + 1e-9)
+
     for node in reversed(order):
-        c, t, lc, lt = node.chars, node.tags or 1, node.link_chars, node.link_tags
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            of = c / (lc or 1) * t / (lt or 1)
-            node.density = c / t * math.log(max(of, 1.0)) / math.log(base) if base > 1.0 + 1e-9 else c / t * math.log(max(of, 1.0) + 1e-9)
-        if node.parent is not None:
-            node.parent.sum += node.density
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags)
+        node.run_density = density(*node.run)
+        node.sum += node.run_density
+        best = node.peak
+        if (node.holds or node.tag in HOLDS) and (best is None or node.sum >= best.sum):
+            best = node
+        node.peak = best
+        if (up := node.parent) is not None:
+            if node.tag in BLOCK or node.holds:
+                up.sum += node.density
+            if best is not None and (up.peak is None or best.sum >= up.peak.sum):
+                up.peak = best
     return body
 
 
-def content(body: Node) -> tuple[Node, float]:
-    """The node of the largest density sum, an article or main element where the page has one with text; the threshold."""
-    best, marked, stack = body, None, [body]
-    while stack:
-        node = stack.pop()
-        if node.sum > best.sum:
-            best = node
-        if node.tag in ("article", "main") and node.chars and (marked is None or node.tag == "article" and marked.tag == "main" or node.tag == marked.tag and node.chars > marked.chars):
-            marked = node
-        stack += [x for x in node.items if isinstance(x, Node) and not x.cut]
-    if marked is not None:
-        best = marked
-    elif best is not body and best.chars * 2 < body.chars:  # the largest sum of a part that is no half of the text
-        best = body
-    node, threshold = best, best.density
+def content(body: Node) -> tuple[set[Node], float]:
+    """Nodes whose text is the page's content, and the threshold.
+
+    The node of the largest density sum gives the threshold: the lowest density on its path up to the body. From the
+    body down, each node that isn't below it has the node of the largest sum in it as content. Nodes in the tuple's set
+    that hold others only have their text run taken. Elements' names play no part but one: if the largest sum stands
+    in an article, all of that article is content.
+    """
+    best = body.peak or body
+    node, threshold, whole = best, best.density, best if best.tag == "article" else None
     while node is not body and node.parent is not None:
         node = node.parent
         threshold = min(threshold, node.density)
-    return best, threshold
+        if whole is None and node.tag == "article":
+            whole = node
+    found, stack = {whole or best}, [body]
+    while stack:
+        node = stack.pop()
+        if node in found or node.density < threshold or not node.chars:
+            continue
+        found.add(node.peak or node)
+        if node not in found:
+            stack += [x for x in node.items if isinstance(x, Node) and not x.cut]
+    return found, threshold
 
 
-def blocks(top: Node, threshold: float) -> list[str]:
+def blocks(body: Node, found: set[Node], threshold: float) -> list[str]:
+    """Text of the nodes found, and text runs no less dense than the threshold between them; a line for each block."""
     out: list[str] = []
     line: list[str] = []
 
@@ -169,20 +199,31 @@ def blocks(top: Node, threshold: float) -> list[str]:
             out.append(text)
         line.clear()
 
-    stack: list = [(top, False)]
+    stack: list = [(body, False, False)]
     while stack:
-        item, ended = stack.pop()
+        item, ended, taken = stack.pop()
         if isinstance(item, str):
             line.append(item)
         elif ended:
             close()
         elif not item.cut and not (item.link_chars * 2 > item.chars and item.density < threshold and item.tag in ("ul", "ol", "div", "section", "table", "dl")):
+            taken = taken or item in found
             if item.tag in BLOCK:
                 close()
-                stack.append((item, True))
+                stack.append((item, True, taken))
             elif item.tag == "br":
                 line.append(" ")
-            stack += [(x, False) for x in reversed(item.items)]
+            run = taken or item.run_density >= threshold
+            for x in reversed(item.items):
+                if isinstance(x, str):
+                    if run:
+                        stack.append((x, False, taken))
+                elif x.tag in BLOCK or x.holds:
+                    stack.append((x, False, taken))
+                elif run:
+                    stack.append((x, False, True))
+                elif x in found:
+                    stack.append((x, False, True))
     close()
     return out
 
@@ -192,7 +233,7 @@ def extract(page: str) -> str:
     if not page:
         return ""
     body = measure(parse(page))
-    return "\n".join(blocks(*content(body)))
+    return "\n".join(blocks(body, *content(body)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

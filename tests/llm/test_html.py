@@ -35,3 +35,14 @@ def test_odd_pages(spark):
     got = sorted(((r["page_id"] or 0), r["text"]) for r in html_text.main_text(pages).collect())
     assert got == sorted([(1, ""), (1, ""), (2, ""), (3, ""), (4, "just text"), (5, "a\nb\nc"), (6, "a"), (0, "x é <b> &bogus;"), (7, ""), (8, "a\nb"), (9, "a < b <c"), (10, "deep")])
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_density_sums_choose_whatever_the_landmarks():
+    text = " ".join(P.split())
+    card = "<article><h2><a href=/x>Other story</a></h2><p>A teaser of <a href=/y>two lines</a></p></article>"
+    assert html_text.extract(f"<body>{card}<div><h1>Title</h1>{f'<p>{P}</p>' * 4}</div></body>") == "\n".join(["Title"] + [text] * 4)
+    assert html_text.extract(f"<main>{card}</main><div>{f'<p>{P}</p>' * 4}</div>") == "\n".join([text] * 4)
+    two = f"<body><div><div><p>{P}</p><p>{P}</p></div><div><p>{P}</p><p>{P}</p><p>{P}</p></div></div>{card}</body>"
+    assert html_text.extract(two) == "\n".join([text] * 5)
+    assert html_text.extract(f"<body>{P}<div><p>{P}</p><p>{P}</p></div>the <b>end</b> of it. {P}") == "\n".join([text] * 3 + [f"the end of it. {text}"])
+    assert html_text.extract(f"<article><section><p>Short one.</p></section><section>{f'<p>{P}</p>' * 8}</section></article>") == "\n".join(["Short one."] + [text] * 8)
