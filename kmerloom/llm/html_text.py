@@ -5,8 +5,14 @@ text density is its characters per tag, scaled by how few of them are links. The
 children add up to its density sum, text outside its blocks counting as one more child; the node with the
 largest sum holds the content, and all of the article that it stands in. The lowest density on the path from
 it up to the body is the threshold: other parts of the page count only if they are no less dense, and link
-lists below it are left out. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are cut
-from the tree first, by element, role and names of class and id.
+lists below it are left out.
+
+Menus, headers, footers, asides, forms, code and what is hidden are cut from the tree first, by element, role and
+the attributes hidden and aria-hidden. Names (class and id) only lower a node's score: outside the content a named
+node counts a quarter of its density, or nothing if the name is one that hardly anything but boilerplate has;
+inside the content it is left out only if such a class says so, or if over a third of it is links or its characters per tag are under
+an eighth of the body's. Names of headings, and of what holds an h1 or main element, say nothing; nor do any if all
+text of a page is in named nodes of no weight.
 
 Defined results: a null, empty or text-free page gives an empty text; markup that is never closed ends
 with its parent; character references are decoded once, in text only.
@@ -34,6 +40,13 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CUT = frozenset("head nav footer aside form script style noscript template iframe button select input textarea label fieldset option svg canvas object embed audio video map dialog menu noembed noframes xmp math".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side-bar|navs?|navbar|navigation|menus?|breadcrumbs?|footer|foot|comments?|commentlist|replies|reply|responses?|disqus|discussion|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|toolbar|pagination|pager|skip|masthead|copyright|legal|disclaimer|rating|tags|tagcloud)(?=$|[\s_-])", re.I)
+#: Names that hardly anything but boilerplate has.
+CERTAIN = re.compile(r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|sidebars?|side-bar|navbar|menus?|breadcrumbs?|footer|comments?|commentlist|disqus|cookies?|gdpr|popups?|modal|newsletter|subscribe|signup|login|pagination|pager|masthead)(?=$|[\s_-])", re.I)
+#: What names leave of a node's density: those, and other ones of NAMES.
+NEVER, DOUBT = 0.0, 0.25
+#: Inside the content, named nodes with under this share of the body's characters per tag are left out.
+LEAST = 0.125
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that can be the content of a page; others only if blocks are inside.
 HOLDS = frozenset("html body address article blockquote center details dir div dl figure main ol section table tbody td th tr ul".split())
 #: An end tag that these starts imply.
@@ -41,30 +54,50 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav header footer form blockquote".split())
 
 _TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*)|!\[CDATA\[.*?\]\]>|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_TELLING = re.compile(r"class|id|role|hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "run", "holds", "density", "run_density", "sum", "peak")
+    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "run", "holds", "density", "run_density", "sum", "peak", "peak_sum", "weight", "sure", "title")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, weight: float = 1.0, sure: bool = False):
         self.tag, self.parent, self.items, self.cut = tag, parent, [], cut
+        self.weight, self.sure, self.title = weight, sure, tag in ("h1", "main")  # what names leave of its density; whether a class says so; whether a title is inside
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.run, self.holds = [0, 0, 0, 0], False  # the same four of text and inline elements outside blocks; whether blocks are inside
-        self.density = self.run_density = self.sum = 0.0
+        self.density = self.run_density = self.sum = self.peak_sum = 0.0
         self.peak: Node | None = None
 
 
-def _is_cut(tag: str, attributes: str, inside: Node) -> bool:
+def _attributes(written: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(written):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _judge(tag: str, written: str, inside: Node) -> tuple[bool, float, bool]:
+    """Whether an element is cut, what its names leave of its density, and whether a class says so."""
     if tag in CUT or tag == "header" and inside.tag not in ("article", "main", "section"):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMES.search(value):
-            return True
-    return False
+        return True, 1.0, False
+    if not written or tag in ("html", "body", "article", "main") or not _TELLING.search(written):
+        return False, 1.0, False
+    given = _attributes(written)
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in ROLES:
+        return True, 1.0, False
+    weight, sure = 1.0, False
+    if tag not in HEADINGS:
+        for name in ("id", "class"):
+            if (value := given.get(name)) and NAMES.search(value):
+                certain = CERTAIN.search(value) is not None
+                weight = min(weight, NEVER if certain else DOUBT)
+                sure = certain and name == "class"
+    return False, weight, sure
 
 
 def parse(page: str) -> Node:
@@ -101,7 +134,7 @@ def parse(page: str) -> Node:
                 node = node.parent
         if tag in CLOSES and at.tag in CLOSES[tag] and at.parent is not None:
             at = at.parent
-        node = Node(tag, at, _is_cut(tag, m[3], at))
+        node = Node(tag, at, *_judge(tag, m[3], at))
         at.items.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -123,6 +156,21 @@ def measure(root: Node) -> Node:
         if node.tag == "body":
             body = node
         stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.cut]
+    for node in reversed(order):
+        if node.title:
+            node.weight = 1.0  # whatever its names, what holds the page's title isn't boilerplate
+            if node.parent is not None:
+                node.parent.title = True
+    _sums(order, body)
+    if not body.chars and any(x.chars for x in order):  # all text has names of boilerplate: then they say nothing
+        for node in order:
+            node.weight = 1.0
+            node.clear()
+        _sums(order, body)
+    return body
+
+
+def _sums(order: list[Node], body: Node) -> None:
     for node in reversed(order):
         own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
         node.chars += own
@@ -130,13 +178,15 @@ def measure(root: Node) -> Node:
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         if (up := node.parent) is not None:
+            if block := node.tag in BLOCK or node.holds:
+                up.holds = True
+            if not node.weight:
+                continue
             up.chars += node.chars
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
-            if node.tag in BLOCK or node.holds:
-                up.holds = True
-            else:
+            if not block:
                 up.run = [x + y for x, y in zip(up.run, (node.chars, node.tags + 1, node.link_chars, node.link_tags), strict=True)]
     share = body.link_chars / body.chars if body.chars else 0.0
 
@@ -151,16 +201,13 @@ def measure(root: Node) -> Node:
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags)
         node.run_density = density(*node.run)
         node.sum += node.run_density
-        best = node.peak
-        if (node.holds or node.tag in HOLDS) and (best is None or node.sum >= best.sum):
-            best = node
-        node.peak = best
-        if (up := node.parent) is not None:
+        if (node.holds or node.tag in HOLDS) and (node.peak is None or node.sum >= node.peak_sum):
+            node.peak, node.peak_sum = node, node.sum
+        if (up := node.parent) is not None and node.weight:
             if node.tag in BLOCK or node.holds:
-                up.sum += node.density
-            if best is not None and (up.peak is None or best.sum >= up.peak.sum):
-                up.peak = best
-    return body
+                up.sum += node.density * node.weight
+            if node.peak is not None and (up.peak is None or node.peak_sum * node.weight >= up.peak_sum):
+                up.peak, up.peak_sum = node.peak, node.peak_sum * node.weight
 
 
 def content(body: Node) -> tuple[set[Node], float]:
@@ -181,7 +228,7 @@ def content(body: Node) -> tuple[set[Node], float]:
     found, stack = {whole or best}, [body]
     while stack:
         node = stack.pop()
-        if node in found or node.density < threshold or not node.chars:
+        if node in found or node.density * node.weight < threshold or not node.chars or not node.weight:
             continue
         found.add(node.peak or node)
         if node not in found:
@@ -189,6 +236,15 @@ def content(body: Node) -> tuple[set[Node], float]:
     return found, threshold
 
 
+def _boilerplate(node: Node, body: Node, taken: bool) -> bool:
+    """Whether a node with names of boilerplate is left out: outside the content always, inside it by class or density."""
+    if not taken:
+        return True
+    if node.tag not in BLOCK and node.weight:
+        return False
+    return node.sure and not node.weight or node.link_chars * 3 > node.chars or node.chars * (body.tags or 1) < body.chars * (node.tags or 1) * LEAST
+
+
 def blocks(body: Node, found: set[Node], threshold: float) -> list[str]:
     """Text of the nodes found, and text runs no less dense than the threshold between them; a line for each block."""
     out: list[str] = []
@@ -199,6 +255,10 @@ def blocks(body: Node, found: set[Node], threshold: float) -> list[str]:
             out.append(text)
         line.clear()
 
+    ways: set[Node] = set()  # what the nodes found stand in
+    for node in found:
+        while (node := node.parent) is not None and node not in ways:
+            ways.add(node)
     stack: list = [(body, False, False)]
     while stack:
         item, ended, taken = stack.pop()
@@ -208,6 +268,8 @@ def blocks(body: Node, found: set[Node], threshold: float) -> list[str]:
             close()
         elif not item.cut and not (item.link_chars * 2 > item.chars and item.density < threshold and item.tag in ("ul", "ol", "div", "section", "table", "dl")):
             taken = taken or item in found
+            if item.weight < 1 and item not in ways and item not in found and _boilerplate(item, body, taken):
+                continue
             if item.tag in BLOCK:
                 close()
                 stack.append((item, True, taken))

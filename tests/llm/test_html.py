@@ -46,3 +46,16 @@ def test_density_sums_choose_whatever_the_landmarks():
     assert html_text.extract(two) == "\n".join([text] * 5)
     assert html_text.extract(f"<body>{P}<div><p>{P}</p><p>{P}</p></div>the <b>end</b> of it. {P}") == "\n".join([text] * 3 + [f"the end of it. {text}"])
     assert html_text.extract(f"<article><section><p>Short one.</p></section><section>{f'<p>{P}</p>' * 8}</section></article>") == "\n".join(["Short one."] + [text] * 8)
+
+
+def test_attributes_and_names_in_real_text():
+    text = " ".join(P.split())
+    for attributes in ('style="overflow:hidden"', 'title="a hidden gem"', 'data-x="hidden"', "data-class='ad'", 'data-id=ad', 'title="class=ad"', 'class="legal"', 'id="social"', "class='page has-sidebar'"):
+        assert html_text.extract(f"<body><div {attributes}><p>{P}</p><p {attributes}>{P}</p></div><p>(c) me</p></body>").startswith(f"{text}\n{text}"), attributes
+    for attributes in ("hidden", 'HIDDEN=""', "aria-hidden=true", 'role="navigation"', 'class="big ad"', 'title="x" id="ad"'):
+        assert html_text.extract(f"<body><div {attributes}><p>{P}</p></div><div><p>Short.</p><p>Text.</p></div></body>") == "Short.\nText.", attributes
+    parts = "".join(f'<section id="{n}"><h2 id="{n}-work">{n}</h2><p>{P}</p><p>{P}</p></section>' for n in ("related", "discussion", "responses", "cookies"))
+    more = '<div class="tags"><a href=/a>one</a> <a href=/b>two</a></div><div class="rating">4 of 5</div><div class="comments"><p>' + P + "</p></div>"
+    for page in (f"<article><h1>T</h1>{f'<p>{P}</p>' * 4}{parts}{more}</article>", f"<body><div class='legal social'><h1>T</h1>{f'<p>{P}</p>' * 4}{parts}{more}</div></body>"):
+        assert html_text.extract(page).split("\n") == ["T"] + [text] * 4 + [x for n in ("related", "discussion", "responses", "cookies") for x in (n, text, text)], page
+    assert html_text.extract(f"<div class='ad'><p>{P}</p></div>") == text
