@@ -376,6 +376,13 @@ def corr_pairs_long(spark, sf_dir):
     return correlation.long_pairs(long, load(spark, sf_dir, "embeddings").count(), "vec_id", "idx", "x").select("f1", "f2", r6("r"))
 
 
+@query(f"WITH {_LONG}, {_PAIRS} SELECT f1, f2, round(r, 6) AS r FROM prs")
+def corr_pairs_long_all(spark, sf_dir):
+    """The same for all features."""
+    long = vectors(spark, sf_dir).select("vec_id", F.posexplode("features").alias("idx", "x")).select("vec_id", F.col("idx").cast("long").alias("idx"), "x")
+    return correlation.long_pairs(long, load(spark, sf_dir, "embeddings").count(), "vec_id", "idx", "x").select("f1", "f2", r6("r"))
+
+
 @query(f"WITH {_LONG}, {_PAIRS} SELECT CAST(least(floor((r + 1.0) / (2.0 / 60)) + 1, 60) AS BIGINT) AS bin, count(*) AS n FROM prs GROUP BY 1")
 def corr_histogram(spark, sf_dir):
     return correlation.histogram(correlation.pairs(vectors(spark, sf_dir)))

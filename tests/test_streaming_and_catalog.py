@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 
 from kmerloom.config import Cleaning
@@ -46,3 +47,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_long_pairs_of_all_features(spark):
+    got = {(r["f1"], r["f2"]): r["r"] for r in catalog.QUERIES["corr_pairs_long_all"](spark, DIR).collect()}
+    x = np.array([r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("embedding").collect()], float)
+    want = np.corrcoef(x.T)
+    assert set(got) == {(i, j) for i in range(64) for j in range(i + 1, 64)}
+    assert all(abs(r - want[p]) < 1e-5 for p, r in got.items())
