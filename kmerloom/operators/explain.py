@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .models import BoostedTrees
+
 
 @dataclass
 class Tree:
@@ -26,24 +28,40 @@ class Tree:
 
 
 def trees_of(spark: SparkSession, model, folder: str | None = None) -> list[Tree]:
-    """The trees of a fitted forest, leaf values as class shares divided by the number of trees."""
+    """The trees of a fitted forest, leaf values as class shares divided by the number of trees; those of boosters with leaf margins times tree weights, of each class in its column."""
     path = folder or f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/model-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
-    by_tree: dict[int, list] = {}
-    for r in rows:
-        by_tree.setdefault(r["treeID"], []).append(r)
+    if isinstance(model, BoostedTrees):
+        out = []
+        for c, m in enumerate(model.models):
+            for nodes, weight in zip(_nodes(spark, m, f"{path}/{c}"), m.treeWeights, strict=True):
+                value = np.zeros((len(nodes), len(model.models)))
+                value[:, c] = [n["prediction"] * weight for n in nodes]
+                out.append(_tree(nodes, value))
+        return out
+    by_tree = _nodes(spark, model, path)
     out = []
-    for _, nodes in sorted(by_tree.items()):
+    for nodes in by_tree:
         stats = np.array([n["impurityStats"] for n in nodes], float)
-        cover = np.array([n["rawCount"] for n in nodes], float)
         share = stats / np.maximum(stats.sum(1, keepdims=True), 1e-300)
-        leaf = np.array([n["leftChild"] < 0 for n in nodes])
-        thresholds = [n["split"]["leftCategoriesOrThreshold"] for n in nodes]
-        out.append(Tree(np.array([n["split"]["featureIndex"] for n in nodes]), np.array([t[0] if t else 0.0 for t in thresholds]), np.where(leaf, -1, [n["leftChild"] for n in nodes]), np.where(leaf, -1, [n["rightChild"] for n in nodes]), cover, share / len(by_tree)))
+        out.append(_tree(nodes, share / len(by_tree)))
     return out
 
 
+def _nodes(spark: SparkSession, model, path: str) -> list[list]:
+    """Each tree's rows of the node table, saved and read again."""
+    model.write().overwrite().save(path)
+    by_tree: dict[int, list] = {}
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect():
+        by_tree.setdefault(r["treeID"], []).append(r)
+    return [nodes for _, nodes in sorted(by_tree.items())]
+
+
+def _tree(nodes: list, value: np.ndarray) -> Tree:
+    leaf = np.array([n["leftChild"] < 0 for n in nodes])
+    thresholds = [n["split"]["leftCategoriesOrThreshold"] for n in nodes]
+    return Tree(np.array([n["split"]["featureIndex"] for n in nodes]), np.array([t[0] if t else 0.0 for t in thresholds]), np.where(leaf, -1, [n["leftChild"] for n in nodes]), np.where(leaf, -1, [n["rightChild"] for n in nodes]), np.array([n["rawCount"] for n in nodes], float), value)
+
+
 def expected(tree: Tree) -> np.ndarray:
     """The mean output over the rows that the tree was made from."""
     leaf = tree.left < 0

@@ -94,3 +94,19 @@ def test_from_folder_to_model(spark, tmp_path):
     tables = pipeline.diagnose(f.reduced.drop("split"), f.taxonomy, len(f.kept))
     assert {r["metric"] for r in tables["dataset_summary"].collect()} >= {"rows", "genera"}
     assert set(pipeline.embeddings(f.matrix)) == {"scaled", "pca", "tsne", "umap"}
+
+
+def test_boosted_attributions(spark):
+    rows = models.prepare(data(spark, 60).withColumn("split", F.when(F.col("accession") < "acc12", "val").when(F.col("accession") < "acc3", "test").otherwise("train"))).cache()
+    fitted = models.train("boosted_trees", rows.filter("split = 'train'"), None, boosting=Boosting(rounds=3, depth=2))
+    trees = explain.trees_of(spark, fitted)
+    assert len(trees) == 9
+    values = explain.explain(rows, trees, ["f0", "f1", "f2"])
+    total = {(r["sequence_id"], r["class"]): r["s"] for r in values.groupBy("sequence_id", "class").agg(F.sum("shap").alias("s")).collect()}
+    base = sum(explain.expected(t) for t in trees)
+    for r in models.predict(fitted, rows).select("sequence_id", "proba").collect():
+        margins = np.array([total.get((r["sequence_id"], c), 0.0) for c in range(3)]) + base
+        assert np.allclose(np.exp(margins) / np.exp(margins).sum(), r["proba"], atol=1e-6)
+    names = data(spark, 60).select("sequence_id", "genus", "accession")
+    out = pipeline.train_and_evaluate(rows.select("sequence_id", "genus", "features", F.col("split")), names.select("sequence_id", "accession"), ["f0", "f1", "f2"], model="boosted_trees", cross_validate=False, boosting=Boosting(rounds=2, depth=2))
+    assert out.shap is not None and {r["class"] for r in out.shap.select("class").distinct().collect()} == {0, 1, 2}
