@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from ..config import Splitting
 
 SPLITS = ("train", "val", "test")
+#: Groups with less than this share of every class are dealt into folds in so many bundles.
+SMALL, BUNDLES = 5e-5, 4096
 
 
 def check_fractions(test: float, val: float) -> None:
@@ -87,7 +89,8 @@ def group_folds(rows: DataFrame, label: str = "genus", group: str = "accession",
     """group and fold, classes spread evenly; None if a class has fewer than two groups.
 
     Groups are taken largest first; each goes to the fold where it evens out the classes' counts best.
-    The table of groups and classes is small: it comes to the driver behind a check of its size.
+    A group with less than SMALL of every class's rows can't tip a fold: such groups go by hash into BUNDLES,
+    which are dealt like groups. So the driver holds at most 1 / SMALL groups for each class, whatever the input.
     """
     least = least_groups(rows, label, group).first()["min_groups"] or 0
     k = min(folds, least)
@@ -95,22 +98,28 @@ def group_folds(rows: DataFrame, label: str = "genus", group: str = "accession",
         warnings.warn(f"{k} folds instead of {folds}: a class has {least} groups", stacklevel=2)
     if k < 2:
         return None
-    table = rows.groupBy(group, label).agg(F.count("*").alias("n"))
-    cells = table.orderBy(group, label).limit(1_000_001).collect()
-    if len(cells) > 1_000_000:  # too many for the driver: folds by hash are as even as so many groups allow
-        return rows.select(group).distinct().withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
-    by_group: dict = {}
-    totals: dict = {}
-    for r in cells:
-        by_group.setdefault(r[group], {})[r[label]] = r["n"]
-        totals[r[label]] = totals.get(r[label], 0) + r["n"]
+    table = rows.select(F.col(group).alias("g"), F.col(label).alias("c")).groupBy("g", "c").agg(F.count("*").alias("n"))
+    totals = {r["c"]: r["n"] for r in table.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    sums = rows.sparkSession.createDataFrame(list(totals.items()), f"t {dict(rows.dtypes)[label]}, total long")
+    cells = table.join(F.broadcast(sums), F.col("c").eqNullSafe(F.col("t")))
+    bundle = F.when(F.max(F.col("n") / F.col("total")) < SMALL, F.pmod(F.xxhash64("g"), F.lit(BUNDLES)).cast("int"))
+    groups = cells.groupBy("g").agg(F.collect_list(F.struct("c", "n")).alias("own"), bundle.alias("bundle"))
+    by_group: dict = {(r["g"], None): {x["c"]: x["n"] for x in r["own"]} for r in groups.filter("bundle is null").collect()}
+    small = groups.filter("bundle is not null")
+    for r in small.select("bundle", F.explode("own").alias("x")).groupBy("bundle", "x.c").agg(F.sum("x.n").alias("n")).collect():
+        by_group.setdefault((None, r["bundle"]), {})[r["c"]] = r["n"]
     held = [dict.fromkeys(totals, 0) for _ in range(k)]
     assigned = []
-    for g, own in sorted(by_group.items(), key=lambda x: (-sum(x[1].values()), str(x[0]))):
+    for g, own in sorted(by_group.items(), key=lambda x: (-sum(x[1].values()), str(x[0][0]), x[0][1] or 0)):
+        own = dict(sorted(own.items(), key=lambda x: str(x[0])))
         cost = [sum((held[f][c] + n) ** 2 - held[f][c] ** 2 for c, n in ((c, n / totals[c]) for c, n in own.items())) for f in range(k)]
         best = min(range(k), key=lambda f: (cost[f], sum(held[f].values()), f))
         for c, n in own.items():
             held[best][c] += n / totals[c]
         assigned.append((g, best))
     kind = dict(rows.dtypes)[group]
-    return rows.sparkSession.createDataFrame(assigned, f"{group} {kind}, fold int")
+    out = rows.sparkSession.createDataFrame([(g, f) for (g, b), f in assigned if b is None], f"{group} {kind}, fold int")
+    if bundles := [(b, f) for (_, b), f in assigned if b is not None]:
+        dealt = small.join(F.broadcast(rows.sparkSession.createDataFrame(bundles, "bundle int, fold int")), "bundle")
+        out = out.unionByName(dealt.select(F.col("g").alias(group), "fold"))
+    return out

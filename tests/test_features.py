@@ -80,6 +80,19 @@ def test_folds(spark):
         assert split.group_folds(manifest_rows(spark, 2), folds=5) is None
 
 
+def test_folds_of_many_groups(spark):
+    many = spark.range(1_000_000).select(F.col("id").alias("accession"), F.lit("a").alias("genus"))
+    large = spark.range(500_000).select(F.lit(-1).cast("long").alias("accession"), F.lit("a").alias("genus"))
+    rare = spark.createDataFrame([(-2 - i // 3, "b") for i in range(6)], "accession long, genus string")
+    rows = many.unionByName(large).unionByName(rare)
+    with pytest.warns(UserWarning, match="folds instead"):
+        folds = split.group_folds(rows).cache()
+    assert folds.count() == folds.select("accession").distinct().count() == 1_000_003
+    n = {(r["genus"], r["fold"]): r["n"] for r in rows.join(folds, "accession").groupBy("genus", "fold").agg(F.count("*").alias("n")).collect()}
+    assert n["b", 0] == n["b", 1] == 3 and abs(n["a", 0] - n["a", 1]) < 1500
+    folds.unpersist()
+
+
 def feature_rows(spark, x, **columns):
     return spark.createDataFrame([(i, [float(v) for v in r], *(c[i] for c in columns.values())) for i, r in enumerate(x)], "vec_id long, features array<double>" + "".join(f", {n} string" for n in columns))
 
