@@ -15,6 +15,10 @@ from pyspark.sql.window import Window
 from .models import BoostedTrees
 
 
+#: Values of rows, features and classes that a task holds at once.
+CELLS = 2_000_000
+
+
 @dataclass
 class Tree:
     """Node arrays; leaves have left = -1. value: a row for each node and a column for each class."""
@@ -69,35 +73,46 @@ def expected(tree: Tree) -> np.ndarray:
 
 
 def shapley(tree: Tree, x: np.ndarray, n_features: int) -> np.ndarray:
-    """Values (feature, class) of one row; with expected() they add up to the tree's output.
+    """Values (feature, class) of one row; with expected() they add up to the tree's output."""
+    return shapley_rows(tree, x[None], n_features)[0]
+
+
+def shapley_rows(tree: Tree, x: np.ndarray, n_features: int) -> np.ndarray:
+    """Values (row, feature, class) of many rows at once.
 
     For each leaf, the features on its path are players: one that is known passes all or nothing, one that
     isn't passes the share of its branch. A polynomial in the number of known players, with one feature
-    divided out at a time, weighs all their orders at once.
+    left out at a time, weighs all their orders at once.
     """
-    phi = np.zeros((n_features, tree.value.shape[1]))
-    stack: list[tuple[int, dict[int, tuple[float, float]]]] = [(0, {})]
+    phi = np.zeros((n_features, len(x), tree.value.shape[1]))
+    stack: list[tuple[int, dict[int, tuple[np.ndarray, float]]]] = [(0, {})]
     while stack:
         node, path = stack.pop()
         if tree.left[node] < 0:
-            players = list(path.items())
-            d = len(players)
+            d = len(path)
             if not d:
                 continue
+            one, zero = np.array([o for o, _ in path.values()]), np.array([z for _, z in path.values()])
             weights = np.array([1.0 / (d * _binomial(d - 1, k)) for k in range(d)])
-            for i, (f, (one, zero)) in enumerate(players):
-                poly = np.array([1.0])
-                for j, (_, (o, z)) in enumerate(players):
-                    if j != i:
-                        poly = np.convolve(poly, [z, o])
-                phi[f] += (one - zero) * float(weights @ poly) * tree.value[node]
+            patterns, of = np.unique(one, axis=1, return_inverse=True)
+            others = np.array([[j for j in range(d) if j != i] for i in range(d)], int).reshape(d, d - 1)
+            poly = np.zeros((d, patterns.shape[1], d))
+            poly[:, :, 0] = 1.0
+            for k in range(d - 1):  # one factor (share + known * t) of each player's polynomial
+                j = others[:, k]
+                more = poly * zero[j][:, None, None]
+                more[:, :, 1:] += poly[:, :, :-1] * patterns[j][:, :, None]
+                poly = more
+            share = (patterns - zero[:, None]) * (poly @ weights)
+            for i, f in enumerate(path):
+                phi[f] += share[i][of.reshape(-1), None] * tree.value[node]
             continue
         f = int(tree.feature[node])
-        goes_left = x[f] <= tree.threshold[node]
-        for child, taken in ((int(tree.left[node]), goes_left), (int(tree.right[node]), not goes_left)):
+        goes_left = x[:, f] <= tree.threshold[node]
+        for child, taken in ((int(tree.left[node]), goes_left), (int(tree.right[node]), ~goes_left)):
             one, zero = path.get(f, (1.0, 1.0))
             stack.append((child, {**path, f: (one * taken, zero * tree.cover[child] / tree.cover[node])}))
-    return phi
+    return phi.transpose(1, 0, 2)
 
 
 def _binomial(n: int, k: int) -> float:
@@ -115,10 +130,12 @@ def explain(rows: DataFrame, trees: list[Tree], names: list[str], key: str = "se
     def run(batches):
         trees, names = given.value
         for p in batches:
-            for k, x in zip(p[key], p[features], strict=True):
-                phi = sum(shapley(t, np.asarray(x, float), len(names)) for t in trees)
-                f, c = np.nonzero(phi)
-                yield pd.DataFrame({key: [k] * len(f), "class": c.astype(np.int64), "kmer": [names[i] for i in f], "shap": phi[f, c]})
+            size = max(1, CELLS // (len(names) * trees[0].value.shape[1]))
+            for i in range(0, len(p), size):
+                keys, x = p[key].iloc[i : i + size].to_numpy(), np.array(p[features].iloc[i : i + size].to_list(), float)
+                phi = sum(shapley_rows(t, x, len(names)) for t in trees)
+                r, f, c = np.nonzero(phi)
+                yield pd.DataFrame({key: keys[r], "class": c.astype(np.int64), "kmer": [names[j] for j in f], "shap": phi[r, f, c]})
 
     return rows.select(key, F.transform(features, lambda x: x.cast("double")).alias(features)).mapInPandas(run, f"{key} {kind}, class long, kmer string, shap double")
 

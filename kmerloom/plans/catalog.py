@@ -540,7 +540,7 @@ def rf_fit(spark, sf_dir):
     from ..config import Forest
 
     rows = _prepared(spark, sf_dir)
-    model = models.train("random_forest", rows.filter("split = 'train'"), forest=Forest(trees=40, depth=8))
+    model = models.train("random_forest", rows.filter("split = 'train'"), forest=Forest())
     return models.predict(model, rows.filter("split = 'test'")).select("vec_id", "y", "pred", "proba")
 
 
@@ -549,10 +549,10 @@ def shap_top_features(spark, sf_dir):
     from ..config import Forest
 
     rows = _prepared(spark, sf_dir)
-    model = models.train("random_forest", rows.filter("split = 'train'"), forest=Forest(trees=5, depth=4))
+    model = models.train("random_forest", rows.filter("split = 'train'"), forest=Forest())
     test = rows.filter("split = 'test'")
     values = explain.explain(test, explain.trees_of(spark, model), [f"f{i}" for i in range(N_FEATURES)], "vec_id")
-    return explain.strongest(values, test.count(), 5)
+    return explain.strongest(values, test.count())
 
 
 @query()

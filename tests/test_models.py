@@ -110,3 +110,31 @@ def test_boosted_attributions(spark):
     names = data(spark, 60).select("sequence_id", "genus", "accession")
     out = pipeline.train_and_evaluate(rows.select("sequence_id", "genus", "features", F.col("split")), names.select("sequence_id", "accession"), ["f0", "f1", "f2"], model="boosted_trees", cross_validate=False, boosting=Boosting(rounds=2, depth=2))
     assert out.shap is not None and {r["class"] for r in out.shap.select("class").distinct().collect()} == {0, 1, 2}
+
+
+def test_registered_forests_are_of_the_default_size(spark, monkeypatch):
+    from kmerloom.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def train(name, rows, validation=None, forest=None):
+        assert (name, forest or Forest()) == ("random_forest", Forest())
+        raise Seen
+
+    monkeypatch.setattr(models, "train", train)
+    for q in ("rf_fit", "shap_top_features"):
+        with pytest.raises(Seen):
+            catalog.QUERIES[q](spark, "/root/testdata/sf0.001")
+
+
+def test_attributions_of_many_rows_are_those_of_each():
+    r = np.random.default_rng(8)
+    tree = explain.Tree(np.array([0, 1, 0, -1, -1, -1, -1]), np.array([0.0, 0.2, 0.5, 0, 0, 0, 0]), np.array([1, 3, 5, -1, -1, -1, -1]), np.array([2, 4, 6, -1, -1, -1, -1]), np.array([10.0, 6, 4, 1, 5, 3, 1]), r.random((7, 2)))
+    x = r.normal(size=(50, 3))
+    phi = explain.shapley_rows(tree, x, 3)
+    for row, p in zip(x, phi, strict=True):
+        at = 0
+        while tree.left[at] >= 0:
+            at = tree.left[at] if row[tree.feature[at]] <= tree.threshold[at] else tree.right[at]
+        assert np.allclose(p.sum(0) + explain.expected(tree), tree.value[at]) and np.allclose(p, explain.shapley(tree, row, 3))
