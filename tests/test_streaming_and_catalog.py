@@ -49,6 +49,18 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_the_corpus_operators(monkeypatch):
+    """The pipeline's file may be there when the subpackage isn't."""
+    import importlib.util
+
+    import __spark_entry__ as entry
+
+    real = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("kmerloom.llm") else real(name, *a))
+    assert set(entry.queries()) == set(catalog.QUERIES)
+    assert set(entry.oracle_sql()) == set(catalog.ORACLES)
+
+
 def test_long_pairs_of_all_features(spark):
     got = {(r["f1"], r["f2"]): r["r"] for r in catalog.QUERIES["corr_pairs_long_all"](spark, DIR).collect()}
     x = np.array([r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("embedding").collect()], float)
