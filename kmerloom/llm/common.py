@@ -1,19 +1,22 @@
-"""What the operators share: scratch tables, Arrow batches and byte-level text rules."""
+"""What the operators share: scratch tables, files for all workers, Arrow batches and byte-level text rules."""
 
 from __future__ import annotations
 
 import gc
+import mmap
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch: texts may be long, so batches hold few of them.
-BATCH_ROWS = 1000
+#: Rows and bytes of strings that an operator gets at once; a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: White space of the text contracts.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -21,11 +24,13 @@ SPACE = " \t\n\x0b\x0c\r"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables in the folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    temporary folder is set as the checkpoint directory and used.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the master is this machine
+    (tests) a temporary folder is set as the checkpoint directory and used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="kmerloom-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -62,10 +67,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bytes(column: pa.Array) -> np.ndarray | int:
+    """Bytes of each row's string, or of any row where rows don't differ by much."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return 8
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes of strings, whatever Spark sends."""
+    for b in batches:
+        if b.num_rows <= BATCH_ROWS and b.nbytes <= BATCH_BYTES:
+            yield b
+            continue
+        ends = np.cumsum(np.broadcast_to(sum(map(_bytes, b.columns)), b.num_rows))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(max(int(np.searchsorted(ends, before + BATCH_BYTES, "right")), at + 1), at + BATCH_ROWS, b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow with batches small enough for long texts; Spark's own bound on a batch's bytes holds before that."""
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+
+
+def ship(spark: SparkSession, data: bytes, name: str) -> str:
+    """Stores bytes in the shared folder and has Spark give each executor one copy as a file; returns the file's name.
+
+    Executors that come later fetch it too.
+    """
+    path = scratch(spark, name)
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(to, True)
+    try:
+        for i in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[i : i + (1 << 22)]))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(to.toString())
+    return path.rpartition("/")[2]
+
+
+def mapped(name: str) -> mmap.mmap:
+    """A shipped file, memory-mapped: the workers of an executor share its pages."""
+    from pyspark import SparkFiles
+
+    with open(SparkFiles.get(name), "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
 def texts(column: pa.Array) -> list[str]:
