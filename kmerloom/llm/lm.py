@@ -402,9 +402,9 @@ def encoded(docs: DataFrame, frequent: list[bytes], known: list[tuple[bytes, int
             total = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: B023, E731
             row = random.integers(-(1 << 63), 1 << 63, len(many), dtype=np.int64)
             rare = ids < 0
-            log = np.where(rare, 0.0, logs[ids])  # of counts known here; those of rare words are joined
+            log = np.where(rare, 0.0, logs[np.maximum(ids, 0)])  # of counts known here; those of rare words are joined
             shares = share[w] + np.where(w >= shape.own, log, 0.0)
-            yield batch(_PART, row, b["doc_id"], b["tie"], n, total(np.where(rare, 0, seen[ids])), total(log), total(shares), [w[i:j].tobytes() for i, j in zip(begin, begin[1:], strict=False)], pa.nulls(len(many), pa.string()), pa.nulls(len(many), pa.int64()))
+            yield batch(_PART, row, b["doc_id"], b["tie"], n, total(np.where(rare, 0, seen[np.maximum(ids, 0)])), total(log), total(shares), [w[i:j].tobytes() for i, j in zip(begin, begin[1:], strict=False)], pa.nulls(len(many), pa.string()), pa.nulls(len(many), pa.int64()))
             at = np.flatnonzero(rare)
             if len(at):
                 new = Counter(zip(np.searchsorted(begin[:-1], at, "right").tolist(), [flat[i] for i in at], strict=True))
