@@ -1,5 +1,9 @@
+import random
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from kmerloom.llm import decontaminate
 
 
@@ -20,14 +24,33 @@ def plain(text, items, size=10):
 def test_against_plain(spark, docs, corpus, edges):
     passage = corpus[0][1].split()
     items = [("1", " ".join(passage[5:30])), ("10", "Short ITEM, here"), ("2", None), ("3", ""), ("4", " ".join(passage[20:32])), ("5", " ".join(passage[5:30]))]
-    rows = corpus[:40] + [r for r in edges if r[0] not in (900_004, 900_006)] + [(7001, "a short-item: HERE short item here"), (7002, " ".join(passage[5:14])), (7003, "é " + " ".join(passage[8:18]) + " – " + " ".join(passage[6:16]))]
+    rows = corpus[:40] + edges + [(7004, ("filler " * 700 + " ".join(passage[5:17]) + " x ") * 3)] + [(7001, "a short-item: HERE short item here"), (7002, " ".join(passage[5:14])), (7003, "é " + " ".join(passage[8:18]) + " – " + " ".join(passage[6:16]))]
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id string, text string, doc_id string")
-    want = {i: plain(t, items) for i, t in rows}
+    order = lambda r: (r[0] is None, r[0] or 0)
+    want = sorted(((i, *plain(t, items)) for i, t in rows), key=order)
     for part_bytes in (1 << 20, 60):
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["item_ids"])) for r in decontaminate.decontaminate(docs(rows), bench, part_bytes=part_bytes).collect()}
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["item_ids"])) for r in decontaminate.decontaminate(docs(rows), bench, part_bytes=part_bytes).collect()), key=order)
         assert got == want
-    clean = {r["doc_id"] for r in decontaminate.drop_contaminated(docs(rows), bench, part_bytes=60).collect()}
-    assert clean == {i for i, w in want.items() if not w[1]}
+    clean = sorted(((r["doc_id"],) for r in decontaminate.drop_contaminated(docs(rows), bench, part_bytes=60).collect()), key=order)
+    assert clean == [(w[0],) for w in want if not w[2]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=6), st.lists(st.lists(st.sampled_from("abcd"), max_size=40), min_size=1, max_size=4))
+def test_automaton(items, many):
+    """Few words, so that patterns overlap and end within each other."""
+    named = [(str(k % 4), " ".join(w)) for k, w in enumerate(items)]
+    built = decontaminate.build(named, 4)
+    cut = [[x.encode() for x in w] for w in many]
+    got = decontaminate.Automaton(built, 4).scan(cut) if built else [([], set())] * len(cut)
+    for (ranges, ids), w in zip(got, many, strict=True):
+        assert (len(w), sum(z - a + 1 for a, z in ranges), sorted(ids)) == plain(" ".join(w), named, 4)
+
+
+def test_automaton_is_small():
+    r = random.Random(2)
+    items = [(str(k), " ".join(f"w{r.randrange(20_000)}" for _ in range(100))) for k in range(1500)]
+    assert len(decontaminate.build(items)) < 33 * sum(len(t) for _, t in items)  # 16 MB of items: about 500 MB
 
 
 def test_spans_are_of_the_original(spark, docs):
