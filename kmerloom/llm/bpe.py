@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import tempfile
 import uuid
 from collections import Counter
 from heapq import heapify, heappop, heappush
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, documents, keep, most_frequent, texts
+from .common import arrow_map, batch, discard, documents, keep, mapped, most_frequent, ship, texts
 
 #: Words in the lexicon: bounds the broadcast to a few MB.
 LEXICON_WORDS = 60_000
@@ -214,17 +213,13 @@ def compile_lexicon(entries: dict[bytes, bytes]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, memory-mapped from a file that has no name any more: nothing is left behind."""
-
-    def __init__(self, data: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes = np.frombuffer(self.map, np.uint32, 6)
+    """A compiled lexicon; its arrays lie in the file's map, or in the bytes given."""
+
+    def __init__(self, data: mmap.mmap | bytes):
+        sizes = np.frombuffer(data, np.uint32, 6)
         at, parts = 24, []
         for n in sizes:
-            parts.append(np.frombuffer(self.map, np.uint32, int(n), at))
+            parts.append(np.frombuffer(data, np.uint32, int(n), at))
             at += 4 * int(n)
         self.keys, self.targets, self.outputs, self.final, self.starts, self.ids = parts
 
@@ -241,7 +236,7 @@ class Lexicon:
         number = np.zeros(len(words), np.int64)
         step = 0
         while len(live):
-            key = state[live] * 256 + raw[start[live] + step]
+            key = (state[live] * 256 + raw[start[live] + step]).astype(np.uint32)  # as keys are, or all of them would be copied
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             there = self.keys[at] == key
             live, at = live[there], at[there]
@@ -259,7 +254,7 @@ class Lexicon:
 class Encoder:
     """Encodes and decodes in one worker. lexicon: a compiled one, or None to merge every word."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: bytes | None = None):
+    def __init__(self, vocabulary: Vocabulary, lexicon: mmap.mmap | bytes | None = None):
         self.vocabulary, self.lexicon, self.memo = vocabulary, Lexicon(lexicon) if lexicon else None, {}
 
     def pretokens(self, text: str) -> list[str | int]:
@@ -302,11 +297,11 @@ class Encoder:
 _LAST: dict[str, Encoder] = {}
 
 
-def kept_encoder(key: str, vocabulary: str, lexicon: bytes | None = None) -> Encoder:
-    """The worker's encoder for a call of an operator, key being the call's own."""
+def kept_encoder(key: str, vocabulary: str, lexicon: str | None = None) -> Encoder:
+    """The worker's encoder for a call of an operator, key being the call's own. lexicon: the name of a shipped file."""
     if key not in _LAST:
         _LAST.clear()
-        _LAST[key] = Encoder(Vocabulary(vocabulary), lexicon)
+        _LAST[key] = Encoder(Vocabulary(vocabulary), mapped(lexicon) if lexicon else None)
     return _LAST[key]
 
 
@@ -338,14 +333,15 @@ def lexicon(docs: DataFrame, vocabulary_json: str, words: int = LEXICON_WORDS) -
     counted = arrow_map(docs.select(F.col("text").cast("string").alias("text")), _counts(spark.sparkContext.broadcast(vocabulary_json)), "word string, n long")
     counts = keep(counted.groupBy("word").agg(F.sum("n").alias("n")), "bpe-counts")
     frequent = [w.encode() for w, _ in most_frequent(counts, words)]
+    discard(counts)
     return compile_lexicon(dict(zip(frequent, Vocabulary(vocabulary_json).merge(frequent), strict=True)))
 
 
 def _load(docs: DataFrame, path: str, compiled: bytes | None, words: int):
     with open(path, encoding="utf-8") as f:
         vocabulary_json = f.read()
-    sc = docs.sparkSession.sparkContext
-    return sc.broadcast(vocabulary_json), sc.broadcast(compiled if compiled is not None else lexicon(docs, vocabulary_json, words))
+    spark = docs.sparkSession
+    return spark.sparkContext.broadcast(vocabulary_json), ship(spark, compiled if compiled is not None else lexicon(docs, vocabulary_json, words), "lexicon")
 
 
 def encode(docs: DataFrame, path: str, compiled: bytes | None = None, words: int = LEXICON_WORDS) -> DataFrame:
@@ -354,7 +350,7 @@ def encode(docs: DataFrame, path: str, compiled: bytes | None = None, words: int
     key = uuid.uuid4().hex
 
     def run(batches):
-        encoder = kept_encoder(key, vocabulary.value, lex.value)
+        encoder = kept_encoder(key, vocabulary.value, lex)
         for b in batches:
             yield batch(_IDS, b["doc_id"], _lists(encoder.encode(texts(b["text"]))))
 
@@ -387,7 +383,7 @@ def digests(docs: DataFrame, path: str, compiled: bytes | None = None, words: in
     key = uuid.uuid4().hex
 
     def run(batches):
-        encoder = kept_encoder(key, vocabulary.value, lex.value)
+        encoder = kept_encoder(key, vocabulary.value, lex)
         for b in batches:
             ids = encoder.encode(texts(b["text"]))
             lists = [_lists(ids)] if with_ids else []
