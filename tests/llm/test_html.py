@@ -1,4 +1,5 @@
 import html
+import math
 import re
 
 from kmerloom.llm import html_text
@@ -59,3 +60,55 @@ def test_attributes_and_names_in_real_text():
     for page in (f"<article><h1>T</h1>{f'<p>{P}</p>' * 4}{parts}{more}</article>", f"<body><div class='legal social'><h1>T</h1>{f'<p>{P}</p>' * 4}{parts}{more}</div></body>"):
         assert html_text.extract(page).split("\n") == ["T"] + [text] * 4 + [x for n in ("related", "discussion", "responses", "cookies") for x in (n, text, text)], page
     assert html_text.extract(f"<div class='ad'><p>{P}</p></div>") == text
+
+
+def naive(node):
+    """chars, tags, link chars and link tags of a node, by walking all below it anew; cut and weightless parts don't count."""
+    chars = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+    below = [naive(x) for x in node.items if not isinstance(x, str) and not x.cut and x.weight]
+    c, t, lc, lt = (sum(b[i] for b in below) for i in range(4))
+    if node.tag == "a":
+        return c + chars, t + len(below), c + chars, t + len(below) + 1
+    return c + chars, t + len(below), lc, lt
+
+
+def holds(node):
+    return any(not isinstance(x, str) and not x.cut and (x.tag in html_text.BLOCK or holds(x)) for x in node.items)
+
+
+def naive_density(counts, share):
+    c, t, lc, lt = counts
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    of = max(c / (lc or 1) * (t or 1) / (lt or 1), 1.0)
+    return c / (t or 1) * (math.log(of) / math.log(base) if base > 1 + 1e-9 else math.log(of + 1e-9))  # without links there is nothing to scale by
+
+
+def test_densities_against_naive_tree(spark):
+    """Every node's density, and the node with the largest sum of its children's densities, on pages whose articles are plain blocks."""
+    pages = [re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()]
+    for page in [*pages, f"<body>{CLUTTER}<div><h1>T</h1><p>{P}<a href=/x>linked words</a></p><ul><li><a href=/a>a</a></li></ul></div><div><p>{P}</p><p>{P}</p></div></body>"]:
+        body = html_text.measure(html_text.parse(page))
+        total = naive(body)
+        share = total[2] / total[0]
+        best, most = None, -1.0
+        stack = [body]
+        while stack:
+            node = stack.pop()
+            inside = [x for x in node.items if not isinstance(x, str) and not x.cut]
+            assert math.isclose(node.density, naive_density(naive(node), share), rel_tol=1e-9), node.tag
+            if holds(node) or node.tag in html_text.HOLDS:
+                blocks = sum(naive_density(naive(x), share) * x.weight for x in inside if x.tag in html_text.BLOCK or holds(x))
+                inline = [naive(x) for x in inside if not (x.tag in html_text.BLOCK or holds(x))]
+                own = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+                run = (own + sum(n[0] for n in inline), sum(n[1] + 1 for n in inline), sum(n[2] for n in inline), sum(n[3] for n in inline))
+                if (s := blocks + naive_density(run, share)) > most:
+                    best, most = node, s
+            stack += [x for x in inside if x.weight]
+        assert body.peak is best
+
+
+def test_renamed_landmarks_give_the_same_text(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert html_text.extract(re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"])) == html_text.extract(r["html"])
