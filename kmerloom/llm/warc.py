@@ -1,16 +1,19 @@
 """WARC archives with a two-level capture index.
 
 Writing: each task writes one archive of gzip members, a record for each page; pages whose payload an
-earlier page id has are revisit records. Index entries are sorted by reversed-host URL key over all
-archives and cut into compressed blocks; a sparse directory has the first key of each block. Looking up a
-URL is a binary search of the directory, one of the block, and a range read of the archive.
+earlier page id has are revisit records. Index entries are sorted by reversed-host URL key and page id over
+all archives; each task packs its range of them into a file of compressed blocks, with a sparse directory of
+the blocks' first and last keys behind them. A root of one row for each such file, bounded by the number of
+tasks, says which file to look in. Keys that are looked for are dealt by the root, sorted, searched for in the
+directory and in the block, both by bisection; the records found are read by ranges, archive by archive.
 
 Archives are files in the folder that driver and executors share, reached through pyarrow's file systems;
 their names hold a random part, and only names that a finished task has handed over are ever read, so
 tasks may fail or run twice.
 
 Defined results: a null page is an empty payload; a null URL sorts first, under an empty key; rows of
-one page id are all responses if theirs is the smallest id of the payload; null ids sort last.
+one page id are all responses if theirs is the smallest id of the payload; null ids sort last; rows that
+are alike get a record each.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import json
 import re
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -34,15 +38,15 @@ from .common import arrow_map, batch, keep, scratch
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-BLOCK_ENTRIES = 1000
-#: A directory of up to so many blocks is searched on the driver; a larger one is joined.
-DIRECTORY_ROWS = 1_000_000
+#: Entries of a block, and those of an index file where the input is large.
+BLOCK_ENTRIES, FILE_ENTRIES = 1000, 2_000_000
 OPEN_FILES = 32
+#: Bytes of an archive that one task reads.
+READ_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
-NULL_ID = (1 << 63) - 1
 
 _ENTRY = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_BLOCK = pa.schema([("first", pa.string()), ("last", pa.string()), ("block", pa.string()), ("n", pa.int64()), ("data", pa.binary())])
+_ROOT = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n", pa.int64())])
 RECORD_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
 _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
 
@@ -98,21 +102,22 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a smaller id has. Only digests are shuffled."""
-    small = pages.filter(F.octet_length("html") >= least).select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("bytes"))
-    first = small.groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").drop("last")
-    return small.join(first, ["digest", "bytes"]).filter("page_id > refers_to").select("page_id", "refers_to").distinct()
+    """digest and bytes of the payloads that several ids have, and the smallest of them. Only digests are shuffled."""
+    small = pages.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("page_id").alias("least_id"), F.max("page_id").alias("last"), F.count_if(F.col("page_id").isNull()).alias("nulls"))
+    return small.filter("least_id < last or least_id is not null and nulls > 0").select("digest", "bytes", "least_id")
 
 
 def _pages(pages: DataFrame) -> DataFrame:
-    return pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return p.withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html")})
 
 
 def write(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES) -> DataFrame:
     """Writes archives; returns the index entries (key, page_id, file, offset, length), stored once."""
     folder = folder or scratch(pages.sparkSession, "warc")
     p = _pages(pages)
-    dealt = p.join(revisits(p, least).hint("shuffle_hash"), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    later = (F.col("page_id") > F.col("least_id")) | F.col("page_id").isNull()
+    dealt = p.join(revisits(p, least).hint("shuffle_hash"), ["digest", "bytes"], "left").select("page_id", "url", "html", F.when(later, F.col("least_id")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, offset = None, f"{uuid.uuid4().hex}.warc.gz", 0
@@ -124,7 +129,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES)
                     if out is None:
                         store.create_dir(root, recursive=True)
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    member = record(None if page_id == NULL_ID else page_id, url, html.encode(), refers_to)
+                    member = record(page_id, url, html.encode(), refers_to)
                     out.write(member)
                     rows.append((url_key(url), page_id, f"{folder}/{name}", offset, len(member)))
                     offset += len(member)
@@ -137,26 +142,64 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES)
     return keep(arrow_map(dealt, run, "key string, page_id long, file string, offset long, length long"), "warc-entries")
 
 
-def index(entries: DataFrame, size: int = BLOCK_ENTRIES) -> DataFrame:
-    """Compressed blocks of entries in key order: first, last, block, n, data."""
+def _rank(key: str, page_id: int | None) -> list:
+    """What entries are sorted by: null ids after all others."""
+    return [key, page_id is None, page_id or 0]
 
-    def pack(rows: list[tuple]) -> tuple:
-        data = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in rows).encode(), 6)
-        return rows[0][0], rows[-1][0], uuid.uuid4().hex, len(rows), data
+
+def _pack(rows: list) -> bytes:
+    return zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in rows).encode(), 6)
+
+
+@dataclass
+class Index:
+    """The root: of each index file, in order, its first and last rank, its name, and where its directory is."""
+
+    root: list[tuple[list, list, str, int, int]]
+
+
+def index(entries: DataFrame, size: int = BLOCK_ENTRIES) -> Index:
+    """Files of compressed blocks of entries in order, each with its directory: rows of first rank, last rank, offset, length."""
+    folder = scratch(entries.sparkSession, "warc-index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        out, name, offset, n = None, f"{uuid.uuid4().hex}.idx", 0, 0
         rows: list[tuple] = []
-        for b in batches:
-            rows += zip(*(b[n].to_pylist() for n in _ENTRY.names), strict=True)
-            while len(rows) >= size:
-                yield batch(_BLOCK, *zip(pack(rows[:size]), strict=True))
-                rows = rows[size:]
-        if rows:
-            yield batch(_BLOCK, *zip(pack(rows), strict=True))
+        directory: list[tuple] = []
+
+        def block(of: list[tuple]) -> None:
+            nonlocal out, offset, n
+            if out is None:
+                store.create_dir(root, recursive=True)
+                out = store.open_output_stream(f"{root}/{name}", compression=None)
+            data = _pack(of)
+            out.write(data)
+            directory.append((_rank(*of[0][:2]), _rank(*of[-1][:2]), offset, len(data)))
+            offset, n = offset + len(data), n + len(of)
+
+        try:
+            for b in batches:
+                rows += zip(*(b[c].to_pylist() for c in _ENTRY.names), strict=True)
+                while len(rows) >= size:
+                    block(rows[:size])
+                    rows = rows[size:]
+            if rows:
+                block(rows)
+            if directory:
+                data = _pack(directory)
+                out.write(data)
+        finally:
+            if out is not None:
+                out.close()
+        if directory:
+            yield batch(_ROOT, [json.dumps(directory[0][0])], [json.dumps(directory[-1][1])], [f"{folder}/{name}"], [offset], [len(data)], [n])
 
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.repartitionByRange(n, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return keep(arrow_map(dealt, run, "first string, last string, block string, n long, data binary"), "warc-index")
+    order = ["key", F.col("page_id").isNull(), "page_id", "file", "offset"]
+    n = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // FILE_ENTRIES)
+    dealt = entries.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    root = arrow_map(dealt, run, "first string, last string, file string, offset long, length long, n long").collect()
+    return Index(sorted((json.loads(r["first"]), json.loads(r["last"]), r["file"], r["offset"], r["length"]) for r in root))
 
 
 def unpack(data: bytes) -> list[list]:
@@ -181,64 +224,90 @@ class _Files:
         return f.read(length)
 
 
-def _records(files: _Files, entries: list[list]) -> pa.RecordBatch:
-    rows = []
-    for _, page_id, name, offset, length in sorted(entries, key=lambda e: (e[2], e[3])):
-        fields, payload = parse(files.read(name, offset, length))
-        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-        if fields["warc-type"] == "response" and (digest32(payload) != digest or len(payload) != int(fields["x-payload-length"])):
-            raise ValueError(f"payload of page {page_id} doesn't match its digest")
-        refers = fields.get("x-refers-to-page-id")
-        rows.append((None if page_id == NULL_ID else page_id, fields.get("warc-target-uri"), fields["warc-type"], int(fields["x-payload-length"]), digest, int(refers) if refers else None, payload.decode() if fields["warc-type"] == "response" else None))
-    return batch(_RECORD, *zip(*rows, strict=True)) if rows else batch(_RECORD, *[[]] * len(_RECORD))
+def _between(firsts: list, lasts: list, low: list, high: list) -> range:
+    """Of consecutive ranges, in order, those that may hold what lies between low and high."""
+    return range(bisect_left(lasts, low), bisect_right(firsts, high))
 
 
-def read(blocks: DataFrame) -> DataFrame:
-    """All records, by range reads of what the index blocks list. Payloads of revisits are null."""
+def _bounds(key: str, page_id: int | None, every: bool) -> tuple[list, list]:
+    """The ranks between which entries of a key lie, of every page or of one."""
+    return ([key, False, -(1 << 63)], [key, True, 0]) if every else (_rank(key, page_id),) * 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files()
+
+class _Searcher:
+    """Bisects the directory of one index file after the other, and its blocks; holds one directory and one block."""
+
+    def __init__(self, ix: Index):
+        self.root, self.files, self.part, self.block = ix.root, _Files(), -1, -1
+
+    def find(self, part: int, low: list, high: list) -> Iterator[list]:
+        name = self.root[part][2]
+        if part != self.part:
+            directory = unpack(self.files.read(name, *self.root[part][3:5]))
+            self.part, self.block, self.directory = part, -1, directory
+            self.firsts, self.lasts = [d[0] for d in directory], [d[1] for d in directory]
+        for i in _between(self.firsts, self.lasts, low, high):
+            if i != self.block:
+                self.block, self.entries = i, unpack(self.files.read(name, *self.directory[i][2:4]))
+                self.ranks = [_rank(*e[:2]) for e in self.entries]
+            for j in range(bisect_left(self.ranks, low), bisect_right(self.ranks, high)):
+                yield self.entries[j]
+
+
+def locate(ix: Index, wanted: DataFrame) -> DataFrame:
+    """file, offset and length of the records of wanted rows (url, page_id, every); rows that are alike are looked for once."""
+    given = wanted.sparkSession.sparkContext.broadcast(ix)
+    dealt = pa.schema([("part", pa.int32()), ("key", pa.string()), ("page_id", pa.int64()), ("every", pa.bool_())])
+    found = pa.schema([(n, _ENTRY.field(n).type) for n in ("file", "offset", "length")])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = [r[0] for r in given.value.root], [r[1] for r in given.value.root]
+        for b in batches:
+            rows = [(part, key, page_id, every) for url, page_id, every in zip(*(b[n].to_pylist() for n in ("url", "page_id", "every")), strict=True) for key in [url_key(url)] for part in _between(firsts, lasts, *_bounds(key, page_id, every))]
+            yield batch(dealt, *(zip(*rows, strict=True) if rows else [[]] * len(dealt)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher, last = _Searcher(given.value), None
         for b in batches:
-            for data in b["data"].to_pylist():
-                yield _records(files, unpack(data))
+            rows = []
+            for w in zip(*(b[n].to_pylist() for n in dealt.names), strict=True):
+                if w != last:
+                    rows += [e[2:5] for e in searcher.find(w[0], *_bounds(*w[1:]))]
+                last = w
+            yield batch(found, *(zip(*rows, strict=True) if rows else [[]] * len(found)))
 
-    return arrow_map(blocks.select("data"), run, RECORD_SCHEMA)
+    parts = max(1, len(ix.root))
+    by_part = arrow_map(wanted.select("url", "page_id", "every"), deal, "part int, key string, page_id long, every boolean").repartitionById(parts, F.col("part"))
+    return arrow_map(by_part.sortWithinPartitions("part", "key", F.col("page_id").isNull(), "page_id", "every"), search, "file string, offset long, length long")
 
 
-def lookup(spark: SparkSession, blocks: DataFrame, urls: list[str], most: int = DIRECTORY_ROWS) -> DataFrame:
-    """All records whose key is that of one of the URLs."""
-    keys = sorted({url_key(u) for u in urls})
-    if blocks.count() <= most:
-        directory = sorted(tuple(r) for r in blocks.select("first", "last", "block").collect())
-        firsts, wanted = [d[0] for d in directory], {}
-        for k in keys:
-            i = max(0, bisect_left(firsts, k) - 1)
-            while i < len(directory) and directory[i][0] <= k:  # a key may run on over several blocks
-                if directory[i][1] >= k:
-                    wanted.setdefault(directory[i][2], []).append(k)
-                i += 1
-        chosen = spark.createDataFrame([(b, k) for b, k in wanted.items()], "block string, keys array<string>").join(blocks, "block")
-    else:
-        asked = spark.createDataFrame([(k,) for k in keys], "key string")
-        chosen = blocks.join(F.broadcast(asked), (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).groupBy("block").agg(F.collect_list("key").alias("keys"), F.first("data").alias("data"))
+def fetch(located: DataFrame) -> DataFrame:
+    """The records at (file, offset, length), by range reads in the order of each archive. Payloads of revisits are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files()
         for b in batches:
-            for data, of in zip(b["data"].to_pylist(), b["keys"].to_pylist(), strict=True):
-                entries = unpack(data)
-                listed = [e[0] for e in entries]
-                hits = []
-                for k in of:
-                    i = bisect_left(listed, k)
-                    while i < len(listed) and listed[i] == k:
-                        hits.append(entries[i])
-                        i += 1
-                yield _records(files, hits)
+            rows = []
+            for name, offset, length in zip(*(b[n].to_pylist() for n in ("file", "offset", "length")), strict=True):
+                fields, payload = parse(files.read(name, offset, length))
+                digest, response = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"] == "response"
+                if response and (digest32(payload) != digest or len(payload) != int(fields["x-payload-length"])):
+                    raise ValueError(f"a payload at {offset} of {name} doesn't match its digest")
+                page_id, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
+                rows.append((int(page_id) if page_id else None, fields.get("warc-target-uri"), fields["warc-type"], int(fields["x-payload-length"]), digest, int(refers) if refers else None, payload.decode() if response else None))
+            yield batch(_RECORD, *(zip(*rows, strict=True) if rows else [[]] * len(_RECORD)))
 
-    return arrow_map(chosen.select("data", "keys"), run, RECORD_SCHEMA)
+    piece = F.floor(F.col("offset") / READ_BYTES)
+    return arrow_map(located.repartition("file", piece).sortWithinPartitions("file", "offset"), run, RECORD_SCHEMA)
+
+
+def lookup(spark: SparkSession, ix: Index, urls: list[str]) -> DataFrame:
+    """All records whose key is that of one of the URLs."""
+    asked = sorted({url_key(u): u for u in urls}.values())
+    return fetch(locate(ix, spark.createDataFrame([(u, None, True) for u in asked], "url string, page_id long, every boolean")))
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES) -> DataFrame:
-    """Writes the pages, indexes the archives and reads every record back."""
-    return read(index(write(pages, folder, least)))
+    """Writes the pages, indexes the archives, and looks each page up again."""
+    ix = index(write(pages, folder, least))
+    return fetch(locate(ix, pages.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id"), F.lit(False).alias("every"))))

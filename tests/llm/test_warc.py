@@ -57,10 +57,23 @@ def test_lookup(spark):
     keys = {warc.url_key(u) for u in asked}
     want = sorted((i, h) for i, u, h in rows if warc.url_key(u) in keys)
     assert want and sorted((r["page_id"], r["payload"]) for r in warc.lookup(spark, blocks, asked).collect()) == want
-    assert sorted((r["page_id"], r["payload"]) for r in warc.lookup(spark, blocks, asked, most=0).collect()) == want
     assert warc.lookup(spark, blocks, ["http://nowhere.example.com/"]).count() == 0
 
 
+def test_one_key_over_many_blocks_and_files(spark):
+    """A third of all pages have one URL; rows that are alike get a record each; one id has several payloads."""
+    rows = [(i, "http://hot.example.com/" if i % 3 else f"http://h.example.com/{i}", f"page {i // 2}") for i in range(120)] + [(7, "http://hot.example.com/", "page 3")] * 2 + [(7, "http://hot.example.com/", "page 0"), ((1 << 63) - 1, "http://hot.example.com/", "page 1")]
+    index = warc.index(warc.write(pages(spark, rows)), size=4)
+    assert len(index.root) > 1
+    got = sorted((r["page_id"], r["payload"]) for r in warc.lookup(spark, index, ["http://hot.example.com/"]).filter("record_type = 'response'").collect())
+    first = {}
+    for i, _, h in rows:
+        first[h] = min(first.get(h, 1 << 70), i)
+    assert got == sorted((i, h) for i, u, h in rows if "hot" in u and first[h] == i)
+    every = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in warc.archive(pages(spark, rows)).collect())
+    assert every == sorted((i, "response" if first[h] == i else "revisit", 0 if first[h] == i else first[h]) for i, _, h in rows)
+
+
 def test_keys():
     assert warc.url_key("https://m.Example.com:8080/A?b=C#d") == "com,example,m:8080)/A?b=C"
     assert warc.url_key("http://example.com") == warc.url_key("https://example.com:443/") == "com,example)/"
