@@ -13,7 +13,8 @@ listed, unless their estimate or their smallest hashes rule them out. A pair at
 with a chance of 5e-6.
 
 Defined results: null, empty and wordless texts have no shingles and stand alone; one to four words are
-one shingle; rows of one id count as copies if their texts agree; null ids sort after all others.
+one shingle; rows of one id are judged one by one, each by its own text; null ids sort after all others.
+Sets, not ids, are what is linked: each distinct set gets a number of its own, called node.
 """
 
 from __future__ import annotations
@@ -42,16 +43,16 @@ LEAST_EQUAL = int((LEAST_ESTIMATE - 0.04) * REGISTERS)
 BOTTOM = 512
 #: Members of a bucket that are compared in one task; larger buckets are compared block by block.
 BLOCK = 2000
-SALTS = 16
+#: Partners of a document that one task verifies.
+PARTNERS = 1000
 MEMO_WORDS = 400_000
-NULL_ID = (1 << 63) - 1
 
 _MIX = np.random.default_rng(0x5E75)
 _XOR = _MIX.integers(1, 1 << 32, REGISTERS, dtype=np.uint32)
 _MUL = _MIX.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("registers", pa.binary())])
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("registers", pa.binary())])
 
 
 class Shingler:
@@ -119,25 +120,26 @@ def likeliest(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    return documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    """tie tells the texts of one id apart."""
+    return documents(docs).withColumn("tie", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), d1 and d2 (a hash of the set), registers, for every row."""
+    """doc_id, tie, n (shingles), d1 and d2 (a hash of the set), registers, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in batches:
             sets = [shingler.shingles(t) for t in texts(b["text"])]
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            yield batch(_SKETCHED, b["doc_id"], [len(s) for s in sets], both[:, 0], both[:, 1], [registers(s).tobytes() for s in sets])
+            yield batch(_SKETCHED, b["doc_id"], b["tie"], [len(s) for s in sets], both[:, 0], both[:, 1], [registers(s).tobytes() for s in sets])
 
-    return arrow_map(_ids(docs), run, "doc_id long, n long, d1 long, d2 long, registers binary")
+    return arrow_map(_ids(docs), run, "doc_id long, tie long, n long, d1 long, d2 long, registers binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(bucket, band, doc_id, n): a row for each band."""
-    schema = pa.schema([("bucket", pa.int64()), ("band", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64())])
+    """(bucket, band, node, n): a row for each band."""
+    schema = pa.schema([("bucket", pa.int64()), ("band", pa.int8()), ("node", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,10 +147,10 @@ def bands(reps: DataFrame) -> DataFrame:
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), r.shape[:2])
             for k in range(ROWS):
                 key = _mixed(key * _STEP + r[:, :, k])
-            ids, n = (np.repeat(b[c].to_numpy(zero_copy_only=False), BANDS) for c in ("doc_id", "n"))
+            ids, n = (np.repeat(b[c].to_numpy(zero_copy_only=False), BANDS) for c in ("node", "n"))
             yield batch(schema, key.ravel().astype(np.int64), np.tile(np.arange(BANDS, dtype=np.int8), len(r)), ids, n)
 
-    return arrow_map(reps.select("doc_id", "n", "registers"), run, "bucket long, band tinyint, doc_id long, n long")
+    return arrow_map(reps.select("node", "n", "registers"), run, "bucket long, band tinyint, node long, n long")
 
 
 def _near(a: str, b: str) -> str:
@@ -157,8 +159,8 @@ def _near(a: str, b: str) -> str:
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Of pairs (u, v), those whose registers allow the threshold."""
-    r = reps.select("doc_id", "n", "registers")
-    both = pairs.join(r.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("registers").alias("ru")), "u").join(r.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("registers").alias("rv")), "v")
+    r = reps.select("node", "n", "registers")
+    both = pairs.join(r.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("registers").alias("ru")), "u").join(r.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("registers").alias("rv")), "v")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +173,14 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Of pairs (u, v), those whose full sets reach the threshold. held: doc_id and text.
+    """Of pairs (u, v), those whose full sets reach the threshold. held: node and text.
 
-    A document's partners are dealt over several tasks, each of which gets its text once and then theirs, one by one.
+    A document's partners are dealt over as many tasks as their number asks for, each of which gets its text once and then theirs, one by one.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    members = salted.join(held.select(F.col("doc_id").alias("v"), "text"), "v").select("u", "salt", "v", "text", F.lit(1).alias("turn"))
-    heads = salted.select("u", "salt").distinct().join(held.select(F.col("doc_id").alias("u"), "text"), "u").select("u", "salt", F.col("u").alias("v"), "text", F.lit(0).alias("turn"))
+    salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
+    salted = pairs.join(salts, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts"))).drop("salts")
+    members = salted.join(held.select(F.col("node").alias("v"), "text"), "v").select("u", "salt", "v", "text", F.lit(1).alias("turn"))
+    heads = salted.select("u", "salt").distinct().join(held.select(F.col("node").alias("u"), "text"), "u").select("u", "salt", F.col("u").alias("v"), "text", F.lit(0).alias("turn"))
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +205,21 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def star_pairs(banded: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's smallest document, if their sizes allow the threshold."""
-    heads = banded.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("members")).filter("members > 1").select("bucket", F.col("head.doc_id").alias("u"), F.col("head.n").alias("nu"))
-    return banded.join(heads, "bucket").filter("doc_id > u").filter(_near("n", "nu")).select("u", F.col("doc_id").alias("v")).distinct()
+    """Each member of a bucket with the bucket's smallest node, if their sizes allow the threshold."""
+    heads = banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).filter("members > 1").select("bucket", F.col("head.node").alias("u"), F.col("head.n").alias("nu"))
+    return banded.join(heads, "bucket").filter("node > u").filter(_near("n", "nu")).select("u", F.col("node").alias("v")).distinct()
 
 
 def smallest(held: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and the smallest BOTTOM shingle hashes, in order: all of them for most documents."""
-    schema = pa.schema([("doc_id", pa.int64()), ("bottom", pa.binary())])
+    """node and the smallest BOTTOM shingle hashes, in order: all of them for most documents."""
+    schema = pa.schema([("node", pa.int64()), ("bottom", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in batches:
-            yield batch(schema, b["doc_id"], [shingler.shingles(t)[:BOTTOM].tobytes() for t in texts(b["text"])])
+            yield batch(schema, b["node"], [shingler.shingles(t)[:BOTTOM].tobytes() for t in texts(b["text"])])
 
-    return arrow_map(held.join(ids, "doc_id", "left_semi").select("doc_id", "text"), run, "doc_id long, bottom binary")
+    return arrow_map(held.join(ids, "node", "left_semi").select("node", "text"), run, "node long, bottom binary")
 
 
 def bottom_similarity(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, float]:
@@ -234,12 +237,12 @@ def cross_pairs(banded: DataFrame, reps: DataFrame, held: DataFrame, found: Data
     A pair is looked at in the first band that it shares. Sets of up to BOTTOM shingles are compared exactly,
     so of a group that hangs together only as many pairs are listed as tie it up.
     """
-    of = banded.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    of = banded.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high").select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
     members = keep(of.join(mixed, "bucket"), "near-mixed")
-    sets = smallest(held, members.select("doc_id").distinct())
-    inside = members.join(reps.select("doc_id", "registers").join(sets, "doc_id"), "doc_id")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    sets = smallest(held, members.select("node").distinct())
+    inside = members.join(reps.select("node", "registers").join(sets, "node"), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = inside.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -257,7 +260,7 @@ def cross_pairs(banded: DataFrame, reps: DataFrame, held: DataFrame, found: Data
             done = len(begin) if b is None else len(begin) - 1  # the last bucket may go on
             carry = None if b is None else t.slice(begin[-1])
             if done:
-                band, ids, n, part, own = (t[c].to_numpy() for c in ("band", "doc_id", "n", "component", "own"))
+                band, ids, n, part, own = (t[c].to_numpy() for c in ("band", "node", "n", "component", "own"))
                 bits, sets = t["registers"].to_pylist(), t["bottom"].to_pylist()
                 us, vs = [], []
                 for x, y in zip(begin[:done], ends[:done], strict=True):
@@ -269,7 +272,7 @@ def cross_pairs(banded: DataFrame, reps: DataFrame, held: DataFrame, found: Data
 
     keys = ["bucket", "low", "high"]
     parts = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "doc_id").select(*keys, "band", "doc_id", "n", "component", "own", "registers", "bottom")
+    sorted_ = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "node").select(*keys, "band", "node", "n", "component", "own", "registers", "bottom")
     return arrow_map(sorted_, run, "u long, v long").distinct()
 
 
@@ -305,14 +308,17 @@ def _ties(ids, n, part, own, bits, sets, band: int, one_block: bool) -> tuple[li
     return us, vs
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links) and kept, for every row."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, n_shingles, component_id (smallest id reachable over links) and kept, for every row."""
     sketched = keep(sketches(docs), "near-sketches")
-    reps = keep(sketched.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "registers")).alias("r")).select("d1", "d2", "r.*"), "near-reps")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("least")
+    sets = sketched.filter("n > 0").groupBy("d1", "d2").agg(least, F.first("n").alias("n"), F.first("registers").alias("registers"))
+    reps = keep(sets.select("d1", "d2", "least.doc_id", "least.tie", "n", "registers", F.monotonically_increasing_id().alias("node")), "near-reps")
     banded = keep(bands(reps), "near-bands")
     tested = keep(estimated(star_pairs(banded), reps), "near-pairs")
-    involved = banded.join(banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "bucket", "left_semi").select("doc_id").distinct()
-    held = keep(_ids(docs).join(involved.hint("shuffle_hash"), "doc_id", "left_semi"), "near-texts")
+    involved = banded.join(banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "bucket", "left_semi").select("node").distinct()
+    of = reps.select("node", F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).join(involved, "node", "left_semi")
+    held = keep(_ids(docs).join(of.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tie").eqNullSafe(F.col("__tie"))).select("node", "text"), "near-texts")
     links = keep(verified(tested, held), "near-links")
     found = keep(components(links), "near-components")
     more = keep(cross_pairs(banded, reps, held, found).join(tested, ["u", "v"], "left_anti"), "near-cross")
@@ -320,14 +326,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionByName(keep(verified(more, held), "near-links"))
         found = keep(components(links), "near-components")
     discard(banded, tested, held, more)
-    classes = reps.select("d1", "d2", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
+    named = found.join(reps.select("node", "doc_id", "d1", "d2"), "node")
+    smallest_ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = named.join(smallest_ids, "component").select("d1", "d2", "component_id", F.lit(True).alias("linked"))
+    classes = reps.select("d1", "d2", "doc_id").join(linked, ["d1", "d2"], "left").select("d1", "d2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sketched.select("doc_id", "tie", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = sketched.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
-    null = lambda c: F.when(F.col(c) < NULL_ID, F.col(c)).alias(c)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).select(null("doc_id"), "n_shingles", null("component_id"), "kept")
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), alone.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links) and kept, for every row."""
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows, whole, of the document with the smallest id of each group; documents without words all stay."""
-    stay = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows, whole, of the document with the smallest id of each group; documents without words all stay, and so do rows that are alike.
+
+    Of an id with several texts, only the rows whose text is kept stay.
+    """
+    stay = _judged(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("__tie")), "left_semi")

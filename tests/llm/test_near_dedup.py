@@ -32,7 +32,7 @@ def plain(rows):
 def test_against_plain(spark, docs, corpus, edges):
     r = random.Random(0)
     base = corpus[6][1].split()[:300]
-    rows = corpus + [e for e in edges if e[0] is not None and e[0] != 900_006]
+    rows = corpus + [e for e in edges if e[0] is not None]
     for i in range(60):  # a chain of ever more distant copies
         w = list(base)
         for k in range(i // 2):
@@ -53,6 +53,17 @@ def test_null_ids_and_repeats(spark, docs):
     assert near_dedup.near_duplicates(docs([])).count() == 0
 
 
+def test_an_id_with_several_texts(spark, docs):
+    """Links are of texts, whichever ids have them."""
+    a = [f"w{i}" for i in range(100)]
+    b = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(["x", *a[1:], "y"])), (3, " ".join([*b, "z"])), (4, "one two three"), (3, "something else that no other text of all these says"), ((1 << 63) - 1, "the largest id there is"), (None, "the largest id there is")]
+    got = sorted(((x["doc_id"] or 0, x["n_shingles"], x["component_id"] or 0, x["kept"]) for x in near_dedup.near_duplicates(docs(rows)).collect()))
+    top = (1 << 63) - 1
+    assert got == [(0, 1, top, False), (1, 96, 1, True), (1, 96, 1, True), (2, 97, 1, False), (3, 6, 3, True), (3, 97, 1, False), (4, 1, 4, True), (top, 1, top, True)]
+    assert sorted((x["doc_id"], x["text"][:9]) for x in near_dedup.one_of_each(docs(rows)).collect()) == [(1, "v0 v1 v2 "), (1, "w0 w1 w2 "), (3, "something"), (4, "one two t"), (top, "the large")]
+
+
 def test_registers():
     r = np.random.default_rng(0)
     a, b = (np.unique(r.integers(0, 2**63, 500).astype(np.uint64)) for _ in range(2))
