@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from .common import arrow_map, batch, documents, keep, texts
 
@@ -35,8 +34,6 @@ LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
 #: Strings of a run that are refined together, round by round.
 WIDTHS = (8, 1)
-#: The stored rows have one file for so many sorted parts.
-FEWER = 8
 #: Bytes of texts that are hashed together: arrays that stay in the cache.
 CHUNK = 1 << 17
 POSITION_BITS = np.uint64(32)
@@ -147,11 +144,7 @@ def _decide(q, u1, u2) -> tuple[np.ndarray, np.ndarray]:
 
 
 def states(rows: DataFrame) -> DataFrame:
-    """doc_id, t, a, n, d, repeated, refine of the runs that are not single already.
-
-    Sorting needs many tasks, what comes of it few files: the decided rows are persisted while the tasks' edges
-    are looked at, then stored in fewer parts.
-    """
+    """doc_id, t, a, n, d, repeated, refine of the runs that are not single already. They are stored: a lost executor costs no second sort."""
     spark = rows.sparkSession
     order = ["q", "u1", "u2", "doc_id", "t", "a"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -181,11 +174,9 @@ def states(rows: DataFrame) -> DataFrame:
         if carry is not None:
             yield _edge(carry, carry.num_rows - 1, part, 1)
 
-    told = arrow_map(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), run, STATE).persist(StorageLevel.DISK_ONLY)
+    told = keep(arrow_map(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), run, STATE), "passages-found")
     edges = told.filter("edge >= 0").orderBy("part", "edge").collect()
-    columns = ["doc_id", "t", "a", "n", "d", "repeated", "refine"]
-    inner = keep(told.filter("edge < 0").select(columns).coalesce(max(1, parts // FEWER)), "passages-found")
-    told.unpersist(True)
+    inner = told.filter("edge < 0").select("doc_id", "t", "a", "n", "d", "repeated", "refine")
     return inner.unionByName(spark.createDataFrame(_edges(edges), "doc_id long, t int, a int, n int, d int, repeated boolean, refine boolean"))
 
 
