@@ -326,10 +326,9 @@ def _judged(docs: DataFrame) -> DataFrame:
         links = links.unionByName(keep(verified(more, held), "near-links"))
         found = keep(components(links), "near-components")
     discard(banded, tested, held, more)
-    named = found.join(reps.select("node", "doc_id", "d1", "d2"), "node")
-    smallest_ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(smallest_ids, "component").select("d1", "d2", "component_id", F.lit(True).alias("linked"))
-    classes = reps.select("d1", "d2", "doc_id").join(linked, ["d1", "d2"], "left").select("d1", "d2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least_ids = found.join(reps.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = found.join(least_ids, "component").select("node", "component_id", F.lit(True).alias("linked"))
+    classes = reps.select("node", "d1", "d2", "doc_id").join(linked, "node", "left").select("d1", "d2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = sketched.select("doc_id", "tie", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), alone.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
