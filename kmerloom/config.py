@@ -17,6 +17,7 @@ class Cleaning:
     terms: tuple[str, ...] = AMBIGUOUS_TERMS
     word_boundary: bool = False  # "sp." as a word of its own instead of any substring
     normalize_t: bool = False  # read T as U before anything else
+    dedup: str = "forward"  # or "both": whether reverse complements are duplicates too
     strand: str = "both"  # or "forward": which strands nested sequences are looked for on
 
 

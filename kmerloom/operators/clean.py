@@ -31,16 +31,25 @@ def with_reason(records: DataFrame, c: Cleaning = Cleaning()) -> DataFrame:  # n
     return records.withColumn("sequence", sequence).withColumn("drop_reason", F.when(ambiguous, "ambiguous_label").otherwise(sequences.quality_reason(F.col("sequence"), c.min_len, c.max_len, c.max_n_frac)))
 
 
+def _scope(records: DataFrame) -> list[str]:
+    """Records are cleaned file by file where they say which file they are from, else genus by genus; ordinals are unique in it."""
+    return ["genus", "file"] if "file" in records.columns else ["genus"]
+
+
 def exact_dedup(records: DataFrame, strand: str = "forward") -> DataFrame:
-    """The first record of each genus and upper-case sequence; strand ``both`` takes reverse complements as equal.
+    """The first record of each genus (and file) and upper-case sequence; strand ``both`` takes reverse complements as equal.
 
     A grouped minimum of the ordinal, not a window: copies are combined before the shuffle.
     """
+    return records.join(_first(records, strand), [*_scope(records), "seq_idx"], "left_semi")
+
+
+def _first(records: DataFrame, strand: str) -> DataFrame:
     key = F.upper("sequence")
     if strand == "both":
         key = F.least(key, sequences.reverse_complement(key))
-    first = records.groupBy("genus", F.xxhash64(key).alias("__h"), key.alias("__k")).agg(F.min("seq_idx").alias("seq_idx")).select("genus", "seq_idx")
-    return records.join(first, ["genus", "seq_idx"], "left_semi")
+    scope = _scope(records)
+    return records.groupBy(*scope, F.xxhash64(key).alias("__h"), key.alias("__k")).agg(F.min("seq_idx").alias("seq_idx")).select(*scope, "seq_idx")
 
 
 def _seeds(sequence: Column) -> Column:
@@ -49,40 +58,52 @@ def _seeds(sequence: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - SPAN + 1), lambda i: F.array_min(F.slice(hashes, i, SPAN))))
 
 
-def _first_seed(sequence: Column) -> Column:
-    return F.array_min(F.slice(F.transform(sequences.windows(F.substring(sequence, 1, SEED + SPAN - 1), SEED), lambda w: F.xxhash64(w)), 1, SPAN))
+def _rarest(probes: DataFrame, outer: DataFrame, scope: list[str]) -> DataFrame:
+    """Each probe's seed that the fewest sequences of its genus have; none for a probe with a seed that no sequence has, or only its own.
+
+    All seeds of a sequence are also its container's, so any one will do; regions that a whole genus shares are never chosen
+    unless a sequence has nothing else.
+    """
+    seeds = probes.select(*scope, "seq_idx", "turned", F.explode(_seeds(F.col("probe"))).alias("seed"))
+    held = outer.select(*scope, "seed").groupBy(*scope, "seed").agg(F.count("*").alias("holders"))
+    found = seeds.join(held, [*scope, "seed"], "left").groupBy(*scope, "seq_idx", "turned").agg(F.min(F.struct("holders", "seed")).alias("best"), F.bool_or(F.col("holders").isNull()).alias("nowhere"))
+    return found.filter("not nowhere and (turned or best.holders > 1)").select(*scope, "seq_idx", "turned", F.col("best.seed").alias("seed"))
 
 
 def nested(records: DataFrame, strand: str = "both") -> DataFrame:
-    """(genus, seq_idx) of sequences that a longer one of their genus, or an equally long earlier one, contains.
+    """(genus, file if there is one, seq_idx) of sequences that a longer one of their genus, or an equally long earlier one, contains.
 
-    Containment is transitive, so it doesn't matter whether the container is itself kept. Candidates share a
-    seed: a contained sequence's first seed is also one of its container's. Sequences too short for seeds
-    are found by their first eight letters, or whole if shorter still. contains() then decides.
+    Containment is transitive, so it doesn't matter whether the container is itself kept. Candidates share the
+    contained sequence's rarest seed. Sequences too short for seeds are found by their first eight letters, or whole
+    if shorter still. contains() then decides.
     """
-    s = records.select("genus", "seq_idx", F.upper("sequence").alias("s")).withColumn("n", F.length("s"))
-    inner = s.withColumn("probe", F.explode(F.array("s", sequences.reverse_complement(F.col("s"))) if strand == "both" else F.array("s")))
+    scope = _scope(records)
+    s = records.select(*scope, "seq_idx", F.upper("sequence").alias("s")).withColumn("n", F.length("s"))
+    both = [F.struct(F.lit(False).alias("turned"), F.col("s").alias("probe"))] + ([F.struct(F.lit(True).alias("turned"), sequences.reverse_complement(F.col("s")).alias("probe"))] if strand == "both" else [])
+    inner = s.withColumn("one", F.explode(F.array(*both))).select("*", "one.*").drop("one", "s")
     full = SEED + SPAN - 1
-    outer = s.select("genus", F.col("seq_idx").alias("o_idx"), F.col("s").alias("o_s"), F.col("n").alias("o_n"))
-    tiers = [(inner.filter(F.col("n") >= full).withColumn("seed", _first_seed(F.col("probe"))), outer.filter(F.col("o_n") >= full).withColumn("seed", F.explode(_seeds(F.col("o_s")))))]
+    outer = s.select(*scope, F.col("seq_idx").alias("o_idx"), F.col("s").alias("o_s"), F.col("n").alias("o_n"))
+    seeded = outer.filter(F.col("o_n") >= full).withColumn("seed", F.explode(_seeds(F.col("o_s"))))
+    long = inner.filter(F.col("n") >= full)
+    tiers = [(long.join(_rarest(long, seeded, scope), [*scope, "seq_idx", "turned"]), seeded)]
     if not s.filter(F.col("n") < full).isEmpty():
         middle = inner.filter(F.col("n").between(SHORT, full - 1)).withColumn("seed", F.xxhash64(F.substring("probe", 1, SHORT)))
         tiers.append((middle, outer.withColumn("seed", F.explode(F.array_distinct(F.transform(sequences.windows(F.col("o_s"), SHORT), lambda w: F.xxhash64(w)))))))
         lengths = [r[0] for r in s.filter(F.col("n").between(1, SHORT - 1)).select("n").distinct().collect()]
         for k in lengths:
             tiers.append((inner.filter(F.col("n") == k).withColumn("seed", F.xxhash64("probe")), outer.withColumn("seed", F.explode(F.array_distinct(F.transform(sequences.windows(F.col("o_s"), k), lambda w: F.xxhash64(w)))))))
-        longest = outer.groupBy("genus").agg(F.max(F.struct("o_n", (-F.col("o_idx")).alias("m"))).alias("top")).select("genus", (-F.col("top.m")).alias("o_idx"))
-        tiers.append((inner.filter("n = 0").withColumn("seed", F.lit(0).cast("long")), outer.join(longest, ["genus", "o_idx"], "left_semi").withColumn("seed", F.lit(0).cast("long"))))
+        longest = outer.groupBy(*scope).agg(F.max(F.struct("o_n", (-F.col("o_idx")).alias("m"))).alias("top")).select(*scope, (-F.col("top.m")).alias("o_idx"))
+        tiers.append((inner.filter("n = 0").withColumn("seed", F.lit(0).cast("long")), outer.join(longest, [*scope, "o_idx"], "left_semi").withColumn("seed", F.lit(0).cast("long"))))
     precedes = (F.col("o_n") > F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_idx") < F.col("seq_idx")))
     found = None
     for i, o in tiers:
-        hits = i.join(o, ["genus", "seed"]).filter(precedes & F.contains("o_s", "probe")).select("genus", "seq_idx")
+        hits = i.join(o, [*scope, "seed"]).filter(precedes & F.contains("o_s", "probe")).select(*scope, "seq_idx")
         found = hits if found is None else found.unionByName(hits)
     return found.distinct()
 
 
 def drop_nested(records: DataFrame, strand: str = "both") -> DataFrame:
-    return records.join(nested(records, strand), ["genus", "seq_idx"], "left_anti")
+    return records.join(nested(records, strand), [*_scope(records), "seq_idx"], "left_anti")
 
 
 def without_tool(records: DataFrame) -> tuple[DataFrame, str]:
@@ -110,18 +131,44 @@ def vsearch(records: DataFrame) -> tuple[DataFrame, str]:
 ChimeraFilter = Callable[[DataFrame], tuple[DataFrame, str]]
 
 
-def clean(records: DataFrame, c: Cleaning = Cleaning(), chimeras: ChimeraFilter = without_tool) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """The records that stay, and per genus how many each step took; genera that lose all are listed too."""
+#: What a record of stages() may have come to, and the stages that it is still in then.
+STAGES = ("label_quality", "dedup", "nonnested")
+
+
+def stages(records: DataFrame, c: Cleaning = Cleaning()) -> DataFrame:  # noqa: B008
+    """All records with drop_reason: why one goes, ``duplicate`` and ``nested`` included, or ``pass``; in one plan."""
     judged = with_reason(records, c)
-    passed = judged.filter("drop_reason = 'pass'").drop("drop_reason")
-    unique = exact_dedup(passed)
-    apart = drop_nested(unique, c.strand)
-    stay, status = chimeras(apart)
-    counts = judged.groupBy("genus").agg(F.count("*").alias("input"), *(F.count_if(F.col("drop_reason") == reason).alias(name) for name, reason in COUNTERS.items()), F.count_if(F.col("drop_reason") == "pass").alias("passed_quality"))
-    for name, df in (("after_dedup", unique), ("after_nested", apart), ("final", stay)):
-        counts = counts.join(df.groupBy("genus").agg(F.count("*").alias(name)), "genus", "left").fillna(0, [name])
-    summary = counts.select("genus", "input", *(n for n in COUNTERS if n != "dropped_empty_sequence"), "passed_quality", (F.col("passed_quality") - F.col("after_dedup")).alias("dropped_duplicates"), (F.col("after_dedup") - F.col("after_nested")).alias("dropped_nested"), (F.col("after_nested") - F.col("final")).alias("dropped_chimeras"), "final", F.lit(status).alias("chimera_status"), "dropped_empty_sequence")
-    return stay, summary
+    keys = [*_scope(records), "seq_idx"]
+    passed = judged.filter("drop_reason = 'pass'")
+    first = _first(passed, c.dedup)
+    inside = nested(passed.join(first, keys, "left_semi"), c.strand)
+    on = judged.join(first.withColumn("__first", F.lit(True)), keys, "left").join(inside.withColumn("__nested", F.lit(True)), keys, "left")
+    reason = F.when(F.col("drop_reason") != "pass", F.col("drop_reason")).when(F.col("__first").isNull(), "duplicate").when(F.col("__nested"), "nested").otherwise("pass")
+    return on.select(*records.columns, reason.alias("drop_reason"))
+
+
+def in_stage(staged: DataFrame, stage: str) -> DataFrame:
+    """The records that are still there after a stage, one of STAGES."""
+    left = {"label_quality": ("pass", "duplicate", "nested"), "dedup": ("pass", "nested"), "nonnested": ("pass",)}[stage]
+    return staged.filter(F.col("drop_reason").isin(*left)).drop("drop_reason")
+
+
+def clean(records: DataFrame, c: Cleaning = Cleaning(), chimeras: ChimeraFilter = without_tool) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """The records that stay, and per genus (and file) how many each step took; genera that lose all are listed too."""
+    return summarized(stages(records, c), chimeras)
+
+
+def summarized(staged: DataFrame, chimeras: ChimeraFilter = without_tool) -> tuple[DataFrame, DataFrame]:
+    """The same of records that have been through stages()."""
+    scope = _scope(staged)
+    stay, status = chimeras(in_stage(staged, "nonnested"))
+    is_ = lambda *reasons: F.count_if(F.col("drop_reason").isin(*reasons))
+    counts = staged.groupBy(*scope).agg(F.count("*").alias("input"), *(is_(reason).alias(name) for name, reason in COUNTERS.items()), is_("pass", "duplicate", "nested").alias("passed_quality"), is_("duplicate").alias("dropped_duplicates"), is_("nested").alias("dropped_nested"), is_("pass").alias("after_nested"))
+    if chimeras is without_tool:
+        counts = counts.withColumn("final", F.col("after_nested"))
+    else:
+        counts = counts.join(stay.groupBy(*scope).agg(F.count("*").alias("final")), scope, "left").fillna(0, ["final"])
+    return stay, counts.select(*scope, "input", *(n for n in COUNTERS if n != "dropped_empty_sequence"), "passed_quality", "dropped_duplicates", "dropped_nested", (F.col("after_nested") - F.col("final")).alias("dropped_chimeras"), "final", F.lit(status).alias("chimera_status"), "dropped_empty_sequence")
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

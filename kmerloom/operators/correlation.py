@@ -70,13 +70,13 @@ def network_degree(p: DataFrame, cutoff: float = Reducing.network) -> DataFrame:
 
 
 def greedy_drop(r: np.ndarray, cutoff: float = Reducing.cutoff) -> list[tuple[int, int, float]]:
-    """(dropped, kept, correlation): strong pairs, strongest first and equal ones by column then row, lose the one with the larger mean."""
+    """(dropped, kept, absolute correlation): strong pairs, strongest first and equal ones by column then row, lose the one with the larger mean."""
     if np.isnan(r).any():
         raise ValueError("a feature is constant on the rows that the correlations come from")
     a = np.abs(r)
     np.fill_diagonal(a, 0)
     means = a.sum(1) / len(a)
-    j, i = (x[::1] for x in np.nonzero(np.tril(a, -1) > cutoff))
+    j, i = np.nonzero(np.tril(a, -1) > cutoff)
     order = sorted(range(len(i)), key=lambda k: (-a[i[k], j[k]], j[k], i[k]))
     gone: set[int] = set()
     log = []
@@ -86,7 +86,7 @@ def greedy_drop(r: np.ndarray, cutoff: float = Reducing.cutoff) -> list[tuple[in
             continue
         drop, stay = (x, y) if means[x] >= means[y] else (y, x)
         gone.add(drop)
-        log.append((drop, stay, float(r[x, y])))
+        log.append((drop, stay, float(a[x, y])))
     return log
 
 

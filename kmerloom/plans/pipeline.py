@@ -13,11 +13,20 @@ from ..operators import clean, correlation, embed, evaluate, explain, kmers, mod
 from ..sources import fasta
 
 
-def clean_folder(spark: SparkSession, folder: str, out: str | None = None, c: Cleaning = Cleaning(), chimeras: clean.ChimeraFilter = clean.without_tool, compat: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Raw FASTA folder to cleaned records and a summary by genus."""
-    records, summary = clean.clean(fasta.read_folder(spark, folder, compat), c, chimeras)
+def clean_folder(spark: SparkSession, folder: str, out: str | None = None, c: Cleaning = Cleaning(), chimeras: clean.ChimeraFilter = clean.without_tool, compat: bool = False, intermediates: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Raw FASTA folder to cleaned records and a summary by file.
+
+    out: gets ``<genus>.clean.fa``, the summary as CSV and, if asked, each stage's records in folders of their own.
+    """
+    staged = clean.stages(fasta.read_folder(spark, folder, compat), c)
+    records, summary = clean.summarized(staged, chimeras)
     if out:
-        fasta.write_folder(records, out)
+        fasta.write_files(records, out)
+        summary.write.csv(f"{out}/cleaning_summary", header=True, mode="overwrite")
+        for i, stage in enumerate(clean.STAGES if intermediates else (), 1):
+            fasta.write_folder(clean.in_stage(staged, stage), f"{out}/_intermediate/{i}_{stage}")
+        if intermediates:
+            fasta.write_folder(records, f"{out}/_intermediate/4_final_clean")
     return records, summary
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sequences
 
-SCHEMA = "genus string, seq_idx long, header string, sequence string"
+SCHEMA = "genus string, file string, seq_idx long, header string, sequence string"
 WIDTH = 60
 
 
@@ -26,7 +26,7 @@ def stem(name: Column, compat: bool = False) -> Column:
 
 
 def read_folder(spark: SparkSession, folder: str, compat: bool = False) -> DataFrame:
-    """genus, seq_idx, header, sequence of all records in ``*.fasta`` and ``*.fa`` of a folder, not below it.
+    """genus, file, seq_idx (within the file), header, sequence of all records in ``*.fasta`` and ``*.fa`` of a folder, not below it.
 
     Text before the first ``>`` is dropped, blank lines are skipped, a record without lines has an empty
     sequence. A folder without such files is an error.
@@ -34,8 +34,8 @@ def read_folder(spark: SparkSession, folder: str, compat: bool = False) -> DataF
     files = spark.read.option("pathGlobFilter", "*.{fasta,fa}").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     if files.isEmpty():
         raise FileNotFoundError(f"no .fasta or .fa files in {folder}")
-    records = files.select(stem(F.col("file"), compat).alias("genus"), F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"(?m)^>")).alias("pos", "record")).filter("pos > 0")
-    return records.select("genus", (F.col("pos") - 1).cast("long").alias("seq_idx"), F.rtrim(F.substring_index("record", "\n", 1)).alias("header"), F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"[ \t]*\n|[ \t]+$", "").alias("sequence"))
+    records = files.select(stem(F.col("file"), compat).alias("genus"), "file", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"(?m)^>")).alias("pos", "record")).filter("pos > 0")
+    return records.select("genus", "file", (F.col("pos") - 1).cast("long").alias("seq_idx"), F.regexp_replace(F.substring_index("record", "\n", 1), r"\s+$", "").alias("header"), F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"[ \t]*\n|[ \t]+$", "").alias("sequence"))
 
 
 def labelled(records: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ class FastaReader(DataSourceReader):
 
         path = partition.value
         store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        genus = name.rsplit("/", 1)[-1].rpartition(".")[0].removesuffix(".clean")
+        file = name.rsplit("/", 1)[-1]
+        genus = file.rpartition(".")[0].removesuffix(".clean")
         index, header, lines = -1, None, []
         with store.open_input_stream(name) as f:
             rest = b""
@@ -80,21 +81,56 @@ class FastaReader(DataSourceReader):
                 for line in (p.decode().rstrip() for p in parts):
                     if line.startswith(">"):
                         if header is not None:
-                            yield genus, index, header, "".join(lines)
+                            yield genus, file, index, header, "".join(lines)
                         index, header, lines = index + 1, line[1:], []
                     elif line:
                         lines.append(line)
                 if not block:
                     break
         if header is not None:
-            yield genus, index, header, "".join(lines)
+            yield genus, file, index, header, "".join(lines)
 
 
-def write_folder(records: DataFrame, folder: str) -> None:
-    """A folder ``genus=...`` of FASTA text for each genus, lines of sixty letters, records in order."""
+def as_text(records: DataFrame) -> DataFrame:
+    """genus, seq_idx and value: each record as FASTA, its sequence in lines of sixty letters."""
     wrapped = F.rtrim(F.regexp_replace("sequence", f"(.{{{WIDTH}}})", "$1\n"))
     text = F.concat(F.lit(">"), "header", F.when(F.length("sequence") > 0, F.concat(F.lit("\n"), F.regexp_replace(wrapped, r"\n$", ""))).otherwise(""))
-    records.select("genus", "seq_idx", text.alias("value")).repartition("genus").sortWithinPartitions("genus", "seq_idx").select("genus", "value").write.partitionBy("genus").mode("overwrite").text(folder)
+    return records.select("genus", "seq_idx", text.alias("value"))
+
+
+def write_folder(records: DataFrame, folder: str) -> None:
+    """A folder ``genus=...`` of FASTA text for each genus, records in order over its files; a large genus is spread over tasks."""
+    as_text(records).repartitionByRange("genus", "seq_idx").sortWithinPartitions("genus", "seq_idx").select("genus", "value").write.partitionBy("genus").mode("overwrite").text(folder)
+
+
+def write_files(records: DataFrame, folder: str, ending: str = ".clean.fa") -> DataFrame:
+    """One file ``<genus>.clean.fa`` for each genus, which one task streams; genus, file and records, once they are written.
+
+    A task that runs again writes its file anew. folder: shared by all executors.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        genus, out, told = None, None, []
+        for b in batches:
+            for g, value in zip(b["genus"].to_pylist(), b["value"].to_pylist(), strict=True):
+                if g != genus or out is None:
+                    if out is not None:
+                        out.close()
+                    genus, out = g, store.open_output_stream(f"{root}/{g}{ending}")
+                    told.append([g, f"{g}{ending}", 0])
+                out.write(value.encode() + b"\n")
+                told[-1][2] += 1
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"genus": [t[0] for t in told], "file": [t[1] for t in told], "records": [t[2] for t in told]}, pa.schema([("genus", pa.string()), ("file", pa.string()), ("records", pa.int64())]))
+
+    written = as_text(records).repartition("genus").sortWithinPartitions("genus", "seq_idx").mapInArrow(run, "genus string, file string, records long")
+    return records.sparkSession.createDataFrame(written.collect(), written.schema)  # a row for each genus
 
 
 def duplicated_ids(records: DataFrame) -> DataFrame:

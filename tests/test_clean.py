@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kmerloom.config import Cleaning
 from kmerloom.operators import clean
@@ -84,3 +85,36 @@ def test_nested_property(spark, sequences):
 def test_first_wins(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), (None, 2), (None, 5), ("b", 4)], "k string, i int")
     assert sorted(r["i"] for r in clean.first_wins(df, ["k"], ["i"]).collect()) == [3, 5]
+
+
+def test_a_genus_in_two_files(spark, tmp_path):
+    """Ordinals start again in each file, and files are cleaned one by one."""
+    from kmerloom.plans import pipeline
+    from kmerloom.sources import fasta
+
+    whole = "ACGUUGCAACGGUUACGUCA" * 4
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "Alpha.fa").write_text(f">a whole\t \n{whole}\n>b inside\n{whole[5:60]}\n")
+    (tmp_path / "in" / "Alpha.fasta").write_text(">c\nGGGGCCCCAAAAUUUU\n>d\nACACACACACACGGGG\n>e\nUUUUGGGGAACCAACC\n>f\nUUUUGGGGAACCAACC\n")
+    c = Cleaning(min_len=4, max_len=400)
+    records, summary = pipeline.clean_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), c, intermediates=True)
+    assert sorted(r["header"] for r in records.collect()) == ["a whole", "c", "d", "e"]
+    assert sorted((r["file"], r["input"], r["dropped_duplicates"], r["dropped_nested"], r["final"]) for r in summary.collect()) == [("Alpha.fa", 2, 0, 1, 1), ("Alpha.fasta", 4, 1, 0, 3)]
+    again = fasta.read_folder(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["genus"], r["header"], r["sequence"]) for r in again) == sorted((r["genus"], r["header"], r["sequence"]) for r in records.collect())
+    stages = {p.name: len([x for f in p.rglob("part-*") if not f.name.endswith(".crc") for x in f.read_text().split("\n") if x.startswith(">")]) for p in (tmp_path / "out" / "_intermediate").iterdir() if p.is_dir()}
+    assert stages == {"1_label_quality": 6, "2_dedup": 5, "3_nonnested": 4, "4_final_clean": 4}
+
+
+def test_shared_starts_give_few_candidates(spark):
+    """Sequences of a genus that all begin alike are told apart by their rarest seeds."""
+    r = random.Random(8)
+    start = "".join(r.choices("ACGU", k=120))
+    rows = [("g", start + "".join(r.choices("ACGU", k=200))) for _ in range(150)]
+    rows += [("g", s[20:280]) for _, s in rows[:20]] + [("g", start)]
+    df = records(spark, [(g, "", s) for g, s in rows])
+    assert sorted(x["seq_idx"] for x in clean.drop_nested(df).collect()) == naive(rows)
+    s = df.select("genus", "seq_idx", "sequence")
+    outer = s.select("genus", F.explode(clean._seeds(F.col("sequence"))).alias("seed"))
+    chosen = clean._rarest(s.select("genus", "seq_idx", F.lit(False).alias("turned"), F.col("sequence").alias("probe")), outer, ["genus"])
+    assert chosen.join(outer, ["genus", "seed"]).count() < 4 * len(rows)
