@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.fasta import shared_folder
 from .models import BoostedTrees
 
 
@@ -33,7 +32,7 @@ class Tree:
 
 def trees_of(spark: SparkSession, model, folder: str | None = None) -> list[Tree]:
     """The trees of a fitted forest, leaf values as class shares divided by the number of trees; those of boosters with leaf margins times tree weights, of each class in its column."""
-    path = folder or f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/model-{uuid.uuid4().hex}"
+    path = folder or shared_folder(spark, "model")
     if isinstance(model, BoostedTrees):
         out = []
         for c, m in enumerate(model.models):

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Boosting, Forest
@@ -113,7 +113,20 @@ def importances(model: Transformer | BoostedTrees, names: list[str]) -> list[tup
     return sorted(((n, float(v)) for n, v in zip(names, values, strict=False)), key=lambda x: (-x[1], x[0]))
 
 
-def save(model: Transformer | BoostedTrees, path: str) -> None:
-    """Always written anew, class index and all."""
-    for i, m in enumerate(model.models if isinstance(model, BoostedTrees) else [model]):
+def save(model: Transformer | BoostedTrees, path: str, classes: list[str] = ()) -> None:
+    """Always written anew: the trees, and beside them the kind, the classes in the order of their numbers, and the boosters' rounds."""
+    boosted = isinstance(model, BoostedTrees)
+    every = model.models if boosted else [model]
+    for i, m in enumerate(every):
         PipelineModel([m]).write().overwrite().save(f"{path}/{i}")
+    about = [(MODELS[boosted], list(classes), list(model.rounds) if boosted else [])]
+    SparkSession.active().createDataFrame(about, "kind string, classes array<string>, rounds array<int>").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def restore(path: str) -> tuple[Transformer | BoostedTrees, list[str]]:
+    """What save() has written, ready for predict(), and its classes."""
+    about = SparkSession.active().read.schema("kind string, classes array<string>, rounds array<int>").json(f"{path}/about").first()
+    stage = lambda i: PipelineModel.load(f"{path}/{i}").stages[0]
+    if about["kind"] == "random_forest":
+        return stage(0), about["classes"]
+    return BoostedTrees([stage(i) for i in range(len(about["rounds"]))], about["rounds"]), about["classes"]

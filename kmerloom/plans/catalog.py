@@ -129,6 +129,25 @@ def cleaning_summary(spark, sf_dir):
     return summary.select("genus", "input", "dropped_ambiguous_label", "dropped_length_out_of_range", "passed_quality", "dropped_duplicates", "dropped_nested", "final")
 
 
+@query(f"""
+WITH seq AS ({_SEQ}), {_FRAGMENTS}, j AS (SELECT *, {_CLEAN_REASON} AS reason FROM frag),
+u AS (SELECT *, row_number() OVER (PARTITION BY genus, sequence ORDER BY doc_id) AS rn FROM j WHERE reason = 'pass')
+SELECT j.doc_id, CASE WHEN j.reason <> 'pass' THEN j.reason WHEN u.rn > 1 THEN 'duplicate'
+  WHEN EXISTS (SELECT 1 FROM u b WHERE b.rn = 1 AND b.genus = j.genus AND (length(b.sequence) > length(j.sequence) OR (length(b.sequence) = length(j.sequence) AND b.doc_id < j.doc_id)) AND (contains(b.sequence, j.sequence) OR contains(b.sequence, reverse(translate(j.sequence, 'ACGU', 'UGCA'))))) THEN 'nested' ELSE 'pass' END AS drop_reason
+FROM j LEFT JOIN u USING (doc_id)""")
+def cleaning_stages(spark, sf_dir):
+    """What became of each record."""
+    staged = clean.stages(fragments(spark, sf_dir), Cleaning(min_len=40, max_len=110, terms=("7",)))
+    return staged.select("doc_id", "drop_reason")
+
+
+@query("SELECT lang AS genus, 'skipped' AS chimera_status, CAST(0 AS BIGINT) AS dropped_chimeras FROM documents GROUP BY lang")
+def chimera_step(spark, sf_dir):
+    """Without the program, records pass and the summary says so."""
+    _, summary = clean.clean(rna(spark, sf_dir), Cleaning(min_len=1, max_len=1000, terms=()))
+    return summary.select("genus", "chimera_status", "dropped_chimeras")
+
+
 # --- dedup -----------------------------------------------------------------------------------------------
 
 
@@ -139,6 +158,16 @@ def exact_dedup(spark, sf_dir):
     return clean.exact_dedup(d).select("doc_id", "genus")
 
 
+@query(f"WITH seq AS ({_SEQ}), {_FRAGMENTS}, m AS (SELECT doc_id - doc_id % 3 AS seq_idx, genus, doc_id, CASE WHEN doc_id % 3 = 2 THEN reverse(translate(substr(b, 11, 90), 'ACGU', 'UGCA')) ELSE substr(b, 11, 90) END AS s FROM (SELECT f.doc_id, f.genus, x.sequence AS b FROM frag f JOIN seq x ON x.doc_id = f.doc_id - f.doc_id % 3)) SELECT doc_id, genus FROM (SELECT doc_id, genus, row_number() OVER (PARTITION BY genus, least(s, reverse(translate(s, 'ACGU', 'UGCA'))) ORDER BY doc_id) AS rn FROM m) WHERE rn = 1")
+def dedup_both_strands(spark, sf_dir):
+    """Three copies of a sequence, the last of them on the other strand."""
+    s = rna(spark, sf_dir)
+    base = s.select(F.col("doc_id").alias("b"), F.substring("sequence", 11, 90).alias("whole"))
+    of = s.drop("sequence").join(base, F.col("b") == F.col("doc_id") - F.col("doc_id") % 3)
+    turned = F.when(F.col("doc_id") % 3 == 2, sequences.reverse_complement(F.col("whole"))).otherwise(F.col("whole"))
+    return clean.exact_dedup(of.withColumn("sequence", turned).drop("b", "whole"), "both").select("doc_id", "genus")
+
+
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn > 1")
 def dup_flags(spark, sf_dir):
     return clean.first_wins(load(spark, sf_dir, "documents"), ["text"], ["doc_id"]).select("doc_id", "lang")
@@ -202,6 +231,62 @@ def zero_kmer_rows(spark, sf_dir):
     return kmers.without_kmers(d).select("doc_id")
 
 
+# --- files -----------------------------------------------------------------------------------------------
+
+
+_NUMBERED = f"seq AS ({_SEQ}), num AS (SELECT genus, row_number() OVER (PARTITION BY genus ORDER BY doc_id) - 1 AS seq_idx, accession || ' ' || doc_id AS header, sequence FROM seq)"
+
+
+def _written(spark, sf_dir) -> str:
+    """A folder of FASTA files, one for each genus."""
+    folder = fasta.shared_folder(spark, "fasta")
+    s = rna(spark, sf_dir).withColumn("header", F.concat_ws(" ", "accession", "doc_id"))
+    fasta.write_files(s, folder)
+    return folder
+
+
+@query(f"WITH {_NUMBERED} SELECT genus, genus || '.clean.fa' AS file, seq_idx, header, sequence FROM num")
+def fasta_folder(spark, sf_dir):
+    """FASTA files written and read back, their records numbered in order."""
+    return fasta.read_folder(spark, _written(spark, sf_dir))
+
+
+@query(f"WITH {_NUMBERED} SELECT genus || '_' || seq_idx AS sequence_id, genus, regexp_extract(header, '^([^ ]+)', 1) AS accession, header, length(sequence) AS n FROM num")
+def fasta_labelled(spark, sf_dir):
+    return fasta.labelled(fasta.read_folder(spark, _written(spark, sf_dir))).select("sequence_id", "genus", "accession", "header", F.length("sequence").cast("long").alias("n"))
+
+
+@query(f"WITH {_NUMBERED} SELECT genus, genus || '.clean.fa' AS file, seq_idx, header, sequence FROM num")
+def fasta_source(spark, sf_dir):
+    """The same files through the data source, which streams each in one task."""
+    folder = _written(spark, sf_dir)
+    names = [r[0] for r in rna(spark, sf_dir).select("genus").distinct().collect()]  # a file each
+    spark.dataSource.register(fasta.FastaSource)
+    return spark.read.format("fasta").option("paths", ",".join(f"{folder}/{n}.clean.fa" for n in sorted(names))).load()
+
+
+@query("SELECT lang AS genus, count(*) AS records FROM documents GROUP BY lang")
+def fasta_files_written(spark, sf_dir):
+    """A file for each genus, as the cleaning step leaves them."""
+    return fasta.write_files(rna(spark, sf_dir), fasta.shared_folder(spark, "fasta")).select("genus", "records")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, sf_dir):
+    path = fasta.shared_folder(spark, "csv")
+    load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(path, header=True)
+    return fasta.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT vec_id, label AS genus, round(CAST(embedding[1] AS DOUBLE), 6) AS f0, round(CAST(embedding[64] AS DOUBLE), 6) AS f63 FROM embeddings")
+def wide_csv(spark, sf_dir):
+    """A matrix as CSV with a column for each feature, read back with two of them."""
+    path = fasta.shared_folder(spark, "wide")
+    fasta.write_wide_csv(vectors(spark, sf_dir), [f"f{i}" for i in range(N_FEATURES)], path, ("vec_id", "genus"))
+    columns = ", ".join(f"f{i} double" for i in range(N_FEATURES))
+    return fasta.read_csv(spark, path, f"vec_id long, genus int, {columns}").select("vec_id", "genus", r6("f0"), r6("f63"))
+
+
 # --- metadata, joins, splits -----------------------------------------------------------------------------
 
 
@@ -319,7 +404,9 @@ def sparse_features(spark, sf_dir):
     return stats.sparse_features(order_features(spark, sf_dir)).select("idx", r6("fraction_zero"))
 
 
-@query()
+@query(f"""WITH {_ORDERS}, c AS (SELECT count(*) FILTER (minimum = maximum) AS a, count(*) FILTER (variance < 1e-5) AS b, count(*) FILTER (fraction_zero >= 0.99) AS d FROM st),
+l AS (SELECT 0 AS o, a AS n, a || ' constant features: remove them' AS line FROM c UNION ALL SELECT 1, b, b || ' features of near-zero variance: consider removing them' FROM c UNION ALL SELECT 2, d, d || ' sparse features: consider a smaller k' FROM c UNION ALL SELECT 3, 3, '3 highly correlated pairs: consider reducing them' UNION ALL SELECT 4, CASE WHEN a + b + d = 0 THEN 1 ELSE 0 END, 'No major recommendations' FROM c)
+SELECT row_number() OVER (ORDER BY o) - 1 AS line_no, line FROM l WHERE n > 0""")
 def recommendations(spark, sf_dir):
     return stats.report(order_features(spark, sf_dir), 3, Profiling())
 
@@ -398,15 +485,100 @@ def corr_network_degree(spark, sf_dir):
     return correlation.network_degree(correlation.pairs(vectors(spark, sf_dir)), DEGREE)
 
 
-@query()
+_RANKS = "rk AS (SELECT vec_id, idx, rank() OVER (PARTITION BY idx ORDER BY x) + (count(*) OVER (PARTITION BY idx, x) - 1) / 2.0 AS x FROM long), sp AS (SELECT a.idx AS f1, b.idx AS f2, corr(a.x, b.x) AS r FROM rk a JOIN rk b ON a.vec_id = b.vec_id AND a.idx < b.idx GROUP BY a.idx, b.idx)"
+
+
+@query(f"WITH {_LONG}, {_RANKS} SELECT f1, f2, round(r, 6) AS r FROM sp WHERE abs(r) > {CORRELATED}")
 def corr_spearman(spark, sf_dir):
-    return correlation.strong(correlation.pairs(vectors(spark, sf_dir), method="spearman"), CORRELATED)
+    return correlation.strong(correlation.pairs(vectors(spark, sf_dir), method="spearman"), CORRELATED).select("f1", "f2", r6("r"))
 
 
-@query()
+def _greedy(pairs: str, cutoff: float, n: str) -> str:
+    """Pairs in order, one after the other: gone collects the dropped features, log what was dropped for what."""
+    return f"""means AS (SELECT idx, sum(a) / {n} AS m FROM (SELECT f1 AS idx, abs(r) AS a FROM {pairs} UNION ALL SELECT f2, abs(r) FROM {pairs}) GROUP BY idx),
+cand AS (SELECT row_number() OVER (ORDER BY abs(r) DESC, f2, f1) AS k, f1, f2, abs(r) AS r, x.m >= y.m AS first_goes FROM {pairs} JOIN means x ON x.idx = f1 JOIN means y ON y.idx = f2 WHERE abs(r) > {cutoff}),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST([] AS STRUCT(d BIGINT, s BIGINT, r DOUBLE)[]) AS log
+      UNION ALL SELECT c.k, CASE WHEN list_contains(gone, f1) OR list_contains(gone, f2) THEN gone ELSE list_append(gone, CASE WHEN first_goes THEN f1 ELSE f2 END) END,
+             CASE WHEN list_contains(gone, f1) OR list_contains(gone, f2) THEN log ELSE list_append(log, {{'d': CASE WHEN first_goes THEN f1 ELSE f2 END, 's': CASE WHEN first_goes THEN f2 ELSE f1 END, 'r': c.r}}) END
+      FROM g JOIN cand c ON c.k = g.k + 1),
+done AS (SELECT gone, log FROM g ORDER BY k DESC LIMIT 1)"""
+
+
+@query(f"WITH RECURSIVE {_LONG}, {_PAIRS}, {_greedy('prs', CORRELATED, N_FEATURES)} SELECT CAST(e.d AS INTEGER) AS dropped_feature, CAST(e.s AS INTEGER) AS kept_feature, round(e.r, 6) AS correlation FROM (SELECT unnest(log) AS e FROM done)")
 def greedy_drop(spark, sf_dir):
     log = correlation.greedy_drop(correlation.matrix(vectors(spark, sf_dir)), CORRELATED)
-    return spark.createDataFrame(log, "dropped_feature int, kept_feature int, correlation double")
+    return spark.createDataFrame(log, "dropped_feature int, kept_feature int, correlation double").withColumn("correlation", F.round("correlation", 6))
+
+
+_SPLIT_V = "gv AS (SELECT DISTINCT vec_id % 50 AS accession FROM embeddings), ov AS (SELECT accession, row_number() OVER (ORDER BY md5(accession || ':42'), accession) AS r, (SELECT count(*) FROM gv) AS n FROM gv), tv AS (SELECT *, ceil(CAST(0.2 AS DOUBLE) * n) AS nt FROM ov), sv AS (SELECT accession, CASE WHEN r <= nt THEN 'test' WHEN r <= nt + ceil(CAST(0.2 AS DOUBLE) / (1 - CAST(0.2 AS DOUBLE)) * (n - nt)) THEN 'val' ELSE 'train' END AS split FROM tv)"
+_TRAIN = "prt AS (SELECT a.idx AS f1, b.idx AS f2, corr(a.x, b.x) AS r FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.idx < b.idx JOIN sv ON sv.accession = a.vec_id % 50 AND split = 'train' GROUP BY a.idx, b.idx)"
+
+
+@query(f"WITH RECURSIVE {_LONG}, {_SPLIT_V}, {_TRAIN}, {_greedy('prt', 0.15, N_FEATURES)} SELECT vec_id, CAST(idx AS BIGINT) AS idx, split, round(x, 6) AS x FROM long JOIN sv ON sv.accession = vec_id % 50, done WHERE NOT list_contains(gone, idx)")
+def reduced_features(spark, sf_dir):
+    """The reduced matrix in long form, with the numbers of the features that training rows say to keep."""
+    from ..config import Reducing
+
+    v = vectors(spark, sf_dir)
+    reduced, kept, _ = correlation.reduce_features(v.join(split.group_split(v), "accession"), Reducing(cutoff=0.15))
+    long = reduced.select("vec_id", "split", F.posexplode("features").alias("at", "x"))
+    return long.select("vec_id", F.array(*map(F.lit, kept))[F.col("at")].cast("long").alias("idx"), "split", r6("x"))
+
+
+@query(f"WITH {_LONG}, {_PAIRS} SELECT * FROM (SELECT f1, f2, round(r, 6) AS r, row_number() OVER (ORDER BY abs(r) DESC, f1, f2) AS rank FROM prs) WHERE rank <= 50")
+def corr_pairs_by_strength(spark, sf_dir):
+    """The fifty strongest pairs, a report."""
+    from pyspark.sql.window import Window
+
+    top = correlation.pairs(vectors(spark, sf_dir)).orderBy(F.desc(F.abs("r")), "f1", "f2").limit(50)
+    return top.select("f1", "f2", r6("r"), F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "f1", "f2")).cast("long").alias("rank"))
+
+
+@query(f"WITH {_ORDERS} SELECT idx FROM st WHERE minimum < maximum")
+def varying_features(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    rows = o.select(F.array("o_totalprice", F.lit(1.0), F.when(F.col("o_orderkey") % 200 == 0, 0.01).otherwise(0.0), (F.col("o_orderstatus") == "F").cast("double")).alias("features"))
+    return spark.createDataFrame([(i,) for i in correlation.varying(rows)], "idx long")
+
+
+@query(f"WITH {_LONG} SELECT vec_id, CASE idx WHEN 5 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS at, round(x, 6) AS x FROM long WHERE idx IN (5, 2, 40)")
+def column_subset(spark, sf_dir):
+    """Three features in an order of their own."""
+    taken = correlation.take(vectors(spark, sf_dir), [5, 2, 40]).select("vec_id", F.posexplode("features").alias("at", "x"))
+    return taken.select("vec_id", F.col("at").cast("int").alias("at"), r6("x"))
+
+
+@query(f"WITH {_SPLIT_V} SELECT vec_id, label AS genus, vec_id % 50 AS accession, split FROM embeddings JOIN sv ON sv.accession = vec_id % 50")
+def manifest_merge(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    m = v.select("vec_id", "accession").join(split.group_split(v), "accession")
+    return taxonomy.merge_manifest(v, m, "vec_id").select("vec_id", "genus", "accession", "split")
+
+
+@query("WITH s AS (SELECT *, CASE WHEN (vec_id % 50) % 5 = 0 THEN 'test' WHEN (vec_id % 50) % 5 = 1 THEN 'val' ELSE 'train' END AS split FROM embeddings) SELECT split, count(*) AS rows, count(DISTINCT vec_id % 50) AS groups FROM s GROUP BY split")
+def given_split(spark, sf_dir):
+    """A split that comes with the table, checked for unknown labels and leaks."""
+    turn = F.col("accession") % 5
+    v = vectors(spark, sf_dir).withColumn("split", F.when(turn == 0, "test").when(turn == 1, "val").otherwise("train"))
+    return split.sizes(split.check_split(v))
+
+
+@query("SELECT 5 AS folds, (SELECT count(DISTINCT vec_id % 50) FROM embeddings) AS groups, 0 AS groups_in_several_folds, 0 AS folds_without_a_class")
+def group_folds_checked(spark, sf_dir):
+    """What holds for any even deal: every group in one fold, every class in every fold."""
+    v = vectors(spark, sf_dir)
+    folds = split.group_folds(v)
+    cells = v.join(folds, "accession").select("genus", "fold").distinct().count()
+    one = folds.agg(F.count_distinct("fold").alias("k"), F.count_distinct("accession").alias("groups"), F.count("*").alias("rows")).first()
+    missing = one["k"] * v.select("genus").distinct().count() - cells
+    return spark.createDataFrame([(one["k"], one["groups"], one["rows"] - one["groups"], missing)], "folds int, groups long, groups_in_several_folds int, folds_without_a_class int")
+
+
+@query("SELECT round(avg(c_acctbal), 6) AS mean, round(stddev_pop(c_acctbal), 6) AS std FROM customer")
+def cv_summary(spark, sf_dir):
+    """Mean and population deviation, of balances in place of scores."""
+    s = evaluate.cv_summary(load(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("score")))
+    return s.select(r6("mean"), r6("std"))
 
 
 @query()
@@ -437,6 +609,22 @@ def pca_scores(spark, sf_dir):
     return scores.select("vec_id", "genus", r6("PC1"), r6("PC2"))
 
 
+@query("WITH c AS (SELECT abs(corr(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE))) AS r FROM embeddings) SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio FROM c UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM c")
+def explained_variance(spark, sf_dir):
+    """Of two scaled features, whose shares follow from their correlation."""
+    two = vectors(spark, sf_dir).select("vec_id", F.slice("features", 1, 2).alias("features"))
+    _, ratios = embed.pca(embed.standardize(two))
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(ratios, 1)], "component int, ratio double")
+
+
+@query("SELECT 'PC1' AS component, (SELECT count(*) FROM embeddings) AS rows, 0.0 AS mean, true AS first_is_larger UNION ALL SELECT 'PC2', (SELECT count(*) FROM embeddings), 0.0, true")
+def pca_checked(spark, sf_dir):
+    """What holds for any components of centred rows: means of zero, and variances that fall."""
+    scores, _ = embed.pca(embed.standardize(vectors(spark, sf_dir)))
+    one = scores.agg(F.count("*").alias("n"), F.avg("PC1").alias("a"), F.avg("PC2").alias("b"), (F.var_pop("PC1") >= F.var_pop("PC2")).alias("falls")).first()
+    return spark.createDataFrame([("PC1", one["n"], abs(round(one["a"], 6)), one["falls"]), ("PC2", one["n"], abs(round(one["b"], 6)), one["falls"])], "component string, rows long, mean double, first_is_larger boolean")
+
+
 @query("SELECT CAST(label AS BIGINT) AS genus, dense_rank() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM embeddings)")
 def label_index(spark, sf_dir):
     return embed.label_index(vectors(spark, sf_dir)).withColumn("genus", F.col("genus").cast("long"))

@@ -118,3 +118,11 @@ def test_shared_starts_give_few_candidates(spark):
     outer = s.select("genus", F.explode(clean._seeds(F.col("sequence"))).alias("seed"))
     chosen = clean._rarest(s.select("genus", "seq_idx", F.lit(False).alias("turned"), F.col("sequence").alias("probe")), outer, ["genus"])
     assert chosen.join(outer, ["genus", "seed"]).count() < 4 * len(rows)
+
+
+def test_chimera_plug_in(spark):
+    """A filter that takes some records away is counted per genus."""
+    df = records(spark, [("g", "keep", "ACGUACGUAA"), ("g", "chimera", "GGGGCCCCAA"), ("h", "chimera", "UUUUAAAACC")])
+    stay, summary = clean.clean(df, SMALL, lambda r: (r.filter("header = 'keep'"), "ran"))
+    assert [r["seq_idx"] for r in stay.collect()] == [0]
+    assert sorted((r["genus"], r["dropped_chimeras"], r["final"], r["chimera_status"]) for r in summary.collect()) == [("g", 1, 1, "ran"), ("h", 1, 0, "ran")]

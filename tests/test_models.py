@@ -138,3 +138,21 @@ def test_attributions_of_many_rows_are_those_of_each():
         while tree.left[at] >= 0:
             at = tree.left[at] if row[tree.feature[at]] <= tree.threshold[at] else tree.right[at]
         assert np.allclose(p.sum(0) + explain.expected(tree), tree.value[at]) and np.allclose(p, explain.shapley(tree, row, 3))
+
+
+def test_models_are_restored_with_classes_and_rounds(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from kmerloom.config import Boosting, Forest
+    from kmerloom.operators import models
+
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(float(k % 3), [float(k % 3 + x) for x in r.normal(0, 0.3, 4)], 1.0) for k in range(90)], "y double, features array<double>, w double").withColumn("v", array_to_vector("features"))
+    boosted = models.train_boosted(rows, rows.filter(F.rand(1) < 0.5), Boosting(rounds=4, depth=2, patience=1))
+    for name, model in (("f", models.train_forest(rows, Forest(trees=5, depth=3))), ("b", boosted)):
+        models.save(model, str(tmp_path / name), ["a", "b", "c"])
+        again, classes = models.restore(str(tmp_path / name))
+        assert classes == ["a", "b", "c"] and getattr(again, "rounds", None) == getattr(model, "rounds", None)
+        shown = lambda m: sorted((x["features"], x["pred"], x["proba"]) for x in models.predict(m, rows).collect())
+        assert shown(again) == shown(model)
