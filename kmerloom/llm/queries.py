@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, line_dedup, lm, near_dedup, quality, suffix_dedup, token_counts, warc
+from . import bpe, decontaminate, html_text, line_dedup, lm, near_dedup, quality, runs, suffix_dedup, token_counts, url_filter, warc
 from .common import table
 
 #: The tokenizer's file, on the driver; a parameter of the operators.
@@ -61,7 +61,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_roundtrip, op3_repeated_passages, op4_line_dedup, op5_warc, op6_quality_rules, op7_decontaminate, op8_token_counts, op9_near_dedup, op10_main_text)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_roundtrip, op3_repeated_passages, op4_line_dedup, op5_warc, op6_quality_rules, op7_decontaminate, op8_token_counts, op9_near_dedup, op10_main_text, op11_periodic_runs, op12_url_filter)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -96,4 +104,5 @@ links AS (SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT x, v FROM reach JOIN links ON y = u)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
 FROM documents d JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op12_url_filter": url_filter.rules_sql(),
 }
