@@ -7,14 +7,12 @@ import subprocess
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Cleaning
 from ..functions import sequences
-
-#: Seeds of sequences: the k-mer with the smallest hash among SPAN neighbours; short sequences use shorter ones.
-SEED, SPAN, SHORT = 31, 20, 8
+from .containment import contained
 
 COUNTERS = {
     "dropped_ambiguous_label": "ambiguous_label",
@@ -52,54 +50,9 @@ def _first(records: DataFrame, strand: str) -> DataFrame:
     return records.groupBy(*scope, F.xxhash64(key).alias("__h"), key.alias("__k")).agg(F.min("seq_idx").alias("seq_idx")).select(*scope, "seq_idx")
 
 
-def _seeds(sequence: Column) -> Column:
-    """Hashes of all k-mers that are smallest among SPAN neighbours."""
-    hashes = F.transform(sequences.windows(sequence, SEED), lambda w: F.xxhash64(w))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - SPAN + 1), lambda i: F.array_min(F.slice(hashes, i, SPAN))))
-
-
-def _rarest(probes: DataFrame, outer: DataFrame, scope: list[str]) -> DataFrame:
-    """Each probe's seed that the fewest sequences of its genus have; none for a probe with a seed that no sequence has, or only its own.
-
-    All seeds of a sequence are also its container's, so any one will do; regions that a whole genus shares are never chosen
-    unless a sequence has nothing else.
-    """
-    seeds = probes.select(*scope, "seq_idx", "turned", F.explode(_seeds(F.col("probe"))).alias("seed"))
-    held = outer.select(*scope, "seed").groupBy(*scope, "seed").agg(F.count("*").alias("holders"))
-    found = seeds.join(held, [*scope, "seed"], "left").groupBy(*scope, "seq_idx", "turned").agg(F.min(F.struct("holders", "seed")).alias("best"), F.bool_or(F.col("holders").isNull()).alias("nowhere"))
-    return found.filter("not nowhere and (turned or best.holders > 1)").select(*scope, "seq_idx", "turned", F.col("best.seed").alias("seed"))
-
-
 def nested(records: DataFrame, strand: str = "both") -> DataFrame:
-    """(genus, file if there is one, seq_idx) of sequences that a longer one of their genus, or an equally long earlier one, contains.
-
-    Containment is transitive, so it doesn't matter whether the container is itself kept. Candidates share the
-    contained sequence's rarest seed. Sequences too short for seeds are found by their first eight letters, or whole
-    if shorter still. contains() then decides.
-    """
-    scope = _scope(records)
-    s = records.select(*scope, "seq_idx", F.upper("sequence").alias("s")).withColumn("n", F.length("s"))
-    both = [F.struct(F.lit(False).alias("turned"), F.col("s").alias("probe"))] + ([F.struct(F.lit(True).alias("turned"), sequences.reverse_complement(F.col("s")).alias("probe"))] if strand == "both" else [])
-    inner = s.withColumn("one", F.explode(F.array(*both))).select("*", "one.*").drop("one", "s")
-    full = SEED + SPAN - 1
-    outer = s.select(*scope, F.col("seq_idx").alias("o_idx"), F.col("s").alias("o_s"), F.col("n").alias("o_n"))
-    seeded = outer.filter(F.col("o_n") >= full).withColumn("seed", F.explode(_seeds(F.col("o_s"))))
-    long = inner.filter(F.col("n") >= full)
-    tiers = [(long.join(_rarest(long, seeded, scope), [*scope, "seq_idx", "turned"]), seeded)]
-    if not s.filter(F.col("n") < full).isEmpty():
-        middle = inner.filter(F.col("n").between(SHORT, full - 1)).withColumn("seed", F.xxhash64(F.substring("probe", 1, SHORT)))
-        tiers.append((middle, outer.withColumn("seed", F.explode(F.array_distinct(F.transform(sequences.windows(F.col("o_s"), SHORT), lambda w: F.xxhash64(w)))))))
-        lengths = [r[0] for r in s.filter(F.col("n").between(1, SHORT - 1)).select("n").distinct().collect()]
-        for k in lengths:
-            tiers.append((inner.filter(F.col("n") == k).withColumn("seed", F.xxhash64("probe")), outer.withColumn("seed", F.explode(F.array_distinct(F.transform(sequences.windows(F.col("o_s"), k), lambda w: F.xxhash64(w)))))))
-        longest = outer.groupBy(*scope).agg(F.max(F.struct("o_n", (-F.col("o_idx")).alias("m"))).alias("top")).select(*scope, (-F.col("top.m")).alias("o_idx"))
-        tiers.append((inner.filter("n = 0").withColumn("seed", F.lit(0).cast("long")), outer.join(longest, [*scope, "o_idx"], "left_semi").withColumn("seed", F.lit(0).cast("long"))))
-    precedes = (F.col("o_n") > F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_idx") < F.col("seq_idx")))
-    found = None
-    for i, o in tiers:
-        hits = i.join(o, [*scope, "seed"]).filter(precedes & F.contains("o_s", "probe")).select(*scope, "seq_idx")
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    """(genus, file if there is one, seq_idx) of sequences that a longer one of their genus, or an equally long earlier one, contains."""
+    return contained(records, _scope(records), strand=strand)
 
 
 def drop_nested(records: DataFrame, strand: str = "both") -> DataFrame:

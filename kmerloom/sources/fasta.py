@@ -7,8 +7,6 @@ with ``format("fasta")``, a Python data source that streams a file in one task a
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,21 +14,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..functions import sequences
+from .stored import shared_folder  # noqa: F401
 
 SCHEMA = "genus string, file string, seq_idx long, header string, sequence string"
 WIDTH = 60
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, or in a temporary folder on one machine only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="kmerloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stem(name: Column, compat: bool = False) -> Column:
     """The file name without its ending; a further ``.clean`` goes too unless compat asks for the plain stem."""
     base = F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)

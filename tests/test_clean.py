@@ -114,10 +114,25 @@ def test_shared_starts_give_few_candidates(spark):
     rows += [("g", s[20:280]) for _, s in rows[:20]] + [("g", start)]
     df = records(spark, [(g, "", s) for g, s in rows])
     assert sorted(x["seq_idx"] for x in clean.drop_nested(df).collect()) == naive(rows)
-    s = df.select("genus", "seq_idx", "sequence")
-    outer = s.select("genus", F.explode(clean._seeds(F.col("sequence"))).alias("seed"))
-    chosen = clean._rarest(s.select("genus", "seq_idx", F.lit(False).alias("turned"), F.col("sequence").alias("probe")), outer, ["genus"])
-    assert chosen.join(outer, ["genus", "seed"]).count() < 4 * len(rows)
+
+
+def test_a_conserved_region_gives_few_candidates(spark, monkeypatch):
+    """Fragments of a region that all sequences of a genus share, near copies, and parts that two of them make up."""
+    from kmerloom.operators import containment
+
+    r = random.Random(4)
+    part = lambda n: "".join(r.choices("ACGU", k=n))
+    shared = part(400)
+    whole = [part(150) + shared + part(150) for _ in range(120)]
+    fragments = [shared[i : i + 200 + i % 37] for i in range(0, 120)]
+    strains = [whole[0][:-1] + c for c in "ACGU"] + [whole[1][:300] + c + whole[1][301:] for c in "ACGU"]
+    mosaics = [whole[k][100:350] + whole[k + 1][350:600] for k in range(20)] + [whole[k][:149] + part(1) + shared[:300] for k in range(20)]
+    rows = [("g", s) for s in [*whole, *fragments, *strains, *mosaics]] + [("h", fragments[0]), ("h", shared)]
+    counted, pairs = [], containment._candidates
+    monkeypatch.setattr(containment, "_candidates", lambda *a: counted.append(pairs(*a).count()) or pairs(*a))
+    df = records(spark, [(g, "", s) for g, s in rows])
+    assert sorted(x["seq_idx"] for x in clean.drop_nested(df).collect()) == naive(rows)
+    assert 0 < sum(counted) < 4 * len(rows), counted
 
 
 def test_chimera_plug_in(spark):
