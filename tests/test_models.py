@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kmerloom.config import Boosting, Forest, Kmers, Reducing
+from kmerloom.config import Boosting, Cleaning, Forest, Kmers, Reducing
 from kmerloom.operators import evaluate, explain, models
 from kmerloom.plans import pipeline
+from kmerloom.plans.stages import Stages
 
 
 def test_scores_by_hand(spark):
@@ -78,22 +79,72 @@ def test_boosted_and_folds(spark):
         models.train("svm", rows)
 
 
-def test_from_folder_to_model(spark, tmp_path):
+def write_genera(spark, folder, n, length=80):
+    """Two genera of different composition, n records each, as FASTA files."""
     r = np.random.default_rng(5)
+    folder.mkdir()
     for g, weights in (("Ab", [5, 1, 1, 1]), ("Cd", [1, 1, 1, 5])):
         p = np.array(weights) / sum(weights)
-        (tmp_path / f"{g}.fa").write_text("".join(f">acc{g}{i} x\n{''.join(r.choice(list('ACGU'), 80, p=p))}\n" for i in range(15)))
-    from kmerloom.config import Cleaning
-
-    records, summary = pipeline.clean_folder(spark, str(tmp_path), str(tmp_path / "out"), Cleaning(min_len=50, max_len=100))
-    assert summary.count() == 2 and records.count() == 30
-    f = pipeline.build_features(records, Kmers(2), r=Reducing(cutoff=0.9))
-    assert f.reduced.count() == 30 and len(f.kept) <= 16
-    out = pipeline.train_and_evaluate(f.reduced, f.taxonomy, f.kept, cross_validate=False, forest=Forest(trees=5, depth=3, min_leaf=1))
+        (folder / f"{g}.fa").write_text("".join(f">acc{g}{i % 3000} x\n{''.join(s)}\n" for i, s in enumerate(r.choice(list("ACGU"), (n, length), p=p))))
+
+
+def plan_lines(df):
+    return len(df._jdf.queryExecution().analyzed().toString().splitlines())
+
+
+SMALL = {"c": Cleaning(min_len=50, max_len=100), "k": Kmers(2), "r": Reducing(cutoff=0.9), "forest": Forest(trees=5, depth=3, min_leaf=1), "boosting": Boosting(rounds=2, depth=2)}
+
+
+def test_from_folder_to_model(spark, tmp_path):
+    write_genera(spark, tmp_path / "in", 15)
+    run = pipeline.from_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), cross_validate=False, which=("random_forest",), **SMALL)
+    assert run.summary.count() == 2 and run.features.matrix.count() == 30
+    out = run.trained["random_forest"]
+    assert run.features.reduced.count() == 30 and len(run.features.kept) <= 16
     assert out.summary["accuracy"] > 0.7 and out.shap is not None and out.roc.count() > 0
-    tables = pipeline.diagnose(f.reduced.drop("split"), f.taxonomy, len(f.kept))
-    assert {r["metric"] for r in tables["dataset_summary"].collect()} >= {"rows", "genera"}
-    assert set(pipeline.embeddings(f.matrix)) == {"scaled", "pca", "tsne", "umap"}
+    assert {r["metric"] for r in run.diagnosis["dataset_summary"].collect()} >= {"rows", "genera"}
+    assert set(pipeline.embeddings(run.features.matrix)) == {"scaled", "pca", "tsne", "umap"}
+    # plans end at each stage
+    for df in (run.summary, run.features.reduced, run.features.taxonomy, out.test, out.validation, out.shap, *run.diagnosis.values()):
+        assert plan_lines(df) < 60
+    assert not any(x["found"] for x in run.stages)
+    told = Stages(spark, f"{tmp_path}/out/stages").read_note("run_metadata")
+    assert [x["stage"] for x in told["stages"]] == [x["stage"] for x in run.stages] and told["parameters"]["kmers"]["k"] == 2
+    assert told["metrics"]["random_forest"]["accuracy"] == out.summary["accuracy"] == Stages(spark, f"{tmp_path}/out/stages").read_note("metrics_random_forest")["accuracy"]
+    # again: all is found, and gives the same
+    again = pipeline.from_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), cross_validate=False, which=("random_forest",), **SMALL)
+    assert all(x["found"] for x in again.stages)
+    assert again.trained["random_forest"].summary == out.summary and again.features.kept == run.features.kept
+    # another parameter: what comes before it is found
+    other = pipeline.from_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), cross_validate=False, which=("random_forest",), **SMALL | {"forest": Forest(trees=3, depth=2)})
+    assert {x["stage"] for x in other.stages if not x["found"]} == {"model", "test_predictions", "validation_predictions", "test_confusion", "test_report", "validation_report", "shap"}
+
+
+def test_stages_start_again_where_they_broke_off(spark, tmp_path):
+    st = Stages(spark, str(tmp_path / "s"))
+    made = []
+    first = st.table("one", lambda: made.append(1) or spark.range(3), "p", 1)
+    with pytest.raises(ZeroDivisionError):
+        st.table("two", lambda: first.selectExpr("id", f"{1 // 0}"), first)
+    st = Stages(spark, str(tmp_path / "s"))
+    first = st.table("one", lambda: made.append(2) or spark.range(3), "p", 1)
+    second = st.table("two", lambda: first.selectExpr("id + 1 AS id"), first)
+    assert made == [1] and sorted(r[0] for r in second.collect()) == [1, 2, 3]
+    assert [x["found"] for x in st.done] == [True, False]
+    other = st.table("one", lambda: made.append(3) or spark.range(4), "p", 2)
+    assert made == [1, 3] and other.count() == 4
+    # a table that no stage made is known by its rows, in any order
+    df = spark.createDataFrame([(1, None), (2, "b")], "a int, b string")
+    for rows, found in ((df, False), (df.orderBy(F.desc("a")), True), (df.filter("a = 1"), False)):
+        st.table("three", lambda: spark.range(1), rows)
+        assert st.done[-1]["found"] is found
+
+
+def test_thirty_thousand_records(spark, tmp_path):
+    write_genera(spark, tmp_path / "in", 15_000)
+    run = pipeline.from_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), cross_validate=False, which=("random_forest",), **SMALL)
+    assert run.features.matrix.count() == 30_000 and run.trained["random_forest"].summary["accuracy"] > 0.9
+    assert all(plan_lines(df) < 60 for df in (run.features.reduced, run.trained["random_forest"].shap))
 
 
 def test_boosted_attributions(spark):
