@@ -42,6 +42,8 @@ HEAD, CLASSES, MEMBERS, KNOWN, WIDTH = 64, 96, 96, 100_000, 16
 CELLS = CLASSES * MEMBERS // 2
 #: Noise units of a mini-batch, its tokens, the step size, noise outputs within a class, and tokens that are shuffled together.
 NOISE, TOKENS, STEP, CLASS_NOISE, CHUNK = 32, 2048, 0.15, 8, 1 << 17
+#: A part of the step size: both kinds of output gradients are divided by it.
+DAMP = 8
 #: Shards: their number grows with the power of the training tokens in units of SHARD_TOKENS.
 SHARD_TOKENS, SHARD_POWER = 250_000, 0.75
 LOT, BLOCK_ROWS = 64, 256
@@ -197,8 +199,8 @@ class Trainer:
         false = h @ others.T
         false += b[noise] - log_noise[noise]
         false = _sigmoid(false)
-        true /= 8
-        false /= 8
+        true /= DAMP
+        false /= DAMP
         at = np.concatenate([w, noise.astype(w.dtype)])
         self._step(at, **{vectors: np.concatenate([true[:, None] * h, false.T @ h]), biases: np.concatenate([true, false.sum(0)])})
         own *= true[:, None]
@@ -465,7 +467,10 @@ def fit(docs: DataFrame, shape: Shape = Shape(), known_words: int = KNOWN) -> Mo
     counts = keep(count_words(d.filter(~held_out())), "lm-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    known = [(w.encode(), n) for w, n in most_frequent(counts, known_words)]
+    ends = counts.filter("word = ''").agg(F.sum("n")).first()[0] or 0
+    known = [(w.encode(), n) for w, n in most_frequent(counts, known_words) if w]
+    if ends:  # however many words are more frequent: it has output 0 and is never joined
+        known.append((b"", ends))
     number = dict(known)
     listed = [w for w, _ in known if w]
     frequent = listed[: shape.own - 1]
@@ -473,7 +478,7 @@ def fit(docs: DataFrame, shape: Shape = Shape(), known_words: int = KNOWN) -> Mo
     for w in frequent:
         in_cells[shape.cell(w) - shape.own] -= number[w], 1
     outputs = np.zeros(shape.outputs)
-    outputs[0] = counts.filter("word = ''").agg(F.sum("n")).first()[0] or 0
+    outputs[0] = ends
     outputs[1 : len(frequent) + 1] = [number[w] for w in frequent]
     outputs[shape.own :] = in_cells[:, 0]
     parts = keep(encoded(d, frequent, known, in_cells.sum(1).astype(float), shape), "lm-parts")

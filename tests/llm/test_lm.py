@@ -122,3 +122,16 @@ def test_empty_and_untrained(spark, docs):
     only = next(i for i in range(100) if held_out(i))
     r = lm.score_documents(docs([(only, "some words")])).first()
     assert (r["train_tokens"], r["n_known"], r["n_tokens"], r["base_score"]) == (0, 0, 3, 0.0)
+
+
+def test_the_end_is_known_among_few_long_texts(spark, docs):
+    """Eight texts of 150 words that are all more frequent than the texts' ends."""
+    rows = [(i, " ".join(f"w{(i + k) % 5}" for k in range(150))) for i in range(8)]
+    train = [t.split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t) + Counter({"": len(train)})
+    total, distinct = sum(counts.values()), len(counts)
+    for known_words in (3, 100_000):
+        for r in lm.score_documents(docs(rows), known_words=known_words).collect():
+            own = rows[r["doc_id"]][1].split() + [""]
+            assert r["n_known"] == r["n_tokens"] == 151
+            assert np.isclose(r["base_score"], sum(np.log10((counts[w] + 1) / (total + distinct + 1)) for w in own))
