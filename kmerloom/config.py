@@ -68,3 +68,8 @@ class Boosting:
     columns: float = 0.8
     patience: int = 10
     seed: int = 42
+    l1: float = 0.3
+    l2: float = 1.0
+    least_child: float = 1.0  # Hessian on each side of a split
+    least_gain: float = 1e-6
+    bins: int = 64

@@ -31,17 +31,17 @@ class Tree:
 
 
 def trees_of(spark: SparkSession, model, folder: str | None = None) -> list[Tree]:
-    """The trees of a fitted forest, leaf values as class shares divided by the number of trees; those of boosters with leaf margins times tree weights, of each class in its column."""
-    path = folder or shared_folder(spark, "model")
+    """The trees of a fitted forest, leaf values as class shares divided by the number of trees; those of boosted trees with leaf margins, of each class in its column."""
     if isinstance(model, BoostedTrees):
         out = []
-        for c, m in enumerate(model.models):
-            for nodes, weight in zip(_nodes(spark, m, f"{path}/{c}"), m.treeWeights, strict=True):
-                value = np.zeros((len(nodes), len(model.models)))
-                value[:, c] = [n["prediction"] * weight for n in nodes]
-                out.append(_tree(nodes, value))
+        for c, t in ((c, t) for of_round in model.trees for c, t in enumerate(of_round)):
+            value = np.zeros((len(t.feature), model.classes))
+            value[:, c] = t.value
+            # a bin's last value goes left: the threshold is just below the next bin's first
+            threshold = [np.nextafter(model.cuts[f][b], -np.inf) if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin, strict=True)]
+            out.append(Tree(np.array(t.feature), np.array(threshold), np.array(t.left), np.array(t.right), np.array(t.n), value))
         return out
-    by_tree = _nodes(spark, model, path)
+    by_tree = _nodes(spark, model, folder or shared_folder(spark, "model"))
     out = []
     for nodes in by_tree:
         stats = np.array([n["impurityStats"] for n in nodes], float)

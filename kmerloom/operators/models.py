@@ -1,19 +1,20 @@
-"""Tree ensembles on feature arrays: a weighted random forest, one-against-rest boosting, grouped cross-validation."""
+"""Tree ensembles on feature arrays: a weighted random forest, multi-class boosting, grouped cross-validation."""
 
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Boosting, Forest
-from . import evaluate
+from . import boosting, evaluate
+from .boosting import BoostedTrees
 from .split import group_folds
 
 MODELS = ("random_forest", "boosted_trees")
@@ -26,50 +27,13 @@ def prepare(rows: DataFrame, label: str = "genus", features: str = "features") -
     return out.join(F.broadcast(evaluate.class_weights(out, "y").withColumnRenamed("weight", "w")), "y")
 
 
-@dataclass
-class BoostedTrees:
-    """A binary booster for each class and the rounds of it that are used; probabilities are a softmax of margins."""
-
-    models: list[GBTClassificationModel]
-    rounds: list[int]
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        """pred and proba."""
-        out = rows
-        for c, m in enumerate(self.models):
-            out = m.setPredictionCol(f"__p{c}").setRawPredictionCol(f"__r{c}").setProbabilityCol(f"__q{c}").transform(out).withColumn(f"__m{c}", vector_to_array(f"__r{c}")[1]).drop(f"__p{c}", f"__r{c}", f"__q{c}")
-        e = F.transform(F.array(*(f"__m{c}" for c in range(len(self.models)))), lambda x: F.exp(x))
-        proba = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-        return out.withColumn("proba", proba).withColumn("pred", (F.array_position("proba", F.array_max("proba")) - 1).cast("double")).drop(*(f"__m{c}" for c in range(len(self.models))))
-
-
 def train_forest(rows: DataFrame, p: Forest = Forest()) -> Transformer:  # noqa: B008
     return RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="w", numTrees=p.trees, maxDepth=p.depth, minInstancesPerNode=p.min_leaf, featureSubsetStrategy="sqrt", seed=p.seed).fit(rows)
 
 
-def best_round(errors: list[float], patience: int) -> int:
-    """The round with the least error before as many rounds go by without a lesser one."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
 def train_boosted(rows: DataFrame, validation: DataFrame | None = None, p: Boosting = Boosting()) -> BoostedTrees:  # noqa: B008
-    """Where there are validation rows, each class keeps the rounds up to its best one there."""
-    models, rounds = [], []
-    for c in range(rows.select("y").distinct().count()):
-        one = lambda d: d.withColumn("__y", (F.col("y") == c).cast("double"))  # noqa: B023, E731
-        model = GBTClassifier(featuresCol="v", labelCol="__y", maxIter=p.rounds, maxDepth=p.depth, stepSize=p.rate, subsamplingRate=p.subsample, featureSubsetStrategy=str(p.columns), seed=p.seed).fit(one(rows))
-        n = model.getNumTrees
-        if validation is not None and (best := best_round(list(model.evaluateEachIteration(one(validation))), p.patience)) < n:
-            model, n = GBTClassifier(featuresCol="v", labelCol="__y", maxIter=best, maxDepth=p.depth, stepSize=p.rate, subsamplingRate=p.subsample, featureSubsetStrategy=str(p.columns), seed=p.seed).fit(one(rows)), best
-        models.append(model)
-        rounds.append(n)
-    return BoostedTrees(models, rounds)
+    """Where there are validation rows, the rounds up to the best one there are kept."""
+    return boosting.fit(rows, validation, p)
 
 
 def predict(model: Transformer | BoostedTrees, rows: DataFrame) -> DataFrame:
@@ -104,29 +68,36 @@ def cross_validate(name: str, rows: DataFrame, group: str = "accession", folds:
 
 
 def importances(model: Transformer | BoostedTrees, names: list[str]) -> list[tuple[str, float]]:
-    """(kmer, importance), most important first; of boosters the mean over classes."""
-    if isinstance(model, BoostedTrees):
-        parts = [m.featureImportances.toArray() for m in model.models]
-        values = sum(parts) / len(parts)
-    else:
-        values = model.featureImportances.toArray()
+    """(kmer, importance), most important first; of boosted trees the mean gain of a feature's splits."""
+    values = model.importances() if isinstance(model, BoostedTrees) else model.featureImportances.toArray()
     return sorted(((n, float(v)) for n, v in zip(names, values, strict=False)), key=lambda x: (-x[1], x[0]))
 
 
+_NODES = "round int, class int, node int, feature int, bin int, left int, right int, gain double, g double, h double, n double, value double"
+_ABOUT = "kind string, classes array<string>, cuts array<array<double>>, losses array<double>"
+
+
 def save(model: Transformer | BoostedTrees, path: str, classes: list[str] = ()) -> None:
-    """Always written anew: the trees, and beside them the kind, the classes in the order of their numbers, and the boosters' rounds."""
-    boosted = isinstance(model, BoostedTrees)
-    every = model.models if boosted else [model]
-    for i, m in enumerate(every):
-        PipelineModel([m]).write().overwrite().save(f"{path}/{i}")
-    about = [(MODELS[boosted], list(classes), list(model.rounds) if boosted else [])]
-    SparkSession.active().createDataFrame(about, "kind string, classes array<string>, rounds array<int>").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    """Always written anew: the trees, and then in ``about`` the kind, the classes in the order of their numbers, and what boosting knows."""
+    spark, boosted = SparkSession.active(), isinstance(model, BoostedTrees)
+    if boosted:
+        nodes = [(r, c, i, *(getattr(t, n)[i] for n in ("feature", "bin", "left", "right", "gain", "g", "h", "n", "value"))) for r, of in enumerate(model.trees) for c, t in enumerate(of) for i in range(len(t.feature))]
+        spark.createDataFrame(nodes, _NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")  # bounded by the model's parameters
+    else:
+        PipelineModel([model]).write().overwrite().save(f"{path}/0")
+    about = [(MODELS[boosted], list(classes), [c.tolist() for c in model.cuts] if boosted else [], list(model.losses) if boosted else [])]
+    spark.createDataFrame(about, _ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
 def restore(path: str) -> tuple[Transformer | BoostedTrees, list[str]]:
     """What save() has written, ready for predict(), and its classes."""
-    about = SparkSession.active().read.schema("kind string, classes array<string>, rounds array<int>").json(f"{path}/about").first()
-    stage = lambda i: PipelineModel.load(f"{path}/{i}").stages[0]
+    spark = SparkSession.active()
+    about = spark.read.schema(_ABOUT).parquet(f"{path}/about").first()
     if about["kind"] == "random_forest":
-        return stage(0), about["classes"]
-    return BoostedTrees([stage(i) for i in range(len(about["rounds"]))], about["rounds"]), about["classes"]
+        return PipelineModel.load(f"{path}/0").stages[0], about["classes"]
+    trees: dict[int, dict[int, boosting.Growing]] = {}
+    for r in spark.read.schema(_NODES).parquet(f"{path}/nodes").orderBy("round", "class", "node").collect():
+        tree = trees.setdefault(r["round"], {}).setdefault(r["class"], boosting.Growing(*([] for _ in range(9))))
+        for name in ("feature", "bin", "left", "right", "gain", "g", "h", "n", "value"):
+            getattr(tree, name).append(r[name])
+    return BoostedTrees([[of[c] for c in sorted(of)] for _, of in sorted(trees.items())], [np.array(c) for c in about["cuts"]], about["losses"]), about["classes"]

@@ -17,6 +17,7 @@ from ..config import Cleaning, Kmers, Profiling
 from ..functions import sequences
 from ..operators import clean, correlation, embed, evaluate, explain, kmers, models, split, stats, taxonomy
 from ..sources import fasta
+from ..sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,13 +279,14 @@ def csv_round_trip(spark, sf_dir):
     return fasta.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
-@query("SELECT vec_id, label AS genus, round(CAST(embedding[1] AS DOUBLE), 6) AS f0, round(CAST(embedding[64] AS DOUBLE), 6) AS f63 FROM embeddings")
+@query(f"WITH {_LONG} SELECT vec_id, label AS genus, CAST(idx AS BIGINT) AS idx, round(x, 6) AS x FROM long")
 def wide_csv(spark, sf_dir):
-    """A matrix as CSV with a column for each feature, read back with two of them."""
+    """A matrix as CSV with a column for each feature, read back and turned into long form."""
     path = fasta.shared_folder(spark, "wide")
-    fasta.write_wide_csv(vectors(spark, sf_dir), [f"f{i}" for i in range(N_FEATURES)], path, ("vec_id", "genus"))
-    columns = ", ".join(f"f{i} double" for i in range(N_FEATURES))
-    return fasta.read_csv(spark, path, f"vec_id long, genus int, {columns}").select("vec_id", "genus", r6("f0"), r6("f63"))
+    names = [f"f{i}" for i in range(N_FEATURES)]
+    fasta.write_wide_csv(vectors(spark, sf_dir), names, path, ("vec_id", "genus"))
+    read = fasta.read_csv(spark, path, f"vec_id long, genus int, {', '.join(f'{n} double' for n in names)}")
+    return read.select("vec_id", "genus", F.posexplode(F.array(*names)).alias("idx", "x")).select("vec_id", "genus", F.col("idx").cast("long").alias("idx"), r6("x"))
 
 
 # --- metadata, joins, splits -----------------------------------------------------------------------------
@@ -456,16 +458,9 @@ def corr_pairs(spark, sf_dir):
     return correlation.strong(correlation.pairs(vectors(spark, sf_dir)), CORRELATED).select("f1", "f2", r6("r"))
 
 
-@query(f"WITH {_LONG}, {_PAIRS} SELECT f1, f2, round(r, 6) AS r FROM prs WHERE f2 < 8")
-def corr_pairs_long(spark, sf_dir):
-    """From the long form, without a matrix on the driver."""
-    long = vectors(spark, sf_dir).select("vec_id", F.posexplode("features").alias("idx", "x")).filter("idx < 8").select("vec_id", F.col("idx").cast("long").alias("idx"), "x")
-    return correlation.long_pairs(long, load(spark, sf_dir, "embeddings").count(), "vec_id", "idx", "x").select("f1", "f2", r6("r"))
-
-
 @query(f"WITH {_LONG}, {_PAIRS} SELECT f1, f2, round(r, 6) AS r FROM prs")
 def corr_pairs_long_all(spark, sf_dir):
-    """The same for all features."""
+    """From the long form, without a matrix on the driver."""
     long = vectors(spark, sf_dir).select("vec_id", F.posexplode("features").alias("idx", "x")).select("vec_id", F.col("idx").cast("long").alias("idx"), "x")
     return correlation.long_pairs(long, load(spark, sf_dir, "embeddings").count(), "vec_id", "idx", "x").select("f1", "f2", r6("r"))
 
@@ -617,12 +612,27 @@ def explained_variance(spark, sf_dir):
     return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(ratios, 1)], "component int, ratio double")
 
 
-@query("SELECT 'PC1' AS component, (SELECT count(*) FROM embeddings) AS rows, 0.0 AS mean, true AS first_is_larger UNION ALL SELECT 'PC2', (SELECT count(*) FROM embeddings), 0.0, true")
+_SCALED = "m AS (SELECT idx, avg(x) AS a, stddev_pop(x) AS s FROM long GROUP BY idx), z AS (SELECT vec_id, idx, (x - a) / s AS x FROM long JOIN m USING (idx))"
+
+
+@query(f"WITH {_LONG}, {_SCALED} SELECT vec_id, round(sum(x * x), 6) AS norm FROM z GROUP BY vec_id")
 def pca_checked(spark, sf_dir):
-    """What holds for any components of centred rows: means of zero, and variances that fall."""
-    scores, _ = embed.pca(embed.standardize(vectors(spark, sf_dir)))
-    one = scores.agg(F.count("*").alias("n"), F.avg("PC1").alias("a"), F.avg("PC2").alias("b"), (F.var_pop("PC1") >= F.var_pop("PC2")).alias("falls")).first()
-    return spark.createDataFrame([("PC1", one["n"], abs(round(one["a"], 6)), one["falls"]), ("PC2", one["n"], abs(round(one["b"], 6)), one["falls"])], "component string, rows long, mean double, first_is_larger boolean")
+    """All components turn the scaled rows without changing any row's length."""
+    scores, _ = embed.pca(embed.standardize(vectors(spark, sf_dir)), N_FEATURES)
+    return scores.select("vec_id", F.round(sum(F.col(f"PC{i + 1}") ** 2 for i in range(N_FEATURES)), 6).alias("norm"))
+
+
+@query(f"WITH {_LONG}, {_PAIRS} SELECT {N_FEATURES}.0::DOUBLE AS total, round({N_FEATURES} + 2 * sum(r * r), 6) AS squares, true AS falls, true AS uncorrelated FROM prs")
+def pca_variances(spark, sf_dir):
+    """Components' variances add up to the features', their squares to those of all correlations; they fall, and no two components are correlated."""
+    names = [f"PC{i + 1}" for i in range(N_FEATURES)]
+    scores, _ = embed.pca(embed.standardize(vectors(spark, sf_dir)), N_FEATURES)
+    v = scores.select("vec_id", F.array(*names).alias("features"))
+    variance = stats.feature_statistics(v).select("idx", (F.col("variance") * (F.col("rows") - 1) / F.col("rows")).alias("v"))
+    by_idx = F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"])  # one entry a component
+    falls = F.forall(F.zip_with(F.slice("a", 1, N_FEATURES - 1), F.slice("a", 2, N_FEATURES - 1), lambda x, y: x >= y), lambda x: x)
+    most = correlation.pairs(v).agg((F.max(F.abs("r")) < 1e-6).alias("uncorrelated"))
+    return variance.agg(by_idx.alias("a")).crossJoin(F.broadcast(most)).select(F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"), falls.alias("falls"), "uncorrelated")
 
 
 @query("SELECT CAST(label AS BIGINT) AS genus, dense_rank() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM embeddings)")
@@ -732,6 +742,17 @@ def rf_fit(spark, sf_dir):
     return models.predict(model, rows.filter("split = 'test'")).select("vec_id", "y", "pred", "proba")
 
 
+@query()
+def boosted_fit(spark, sf_dir):
+    """Test predictions of boosted trees of the default size, stopped early by the validation split."""
+    from ..config import Boosting
+
+    rows = _prepared(spark, sf_dir)
+    part = lambda name: stored(rows.filter(F.col("split") == name), "boosted-rows")
+    model = models.train("boosted_trees", part("train"), part("val"), boosting=Boosting())
+    return models.predict(model, rows.filter("split = 'test'")).select("vec_id", "y", "pred", "proba")
+
+
 @query()
 def shap_top_features(spark, sf_dir):
     from ..config import Forest

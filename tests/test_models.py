@@ -45,10 +45,6 @@ def data(spark, n=90):
     return spark.createDataFrame([(f"s{i}", "abc"[i % 3], f"acc{i // 3}", [float(i % 3 + 0.2 * r.normal()), float(r.normal()), float(-(i % 3) + 0.3 * r.normal())]) for i in range(n)], "sequence_id string, genus string, accession string, features array<double>")
 
 
-def test_best_round():
-    assert models.best_round([5, 4, 3, 3.5, 3.4, 2], 2) == 3 and models.best_round([5, 4, 3, 3.5, 3.4, 2], 5) == 6
-
-
 def test_forest_and_attributions(spark):
     rows = models.prepare(data(spark)).cache()
     model = models.train("random_forest", rows, forest=Forest(trees=6, depth=3, min_leaf=2))
@@ -204,6 +200,6 @@ def test_models_are_restored_with_classes_and_rounds(spark, tmp_path):
     for name, model in (("f", models.train_forest(rows, Forest(trees=5, depth=3))), ("b", boosted)):
         models.save(model, str(tmp_path / name), ["a", "b", "c"])
         again, classes = models.restore(str(tmp_path / name))
-        assert classes == ["a", "b", "c"] and getattr(again, "rounds", None) == getattr(model, "rounds", None)
+        assert classes == ["a", "b", "c"] and getattr(again, "losses", None) == getattr(model, "losses", None)
         shown = lambda m: sorted((x["features"], x["pred"], x["proba"]) for x in models.predict(m, rows).collect())
         assert shown(again) == shown(model)
