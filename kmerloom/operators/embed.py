@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stored import stored
+from . import layout
 from .stats import feature_statistics
 
-#: Rows that a driver-side embedding may take.
-SAMPLE = 5000
+#: Rows that the driver-side t-SNE may take; epochs of UMAP.
+SAMPLE, EPOCHS = 5000, 30
 
 
 def standardize(rows: DataFrame, features: str = "features", population: bool = True) -> DataFrame:
@@ -87,15 +89,19 @@ def tsne(rows: DataFrame, wanted: float = 30, seed: int = 42, features: str = "f
     return rows.sparkSession.createDataFrame([(c["k"], float(a), float(b)) for c, (a, b) in zip(chosen, y, strict=True)], f"{key} string, TSNE1 double, TSNE2 double")
 
 
-def umap(rows: DataFrame, wanted: int = 15, min_dist: float = 0.1, seed: int = 42, features: str = "features", key: str = "sequence_id") -> DataFrame | None:
-    """By the umap-learn package where it is installed, else None."""
-    try:
-        from umap import UMAP
-    except ImportError:
-        return None
-    chosen = rows.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(F.col(key).cast("string").alias("k"), features).collect()
-    y = UMAP(n_components=2, n_neighbors=neighbours(wanted, len(chosen)), min_dist=min_dist, random_state=seed).fit_transform([r[features] for r in chosen])
-    return rows.sparkSession.createDataFrame([(c["k"], float(a), float(b)) for c, (a, b) in zip(chosen, y, strict=True)], f"{key} string, UMAP1 double, UMAP2 double")
+def umap(rows: DataFrame, wanted: int = 15, min_dist: float = 0.1, seed: int = 42, features: str = "features", key: str = "sequence_id", epochs: int = EPOCHS) -> DataFrame:
+    """key, UMAP1, UMAP2 of all rows; they start from the first two principal components. Keys are unique."""
+    numbered = stored(rows.select(F.monotonically_increasing_id().alias("id"), F.col(key), F.transform(features, lambda x: x.cast("double")).alias("x")), "umap-rows")
+    n = numbered.count()
+    if n < 3:
+        return numbered.select(key, F.lit(0.0).alias("UMAP1"), F.lit(0.0).alias("UMAP2"))
+    k = neighbours(wanted, n)
+    near = layout.neighbours(numbered.select("id", "x"), k, seed)
+    scores, _ = pca(numbered.select("id", "x"), features="x")
+    wide = scores.agg(F.greatest(F.max(F.abs("PC1")), F.max(F.abs("PC2")))).first()[0] or 1.0
+    start = scores.select("id", (F.col("PC1") * (10 / wide)).alias("u"), (F.col("PC2") * (10 / wide)).alias("v"))
+    where = layout.spread_out(layout.fuzzy_edges(near, k), start, epochs, min_dist, seed)
+    return numbered.select("id", key).join(where, "id").select(key, F.col("u").alias("UMAP1"), F.col("v").alias("UMAP2"))
 
 
 def sample_std_factor(n: int) -> float:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Cleaning, Kmers, Profiling
 from ..functions import sequences
-from ..operators import clean, correlation, embed, evaluate, explain, kmers, models, split, stats, taxonomy
+from ..operators import clean, correlation, embed, evaluate, explain, kmers, layout, models, split, stats, taxonomy
 from ..sources import fasta
 from ..sources.stored import stored
 
@@ -635,6 +635,18 @@ def pca_variances(spark, sf_dir):
     return variance.agg(by_idx.alias("a")).crossJoin(F.broadcast(most)).select(F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"), falls.alias("falls"), "uncorrelated")
 
 
+@query(f"WITH {_LONG}, d AS (SELECT a.vec_id AS id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM long a JOIN long b ON a.idx = b.idx AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id) SELECT id, other, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM d) WHERE r <= 15")
+def neighbour_graph(spark, sf_dir):
+    """The 15 nearest of each row: exact where all rows make one block, else nearly so."""
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("features").alias("x"))
+    return layout.neighbours(stored(v, "vectors"), 15).select("id", "other", r6("d"))
+
+
+@query()
+def umap_layout(spark, sf_dir):
+    return embed.umap(embed.standardize(vectors(spark, sf_dir)), key="vec_id")
+
+
 @query("SELECT CAST(label AS BIGINT) AS genus, dense_rank() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM embeddings)")
 def label_index(spark, sf_dir):
     return embed.label_index(vectors(spark, sf_dir)).withColumn("genus", F.col("genus").cast("long"))

@@ -77,13 +77,13 @@ def build_features(records: DataFrame, k: Kmers = Kmers(), s: Splitting = Splitt
     return Features(meta, matrix, manifest, reduced, [names[i] for i in kept], dropped)
 
 
-def embeddings(matrix: DataFrame, label: str = "genus") -> dict[str, DataFrame | None]:
+def embeddings(matrix: DataFrame, label: str = "genus", epochs: int = embed.EPOCHS) -> dict[str, DataFrame]:
     """Scaled matrix and its two-dimensional pictures; nothing for fewer than two classes."""
     if matrix.select(label).distinct().limit(2).count() < 2:
         return {}
     scaled = embed.standardize(matrix)
     scores, _ = embed.pca(scaled)
-    return {"scaled": scaled, "pca": scores, "tsne": embed.tsne(scaled), "umap": embed.umap(scaled)}
+    return {"scaled": scaled, "pca": scores, "tsne": embed.tsne(scaled), "umap": embed.umap(scaled, epochs=epochs)}
 
 
 @dataclass

@@ -189,4 +189,3 @@ def test_scaling_and_pca(spark):
     assert (embed.perplexity(30, 10), embed.perplexity(30, 1000), embed.neighbours(15, 4)) == (5, 30, 3)
     y = embed.tsne(s, key="vec_id", rounds=30)
     assert y.count() == 40 and np.isfinite(np.array(y.select("TSNE1", "TSNE2").collect())).all()
-    assert embed.umap(s, key="vec_id") is None

@@ -99,7 +99,7 @@ def test_from_folder_to_model(spark, tmp_path):
     assert run.features.reduced.count() == 30 and len(run.features.kept) <= 16
     assert out.summary["accuracy"] > 0.7 and out.shap is not None and out.roc.count() > 0
     assert {r["metric"] for r in run.diagnosis["dataset_summary"].collect()} >= {"rows", "genera"}
-    assert set(pipeline.embeddings(run.features.matrix)) == {"scaled", "pca", "tsne", "umap"}
+    assert set(pipeline.embeddings(run.features.matrix, epochs=2)) == {"scaled", "pca", "tsne", "umap"}
     # plans end at each stage
     for df in (run.summary, run.features.reduced, run.features.taxonomy, out.test, out.validation, out.shap, *run.diagnosis.values()):
         assert plan_lines(df) < 60
