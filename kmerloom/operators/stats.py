@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Profiling
 from ..functions.sequences import normalized
@@ -94,3 +95,12 @@ def report(statistics: DataFrame, n_correlated: int, p: Profiling = Profiling())
     if not (one["constant"] or one["flat"] or one["sparse"]):
         lines.append("No major recommendations")
     return statistics.sparkSession.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+
+
+def summary_text(summary: DataFrame, classes: DataFrame, title: str = "DATASET DIAGNOSTIC REPORT") -> DataFrame:
+    """line_no and line of a short report: the dataset's metrics by name, the imbalance ratio and the number of genera. classes: n of each."""
+    metrics = summary.select(F.lit(1).alias("part"), "metric", F.concat_ws(": ", "metric", F.format_string("%.2f", "value")).alias("line"))
+    ratio = classes.agg(F.array(F.struct(F.lit(2).alias("part"), F.lit("a").alias("metric"), F.concat(F.lit("Imbalance ratio: "), F.format_string("%.2f", F.max("n") / F.min("n"))).alias("line")), F.struct(F.lit(2).alias("part"), F.lit("b").alias("metric"), F.concat(F.lit("Number of genera: "), F.count("*").cast("string")).alias("line"))).alias("both")).select(F.inline("both"))
+    head = summary.sparkSession.createDataFrame([(0, "", title)], "part int, metric string, line string")
+    every = head.unionByName(metrics).unionByName(ratio)
+    return every.select((F.row_number().over(Window.orderBy("part", "metric")) - 1).cast("long").alias("line_no"), "line")  # some ten lines

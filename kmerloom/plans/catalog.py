@@ -370,6 +370,14 @@ def dataset_summary(spark, sf_dir):
     return stats.dataset_summary(d, 4096).select("metric", r6("value"))
 
 
+@query("""WITH c AS (SELECT count(*) AS n FROM documents GROUP BY lang), s AS (SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'genera', count(DISTINCT lang) FROM documents UNION ALL SELECT 'features', 4096 UNION ALL SELECT 'mean_length', avg(length(text)) FROM documents UNION ALL SELECT 'min_length', min(length(text)) FROM documents UNION ALL SELECT 'max_length', max(length(text)) FROM documents),
+l AS (SELECT 0 AS part, '' AS metric, 'DATASET DIAGNOSTIC REPORT' AS line UNION ALL SELECT 1, metric, metric || ': ' || printf('%.2f', value) FROM s UNION ALL SELECT 2, 'a', 'Imbalance ratio: ' || printf('%.2f', max(n) * 1.0 / min(n)) FROM c UNION ALL SELECT 2, 'b', 'Number of genera: ' || count(*) FROM c)
+SELECT row_number() OVER (ORDER BY part, metric) - 1 AS line_no, line FROM l""")
+def summary_text(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.col("lang").alias("genus"), F.length("text").alias("sequence_length"))
+    return stats.summary_text(stats.dataset_summary(d, 4096), stats.class_distribution(d))
+
+
 @query(f"WITH {_LONG}, {_STATS} SELECT idx, rows, round(mean, 6) AS mean, round(std, 6) AS std, round(variance, 6) AS variance, round(minimum, 6) AS minimum, round(maximum, 6) AS maximum, round(fraction_zero, 6) AS fraction_zero FROM st")
 def feature_stats(spark, sf_dir):
     return stats.feature_statistics(vectors(spark, sf_dir)).select("idx", "rows", *map(r6, ("mean", "std", "variance", "minimum", "maximum", "fraction_zero")))

@@ -146,6 +146,7 @@ def diagnose(features: DataFrame, meta: DataFrame, n_features: int, p: Profiling
     pairs = st.table("correlated", lambda: correlation.strong(correlation.pairs(features), p.correlated), features, p.correlated)
     return {
         "dataset_summary": stats.dataset_summary(merged, n_features),
+        "summary_text": stats.summary_text(stats.dataset_summary(merged, n_features), stats.class_distribution(merged)),
         "missing_values": stats.missing_values(merged),
         "class_distribution": stats.class_distribution(merged),
         "imbalance": stats.imbalance(merged),

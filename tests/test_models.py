@@ -116,6 +116,26 @@ def test_from_folder_to_model(spark, tmp_path):
     assert {x["stage"] for x in other.stages if not x["found"]} == {"model", "test_predictions", "validation_predictions", "test_confusion", "test_report", "validation_report", "shap"}
 
 
+def test_steps_of_the_command_line(spark, tmp_path):
+    """Each step takes what the one before has left."""
+    from kmerloom.__main__ import parameters, run
+
+    write_genera(spark, tmp_path / "in", 15)
+    (tmp_path / "c.toml").write_text("[cleaning]\nmin_len = 50\nmax_len = 100\n[kmers]\nk = 2\n[reducing]\ncutoff = 0.9\n[forest]\ntrees = 3\ndepth = 2\nmin_leaf = 1\n[splitting]\nfolds = 2\n")
+    p, out = parameters(str(tmp_path / "c.toml")), tmp_path / "out"
+    assert p["forest"] == Forest(3, 2, 1) and p["boosting"] == Boosting() and p["cleaning"].dedup == "forward"
+    for step in ("clean", "features", "train", "diagnose"):
+        before = {x.name for x in (out / "stages").iterdir()} if step != "clean" else set()
+        run(spark, step, str(tmp_path / "in"), str(out), p, ("random_forest",))
+        assert before < {x.name for x in (out / "stages").iterdir()}
+    assert {x.name for x in out.iterdir()} == {"stages", "clean", "taxonomy", "manifest", "dropped_features", "reduced", "random_forest", "diagnosis"}
+    lines = [x for f in (out / "diagnosis" / "summary_text").glob("part-*") for x in f.read_text().splitlines()]
+    assert lines[0] == "DATASET DIAGNOSTIC REPORT" and "rows: 30.00" in lines and lines[-1] == "Number of genera: 2"
+    (tmp_path / "c.toml").write_text("[kmers]\nlength = 2\n")
+    with pytest.raises(ValueError, match="unknown"):
+        parameters(str(tmp_path / "c.toml"))
+
+
 def test_stages_start_again_where_they_broke_off(spark, tmp_path):
     st = Stages(spark, str(tmp_path / "s"))
     made = []
