@@ -19,7 +19,7 @@ At the end ``profile/genus=.../`` is written anew from all batches' counts: k-me
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,11 +43,10 @@ def take(batch: DataFrame, batch_id: int, target: str, s: Settings) -> None:
         df.select("*", number).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *partitions).parquet(f"{target}/{name}")
         return spark.read.schema(schema).parquet(f"{target}/{name}").filter(F.col("batch_id") == batch_id).drop("batch_id")
 
-    read = Observation()
-    judged = clean.with_reason(records(batch, s.columns), s.cleaning).observe(read, F.count(F.lit(1)).alias("rows"))
+    judged = clean.with_reason(records(batch, s.columns), s.cleaning)
     judged = judged.withColumn("drop_reason", F.when(F.col("seq_idx").isNull(), "no_id").otherwise(F.col("drop_reason")))
     judged = store(judged.withColumn("key", F.sha2(F.concat(F.coalesce("genus", F.lit("")), F.lit("\0"), F.upper("sequence")), 256)), "records", RECORDS)
-    log.info("batch %d: read %d records", batch_id, read.get["rows"])
+    log.info("batch %d: read %d records", batch_id, judged.count())
     first = judged.filter("drop_reason = 'pass'").groupBy("key").agg(F.min("seq_idx").alias("first"))  # copies are combined before the shuffle
     earlier = spark.read.schema(KEYS).parquet(f"{target}/keys").filter(F.col("batch_id") < batch_id)
     # what is old is on the side that streams by, so that with a small batch it is scanned and not shuffled

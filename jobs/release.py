@@ -4,6 +4,7 @@
 
 Written below TARGET, each folder overwritten by every run:
 
+- ``records/``: the table's records, as cleaning reads them;
 - ``audit/drop_reason=.../``: every record and what became of it: the first rule against its label or sequence,
   ``duplicate``, ``nested`` (in a longer record of its genus, on either strand) or ``pass``;
 - ``training/split=.../genus=.../``: the records that pass, with their counts of k-mers in the vocabulary's order; no
@@ -20,7 +21,7 @@ from itertools import product
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import sequences
@@ -42,14 +43,13 @@ def with_counts(rows: DataFrame, s: Settings) -> DataFrame:
 
 def build(spark: SparkSession, source: str, target: str, s: Settings = Settings()) -> None:  # noqa: B008
     """The job. Each folder is made from the one before, read back, so that no plan holds the whole of it."""
-    read = Observation("read")
-    rows = records(reader(spark, s).load(source), s.columns).observe(read, F.count(F.lit(1)).alias("rows"), F.count("seq_idx").alias("ids"))
     # stored first: cleaning reads the records several times, and their expressions may be costly
-    rows.write.mode("overwrite").parquet(f"{target}/records")
-    log.info("read %s: %d records", source, read.get["rows"])
-    if read.get["ids"] < read.get["rows"]:
-        raise ValueError(f"{source}: {read.get['rows'] - read.get['ids']} records have no id")
+    records(reader(spark, s).load(source), s.columns).write.mode("overwrite").parquet(f"{target}/records")
     rows = spark.read.schema(AUDIT.rpartition(",")[0]).parquet(f"{target}/records")
+    n, ids = rows.agg(F.count("*"), F.count("seq_idx")).first()
+    log.info("read %s: %d records", source, n)
+    if ids < n:
+        raise ValueError(f"{source}: {n - ids} records have no id")
     if twice := [r[0] for r in rows.groupBy("seq_idx").count().filter("count > 1").limit(5).collect()]:
         raise ValueError(f"{source}: ids of several records: {sorted(twice)}")
     clean.stages(rows, s.cleaning).hint("rebalance", "drop_reason").write.mode("overwrite").partitionBy("drop_reason").parquet(f"{target}/audit")

@@ -54,11 +54,12 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     import importlib.util
 
     import __spark_entry__ as entry
+    from jobs import queries as jobs
 
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("kmerloom.llm") else real(name, *a))
-    assert set(entry.queries()) == set(catalog.QUERIES)
-    assert set(entry.oracle_sql()) == set(catalog.ORACLES)
+    assert set(entry.queries()) == set(catalog.QUERIES) | set(jobs.QUERIES)
+    assert set(entry.oracle_sql()) == set(catalog.ORACLES) | set(jobs.ORACLES)
 
 
 def test_long_pairs_of_all_features(spark):
