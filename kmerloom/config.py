@@ -19,6 +19,9 @@ class Cleaning:
     normalize_t: bool = False  # read T as U before anything else
     dedup: str = "forward"  # or "both": whether reverse complements are duplicates too
     strand: str = "both"  # or "forward": which strands nested sequences are looked for on
+    chimeras: str = "skip"  # or "denovo", or "vsearch" where executors have that program
+    skew: float = 2.0  # how many times as abundant a chimera's parents are
+    least_segment: int = 32  # letters of a chimera that come from each parent, at least
 
 
 @dataclass(frozen=True)

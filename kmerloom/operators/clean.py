@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Cleaning
 from ..functions import sequences
+from . import chimera
 from .containment import contained
 
 COUNTERS = {
@@ -64,26 +65,51 @@ def without_tool(records: DataFrame) -> tuple[DataFrame, str]:
     return records, "skipped"
 
 
+def without_chimeras(skew: float = chimera.SKEW, least: int = chimera.LEAST) -> ChimeraFilter:
+    """The step that takes away what chimera.find names; a sequence's abundance is the sum of its copies' sizes."""
+
+    def remove(records: DataFrame) -> tuple[DataFrame, str]:
+        scope = _scope(records)
+        return records.join(chimera.find(records, scope, skew, least), [*scope, "seq_idx"], "left_anti"), "ran"
+
+    return remove
+
+
 def vsearch(records: DataFrame) -> tuple[DataFrame, str]:
-    """De-novo chimera removal by the ``vsearch`` program, where executors have it; a genus is one run of it."""
+    """De-novo chimera removal by the ``vsearch`` program, where executors have it; a genus (and file) is one run of it."""
     if shutil.which("vsearch") is None:
         return without_tool(records)
 
     def run(p):
         with tempfile.TemporaryDirectory() as d:
             with open(f"{d}/in.fa", "w") as f:
-                f.writelines(f">{i};size=1\n{s}\n" for i, s in zip(p["seq_idx"], p["sequence"], strict=True))
+                f.writelines(f">{i};size={n}\n{s}\n" for i, n, s in zip(p["seq_idx"], p["size"], p["sequence"], strict=True))
             subprocess.run(["vsearch", "--uchime_denovo", f"{d}/in.fa", "--nonchimeras", f"{d}/out.fa"], check=True, capture_output=True)
             with open(f"{d}/out.fa") as f:
                 stay = {int(x[1:].split(";")[0]) for x in f if x.startswith(">")}
         return p[p["seq_idx"].isin(stay)]
 
-    return records.groupBy("genus").applyInPandas(run, records.schema), "ran"
+    return records.groupBy(*_scope(records)).applyInPandas(run, records.schema), "ran"
+
+
+def with_size(staged: DataFrame, stage: str = "nonnested") -> DataFrame:
+    """The records of a stage with size, the sum of their header's sizes and those of their dropped copies."""
+    scope, key = _scope(staged), F.upper("sequence")
+    copies = staged.filter(F.col("drop_reason").isin("pass", "duplicate", "nested")).groupBy(*scope, F.xxhash64(key).alias("__h"), key.alias("__k")).agg(F.sum(chimera.abundance(F.col("header"))).alias("size"))
+    stay = in_stage(staged, stage)
+    return stay.withColumn("__h", F.xxhash64(key)).withColumn("__k", key).join(copies, [*scope, "__h", "__k"]).select(*stay.columns, "size")
 
 
 ChimeraFilter = Callable[[DataFrame], tuple[DataFrame, str]]
 
 
+def chimera_filter(c: Cleaning) -> ChimeraFilter:
+    """The step that the parameters name."""
+    if c.chimeras not in ("skip", "denovo", "vsearch"):
+        raise ValueError(f"no chimera step {c.chimeras!r}")
+    return {"skip": without_tool, "vsearch": vsearch}.get(c.chimeras) or without_chimeras(c.skew, c.least_segment)
+
+
 #: What a record of stages() may have come to, and the stages that it is still in then.
 STAGES = ("label_quality", "dedup", "nonnested")
 
@@ -106,15 +132,16 @@ def in_stage(staged: DataFrame, stage: str) -> DataFrame:
     return staged.filter(F.col("drop_reason").isin(*left)).drop("drop_reason")
 
 
-def clean(records: DataFrame, c: Cleaning = Cleaning(), chimeras: ChimeraFilter = without_tool) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def clean(records: DataFrame, c: Cleaning = Cleaning(), chimeras: ChimeraFilter | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """The records that stay, and per genus (and file) how many each step took; genera that lose all are listed too."""
-    return summarized(stages(records, c), chimeras)
+    return summarized(stages(records, c), chimeras or chimera_filter(c))
 
 
 def summarized(staged: DataFrame, chimeras: ChimeraFilter = without_tool) -> tuple[DataFrame, DataFrame]:
     """The same of records that have been through stages()."""
     scope = _scope(staged)
-    stay, status = chimeras(in_stage(staged, "nonnested"))
+    stay, status = chimeras(in_stage(staged, "nonnested") if chimeras is without_tool else with_size(staged))
+    stay = stay.drop("size")
     is_ = lambda *reasons: F.count_if(F.col("drop_reason").isin(*reasons))
     counts = staged.groupBy(*scope).agg(F.count("*").alias("input"), *(is_(reason).alias(name) for name, reason in COUNTERS.items()), is_("pass", "duplicate", "nested").alias("passed_quality"), is_("duplicate").alias("dropped_duplicates"), is_("nested").alias("dropped_nested"), is_("pass").alias("after_nested"))
     if chimeras is without_tool:

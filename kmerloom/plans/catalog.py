@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Cleaning, Kmers, Profiling
 from ..functions import sequences
-from ..operators import clean, correlation, embed, evaluate, explain, kmers, layout, models, split, stats, taxonomy
+from ..operators import chimera, clean, correlation, embed, evaluate, explain, kmers, layout, models, split, stats, taxonomy
 from ..sources import fasta
 from ..sources.stored import stored
 
@@ -149,6 +149,51 @@ def chimera_step(spark, sf_dir):
     return summary.select("genus", "chimera_status", "dropped_chimeras")
 
 
+_CONSERVED = "GGAUUAGAUACCCUGGUAGUCCACGCCGUAAACGAUGAGU"
+_MOSAIC = f"""mosaic AS (SELECT a.doc_id, a.genus, CASE WHEN a.doc_id % 4 < 2 THEN 2 + a.doc_id % 3 ELSE 1 + a.doc_id // 4 % 2 END AS size,
+  '{_CONSERVED}' || CASE WHEN a.doc_id % 4 = 2 THEN substr(b.sequence, 1, 20 + a.doc_id % 80) || substr(c.sequence, 21 + a.doc_id % 80) WHEN a.doc_id % 4 = 3 THEN substr(b.sequence, 1, 64) || substr(a.sequence, 65) ELSE a.sequence END AS sequence
+  FROM (SELECT s.doc_id, g.genus, s.sequence FROM seq s JOIN seq g ON g.doc_id = s.doc_id - s.doc_id % 4) a JOIN seq b ON b.doc_id = a.doc_id - a.doc_id % 4 JOIN seq c ON c.doc_id = b.doc_id + 1)"""
+
+
+def _chimeric(rec: str) -> str:
+    """SQL of the chimeras of a table (doc_id, genus, size, sequence): every pair of sequences, letter by letter."""
+    shared = lambda q, b: f"coalesce(list_position(list_transform(range(1, least(length({q}), length({b})) + 1), i -> substr({q}, i, 1) <> substr({b}, i, 1)), true) - 1, least(length({q}), length({b})))"
+    return f"""ends AS (SELECT q.doc_id, b.doc_id AS parent, length(q.sequence) AS n, least({shared("q.sequence", "b.sequence")}, length(q.sequence) - 32) AS l, least({shared("reverse(q.sequence)", "reverse(b.sequence)")}, length(q.sequence) - 32) AS r
+  FROM {rec} q JOIN {rec} b ON b.genus = q.genus AND b.size >= 2 * q.size),
+chimeric AS (SELECT DISTINCT x.doc_id FROM (SELECT * FROM ends WHERE l >= 32) x JOIN (SELECT * FROM ends WHERE r >= 32) y ON y.doc_id = x.doc_id AND y.parent <> x.parent WHERE x.l + y.r >= x.n)"""
+
+
+def mosaics(spark, sf_dir) -> DataFrame:
+    """Of every four documents two have a sequence of their own, one the start of the first and the end of the second, one shares a start only; all begin with one conserved region."""
+    s = rna(spark, sf_dir)
+    first = F.col("doc_id") - F.col("doc_id") % 4
+    one = s.select(F.col("doc_id").alias("b"), F.col("genus").alias("g"), F.col("sequence").alias("first_part"))
+    two = s.select((F.col("doc_id") - 1).alias("b"), F.col("sequence").alias("second_part"))
+    of = s.withColumn("b", first).join(one, "b").join(two, "b")
+    at = F.lit(20) + F.col("doc_id") % 80
+    mixed = F.concat(F.substring("first_part", F.lit(1), at), F.substring("second_part", at + 1, F.length("second_part")))
+    text = F.when(F.col("doc_id") % 4 == 2, mixed).when(F.col("doc_id") % 4 == 3, F.concat(F.substring("first_part", 1, 64), F.substring(F.col("sequence"), F.lit(65), F.length("sequence")))).otherwise(F.col("sequence"))
+    size = F.when(F.col("doc_id") % 4 < 2, 2 + F.col("doc_id") % 3).otherwise(1 + F.floor(F.col("doc_id") / 4) % 2)
+    return of.select("doc_id", F.col("g").alias("genus"), "accession", "seq_idx", F.concat(F.col("header"), F.lit(";size="), size.cast("string")).alias("header"), F.concat(F.lit(_CONSERVED), text).alias("sequence"))
+
+
+@query(f"WITH seq AS ({_SEQ}), {_MOSAIC}, {_chimeric('mosaic')} SELECT doc_id, genus FROM mosaic WHERE doc_id IN (SELECT doc_id FROM chimeric)")
+def chimeras_found(spark, sf_dir):
+    """Sequences that the start of one at least twice as abundant and the end of another make up."""
+    m = mosaics(spark, sf_dir)
+    found = chimera.find(m.withColumn("size", chimera.abundance(F.col("header"))), ["genus"])
+    return found.select(F.col("seq_idx").alias("doc_id"), "genus")
+
+
+@query(f"""
+WITH seq AS ({_SEQ}), {_MOSAIC}, one AS (SELECT genus, min(doc_id) AS doc_id, CAST(sum(size) AS BIGINT) AS size, sequence FROM mosaic GROUP BY genus, sequence), {_chimeric('one')}
+SELECT genus, 'ran' AS chimera_status, count(*) FILTER (doc_id IN (SELECT doc_id FROM chimeric)) AS dropped_chimeras, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM chimeric)) AS final FROM one GROUP BY genus""")
+def chimera_removal(spark, sf_dir):
+    """The cleaning's chimera step after dedup, whose copies add to a sequence's abundance."""
+    _, summary = clean.clean(mosaics(spark, sf_dir), Cleaning(min_len=1, max_len=1000, terms=(), chimeras="denovo"))
+    return summary.select("genus", "chimera_status", "dropped_chimeras", "final")
+
+
 # --- dedup -----------------------------------------------------------------------------------------------
 
 

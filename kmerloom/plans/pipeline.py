@@ -17,12 +17,13 @@ from ..sources import fasta
 from .stages import Stages
 
 
-def clean_folder(spark: SparkSession, folder: str, out: str | None = None, c: Cleaning = Cleaning(), chimeras: clean.ChimeraFilter = clean.without_tool, compat: bool = False, intermediates: bool = False, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def clean_folder(spark: SparkSession, folder: str, out: str | None = None, c: Cleaning = Cleaning(), chimeras: clean.ChimeraFilter | None = None, compat: bool = False, intermediates: bool = False, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """Raw FASTA folder to cleaned records and a summary by file.
 
+    chimeras: a step of one's own in place of the one that c names.
     out: gets ``<genus>.clean.fa``, the summary as CSV and, if asked, each stage's records in folders of their own.
     """
-    st = stages or Stages(spark)
+    st, chimeras = stages or Stages(spark), chimeras or clean.chimera_filter(c)
     read = fasta.read_folder(spark, folder, compat)
     source = st.files(folder, "*.{fasta,fa}")
     staged = st.table("cleaned", lambda: clean.stages(read, c), folder, source, c, compat)
