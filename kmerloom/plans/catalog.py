@@ -157,7 +157,7 @@ _MOSAIC = f"""mosaic AS (SELECT a.doc_id, a.genus, CASE WHEN a.doc_id % 4 < 2 TH
 
 def _chimeric(rec: str) -> str:
     """SQL of the chimeras of a table (doc_id, genus, size, sequence): every pair of sequences, letter by letter."""
-    shared = lambda q, b: f"coalesce(list_position(list_transform(range(1, least(length({q}), length({b})) + 1), i -> substr({q}, i, 1) <> substr({b}, i, 1)), true) - 1, least(length({q}), length({b})))"
+    shared = lambda q, b: f"coalesce(list_position(list_transform(range(1, least(length({q}), length({b})) + 1), lambda i: substr({q}, i, 1) <> substr({b}, i, 1)), true) - 1, least(length({q}), length({b})))"
     return f"""ends AS (SELECT q.doc_id, b.doc_id AS parent, length(q.sequence) AS n, least({shared("q.sequence", "b.sequence")}, length(q.sequence) - 32) AS l, least({shared("reverse(q.sequence)", "reverse(b.sequence)")}, length(q.sequence) - 32) AS r
   FROM {rec} q JOIN {rec} b ON b.genus = q.genus AND b.size >= 2 * q.size),
 chimeric AS (SELECT DISTINCT x.doc_id FROM (SELECT * FROM ends WHERE l >= 32) x JOIN (SELECT * FROM ends WHERE r >= 32) y ON y.doc_id = x.doc_id AND y.parent <> x.parent WHERE x.l + y.r >= x.n)"""
