@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stored import stored
+
 SKEW, LEAST = 2.0, 32
 
 
@@ -53,6 +55,11 @@ def _pair(left: Column, right: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), first)
 
 
+def _different(left: Column, right: Column) -> Column:
+    """Whether two sides, neither null, have two different ids."""
+    return F.size(F.array_union(left, right)) > 1
+
+
 def _side(side: int) -> Column:
     """length -> ids of a side, from the collected answers."""
     return F.map_from_entries(F.transform(F.filter("found", lambda x: x["side"] == side), lambda x: F.struct(x["l"], x["ids"])))
@@ -89,10 +96,12 @@ def find(records: DataFrame, scope: list[str], skew: float = SKEW, least: int =
     coarse = starts(grid)
     met = _collected(_answers(coarse.filter(F.col("l") <= F.col("n") - least), coarse, keys, skew), scope).filter(F.col("n") >= 2 * least)
     # Between two multiples the one before is the most that can hold and the one after the least; places that can hold at all are looked at.
-    places = F.filter(F.sequence(F.lit(least), F.col("n") - least), lambda x: _pair(_ids("starts", floor(x)), _ids("ends", floor(F.col("n") - x))).isNotNull())
+    longest, from_end = (F.array_max(F.map_keys(c)) + (least - 1) for c in ("starts", "ends"))
+    met = met.withColumn("last", F.least(longest, F.col("n") - least)).withColumn("first", F.greatest(F.col("n") - from_end, F.lit(least))).filter("first <= last")
+    places = F.filter(F.sequence("first", "last"), lambda x: _different(_ids("starts", floor(x)), _ids("ends", floor(F.col("n") - x))))
     after = lambda x: floor(x + (least - 1))
-    sure = F.filter("places", lambda x: _pair(_ids("starts", after(x)), _ids("ends", after(F.col("n") - x))).isNotNull())
-    judged = met.withColumn("places", places).filter(F.size("places") > 0).withColumn("sure", sure)
+    sure = F.filter("places", lambda x: _different(_ids("starts", after(x)), _ids("ends", after(F.col("n") - x))))
+    judged = stored(met.withColumn("places", places).filter(F.size("places") > 0).withColumn("sure", sure), "chimeras")
 
     def told(df: DataFrame, at: Column, left: Column, right: Column) -> DataFrame:
         pair = _pair(left, right)
@@ -106,5 +115,5 @@ def find(records: DataFrame, scope: list[str], skew: float = SKEW, least: int =
     near = grid.select("*", *_digests(F.substring(F.col("text"), F.lit(1), F.col("l")))).join(wanted, keys, "left_semi").drop("h1", "h2")
     fine = starts(near.withColumn("l", F.explode(F.sequence(F.col("l"), F.least(F.col("l") + (least - 1), F.col("n"))))))
     settled = _collected(_answers(starts(asked.drop("x", "f")), fine, keys, skew), scope)
-    settled = settled.withColumn("sure", F.filter(F.sequence(F.lit(least), F.col("n") - least), lambda p: _pair(_ids("starts", p), _ids("ends", F.col("n") - p)).isNotNull())).filter(F.size("sure") > 0)
+    settled = settled.withColumn("sure", F.filter(F.sequence(F.lit(least), F.col("n") - least), lambda p: _different(_ids("starts", p), _ids("ends", F.col("n") - p)))).filter(F.size("sure") > 0)
     return proven.unionByName(told(settled, x, _ids("starts", x), _ids("ends", F.col("n") - x)))

@@ -311,6 +311,12 @@ def fasta_source(spark, sf_dir):
     return spark.read.format("fasta").option("paths", ",".join(f"{folder}/{n}.clean.fa" for n in sorted(names))).load()
 
 
+@query(f"WITH {_NUMBERED} SELECT genus, genus || '.clean.fa' AS file, seq_idx, header, sequence FROM num")
+def fasta_split(spark, sf_dir):
+    """The same files by splits, each of which is a task's."""
+    return fasta.read_split(spark, _written(spark, sf_dir))
+
+
 @query("SELECT lang AS genus, count(*) AS records FROM documents GROUP BY lang")
 def fasta_files_written(spark, sf_dir):
     """A file for each genus, as the cleaning step leaves them."""

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import asdict, dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,12 @@ def clean_folder(spark: SparkSession, folder: str, out: str | None = None, c: Cl
     out: gets ``<genus>.clean.fa``, the summary as CSV and, if asked, each stage's records in folders of their own.
     """
     st, chimeras = stages or Stages(spark), chimeras or clean.chimera_filter(c)
-    read = fasta.read_folder(spark, folder, compat)
+    read = fasta.read_split(spark, folder, compat)
     source = st.files(folder, "*.{fasta,fa}")
     staged = st.table("cleaned", lambda: clean.stages(read, c), folder, source, c, compat)
-    stay, counts = clean.summarized(staged, chimeras)
-    records = st.table("records", lambda: stay, staged, chimeras.__qualname__)
-    summary = st.table("cleaning_summary", lambda: counts, staged, chimeras.__qualname__)
+    ended = cache(lambda: clean.summarized(staged, chimeras))
+    records = st.table("records", lambda: ended()[0], staged, chimeras.__qualname__)
+    summary = st.table("cleaning_summary", lambda: ended()[1], staged, chimeras.__qualname__)
     if out:
         fasta.write_files(records, out)
         summary.write.csv(f"{out}/cleaning_summary", header=True, mode="overwrite")

@@ -1,7 +1,8 @@
 """FASTA folders as tables and tables as FASTA, CSV and JSON.
 
-``read_folder`` reads each file as one text: fine for a file per genus. Files of many gigabytes are read
-with ``format("fasta")``, a Python data source that streams a file in one task and keeps record order.
+``read_split`` reads a file of any size by several tasks and keeps each record's ordinal; the entry points use it.
+``read_folder`` reads each file as one text: fine for a file per genus. ``format("fasta")`` is a Python data source
+that streams a file in one task.
 """
 
 from __future__ import annotations
@@ -36,7 +37,32 @@ def read_folder(spark: SparkSession, folder: str, compat: bool = False) -> DataF
     if files.isEmpty():
         raise FileNotFoundError(f"no .fasta or .fa files in {folder}")
     records = files.select(stem(F.col("file"), compat).alias("genus"), "file", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"(?m)^>")).alias("pos", "record")).filter("pos > 0")
-    return records.select("genus", "file", (F.col("pos") - 1).cast("long").alias("seq_idx"), F.regexp_replace(F.substring_index("record", "\n", 1), r"\s+$", "").alias("header"), F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"[ \t]*\n|[ \t]+$", "").alias("sequence"))
+    return records.select("genus", "file", (F.col("pos") - 1).cast("long").alias("seq_idx"), *_parsed())
+
+
+def read_split(spark: SparkSession, folder: str, compat: bool = False) -> DataFrame:
+    """The rows of read_folder from files of any size: a file is read by as many tasks as it has splits of ``spark.sql.files.maxPartitionBytes``.
+
+    The text source cuts at a line end before ``>``, wherever a split falls. A record's ordinal is its place among those of its split, in the order
+    in which they are read, and the number of records in the splits before, which a first scan counts: a row for each split, summed up file by file.
+    One difference: a ``>`` that is the very last letter of a file is no record here, while read_folder makes an empty one of it.
+    """
+    if spark.read.format("binaryFile").option("pathGlobFilter", "*.{fasta,fa}").load(folder).select("path").isEmpty():
+        raise FileNotFoundError(f"no .fasta or .fa files in {folder}")
+    lines = spark.read.option("pathGlobFilter", "*.{fasta,fa}").option("lineSep", "\n>").text(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = lines.select("path", "file", "block", F.explode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"\n>")).alias("record")).withColumn("id", F.monotonically_increasing_id())
+    of_file = Window.partitionBy("path").orderBy("block")
+    blocks = pieces.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min_by(F.startswith("record", F.lit(">")), "id").alias("begins"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("begins", F.first("begins").over(of_file)).drop("n")
+    # What stands before a file's first ">" counts as one piece of the first split; a file that begins with ">" has nothing there.
+    numbered = pieces.join(blocks, ["path", "block"]).withColumn("at", F.col("before") + F.col("id") - F.col("first_id")).withColumn("seq_idx", F.col("at") - F.when(F.col("begins"), 0).otherwise(1)).filter("seq_idx >= 0")
+    record = F.when(F.col("at") == 0, F.substr("record", F.lit(2))).otherwise(F.col("record"))
+    return numbered.withColumn("record", record).select(stem(F.col("file"), compat).alias("genus"), "file", F.col("seq_idx").cast("long").alias("seq_idx"), *_parsed())
+
+
+def _parsed() -> list[Column]:
+    """header and sequence of a record without its ``>``."""
+    return [F.regexp_replace(F.substring_index("record", "\n", 1), r"\s+$", "").alias("header"), F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"[ \t]*\n|[ \t]+$", "").alias("sequence")]
 
 
 def labelled(records: DataFrame) -> DataFrame:

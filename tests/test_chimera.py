@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.config import Cleaning
 from kmerloom.operators import chimera, clean
+from kmerloom.plans import pipeline
 
 
 def same(a, b):
@@ -108,3 +109,14 @@ def test_step_of_the_cleaning(spark):
     assert sorted((x["file"], x["dropped_chimeras"], x["final"], x["chimera_status"]) for x in summary.collect()) == [("f1", 1, 3, "ran"), ("f2", 0, 1, "ran")]
     with pytest.raises(ValueError):
         clean.clean(df, Cleaning(chimeras="some"))
+
+
+def test_entry_point(spark, tmp_path):
+    """The cleaning of a folder with the step that its parameters name."""
+    r = random.Random(9)
+    a, b = ("".join(r.choices("ACGU", k=90)) for _ in range(2))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "Genus.fa").write_text(f">a;size=4\n{a}\n>b;size=3\n{b}\n>m;size=1\n{a[:50]}\n{b[50:]}\n")
+    stay, summary = pipeline.clean_folder(spark, str(tmp_path / "in"), c=Cleaning(min_len=10, max_len=200, chimeras="denovo"))
+    assert sorted(x["header"] for x in stay.collect()) == ["a;size=4", "b;size=3"]
+    assert [(x["dropped_chimeras"], x["final"]) for x in summary.collect()] == [(1, 2)]

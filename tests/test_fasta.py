@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -77,3 +78,29 @@ def test_merges(spark):
     with pytest.raises(ValueError, match="several rows"):
         taxonomy.merge_manifest(f, m.union(m))
     assert clean.without_tool(f)[1] == "skipped"
+
+
+def test_splits_of_a_file(spark, tmp_path):
+    """Files cut into many splits have the rows of files read whole, ordinals included."""
+    r = random.Random(3)
+    record = lambda i, end: f">{'>' * (i % 7 == 3)}r{i} size={i % 9} a > b{end}" + "".join("".join(r.choices("ACGU", k=r.randint(1, 60))) + end for _ in range(r.randint(0, 6))) + end * (i % 5 == 0)
+    whole = lambda n, end="\n": "".join(record(i, end) for i in range(n))
+    for name, text in {"Alpha.fa": whole(400), "Beta.clean.fasta": "words before\n" + whole(60), "Gamma.fa": "\n\n" + whole(50, "\r\n"), "Delta.fa": whole(30, "\r"), "Empty.fa": "", "Words.fa": "no record", "One.fa": ">x", "Two.fa": ">\nAC\n>\n"}.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        want = sorted(map(tuple, fasta.read_folder(spark, str(tmp_path)).collect()))
+        for size in ("97", "1000", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = fasta.read_split(spark, str(tmp_path))
+            assert df.dtypes == fasta.read_folder(spark, str(tmp_path)).dtypes
+            assert sorted(map(tuple, df.collect())) == want
+            scanned = spark.read.option("lineSep", "\n>").text(str(tmp_path / "Alpha.fa")).rdd.getNumPartitions()
+            assert (scanned > 20) == (size != "1m"), scanned
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        fasta.read_split(spark, str(tmp_path / "none"))
