@@ -116,21 +116,39 @@ def reduce_features(rows: DataFrame, p: Reducing = Reducing(), features: str = "
 
 
 def dendrogram(r: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(step, left, right, height) of average linkage on 1 - |r|; clusters made by step s are numbered n + s."""
+    """(step, left, right, height) of average linkage on 1 - |r|; clusters made by step s are numbered n + s.
+
+    By a chain of nearest neighbours, whose last two merge when each is the other's nearest: average linkage never makes a
+    cluster nearer than its parts were, so the rest of the chain stays valid and all takes O(n^2). Merges are then put in
+    the order of their heights, equal ones as they were found.
+    """
     n = len(r)
-    d = 1 - np.abs(r)
-    size = {i: 1 for i in range(n)}
-    at = {(i, j): float(d[i, j]) for i in range(n) for j in range(i + 1, n)}
-    out = []
-    for step in range(n - 1):
-        (x, y), h = min(at.items(), key=lambda e: (e[1], e[0]))
-        new = n + step
-        for z in size:
-            if z not in (x, y):
-                at[(z, new)] = (size[x] * at[tuple(sorted((x, z)))] + size[y] * at[tuple(sorted((y, z)))]) / (size[x] + size[y])
-        size[new] = size.pop(x) + size.pop(y)
-        at = {k: v for k, v in at.items() if x not in k and y not in k}
-        out.append((step, x, y, h))
+    d = 1 - np.abs(np.asarray(r, dtype=float))
+    np.fill_diagonal(d, np.inf)
+    size, height, alive = np.ones(n), np.zeros(n), np.ones(n, bool)
+    found, chain = [], []
+    while len(found) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        x = chain[-1]
+        y = int(np.argmin(d[x]))
+        if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+            y = chain[-2]
+            del chain[-2:]
+            keep, gone = min(x, y), max(x, y)  # a cluster goes by its smallest feature
+            h = max(float(d[x, y]), height[x], height[y])
+            found.append((h, keep, gone))
+            row = (size[x] * d[x] + size[y] * d[y]) / (size[x] + size[y])
+            row[[keep, gone]] = np.inf
+            d[keep], d[:, keep] = row, row
+            d[gone], d[:, gone] = np.inf, np.inf
+            size[keep], height[keep], alive[gone] = size[x] + size[y], h, False
+        else:
+            chain.append(y)
+    name, out = list(range(n)), []
+    for step, (h, keep, gone) in enumerate(sorted(found, key=lambda f: f[0])):
+        out.append((step, *sorted((name[keep], name[gone])), h))
+        name[keep] = n + step
     return out
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.stored import stored
-from . import layout
+from . import layout, tsne as tsne_layout
 from .stats import feature_statistics
 
-#: Rows that the driver-side t-SNE may take; epochs of UMAP.
-SAMPLE, EPOCHS = 5000, 30
+#: Rows that t-SNE lays out on the driver before it places the others; epochs of UMAP.
+LANDMARKS, EPOCHS = 1000, 30
 
 
 def standardize(rows: DataFrame, features: str = "features", population: bool = True) -> DataFrame:
@@ -54,39 +54,24 @@ def neighbours(wanted: int, n: int) -> int:
     return min(wanted, max(2, n - 1))
 
 
-def tsne(rows: DataFrame, wanted: float = 30, seed: int = 42, features: str = "features", key: str = "sequence_id", rounds: int = 300, most: int = SAMPLE) -> DataFrame:
-    """key, TSNE1, TSNE2 of at most ``most`` rows, those whose keys hash smallest: an exploratory picture made on the driver."""
-    import numpy as np
+def tsne(rows: DataFrame, wanted: float = 30, seed: int = 42, features: str = "features", key: str = "sequence_id", rounds: int = 300, landmarks: int = LANDMARKS, moves: int = tsne_layout.MOVES) -> DataFrame:
+    """key, TSNE1, TSNE2 of all rows. Keys are unique.
 
-    chosen = rows.orderBy(F.xxhash64(key), key).limit(most).select(F.col(key).cast("string").alias("k"), F.transform(features, lambda x: x.cast("double")).alias("f")).collect()
-    n = len(chosen)
+    Landmarks, those rows whose keys hash smallest, get an exact layout in so many rounds; each other row starts at the mean
+    of its nearest landmarks' places, and then all rows move together. Where all rows are landmarks, their layout is the
+    result.
+    """
+    numbered = stored(rows.select(F.monotonically_increasing_id().alias("id"), F.col(key), F.transform(features, lambda x: x.cast("double")).alias("x")), "tsne-rows")
+    n = numbered.count()
     if n < 3:
-        return rows.sparkSession.createDataFrame([(r["k"], 0.0, 0.0) for r in chosen], f"{key} string, TSNE1 double, TSNE2 double")
-    x = np.array([r["f"] for r in chosen])
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) if n <= 1000 else np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0)
-    target, p = np.log(perplexity(wanted, n)), np.zeros((n, n))
-    for i in range(n):
-        low, high, beta = 0.0, np.inf, 1.0
-        for _ in range(50):
-            w = np.exp(-beta * (d[i] - d[i][np.arange(n) != i].min()))
-            w[i] = 0
-            q = w / w.sum()
-            h = -(q[q > 0] * np.log(q[q > 0])).sum()
-            if abs(h - target) < 1e-5:
-                break
-            low, high = (beta, high) if h > target else (low, beta)
-            beta = beta * 2 if high == np.inf else (low + high) / 2
-        p[i] = q
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
-    r = np.random.default_rng(seed)
-    y, step = r.normal(0, 1e-4, (n, 2)), np.zeros((n, 2))
-    for t in range(rounds):
-        num = 1 / (1 + ((y[:, None, :] - y[None, :, :]) ** 2).sum(2))
-        np.fill_diagonal(num, 0)
-        g = (p * (4 if t < 100 else 1) - np.maximum(num / num.sum(), 1e-12)) * num
-        step = (0.5 if t < 100 else 0.8) * step - max(n / 12, 50) * 4 * (g.sum(1)[:, None] * y - g @ y)
-        y = y + step - (y + step).mean(0)
-    return rows.sparkSession.createDataFrame([(c["k"], float(a), float(b)) for c, (a, b) in zip(chosen, y, strict=True)], f"{key} string, TSNE1 double, TSNE2 double")
+        return numbered.select(key, F.lit(0.0).alias("TSNE1"), F.lit(0.0).alias("TSNE2"))
+    chosen = [tuple(r) for r in numbered.orderBy(F.xxhash64(key), key).limit(landmarks).select("id", "x").collect()]
+    places = tsne_layout.exact([x for _, x in chosen], perplexity(wanted, len(chosen)), rounds, seed)
+    where = tsne_layout.placed(numbered, [x for _, x in chosen], places)
+    if n > len(chosen):
+        near = layout.neighbours(numbered.select("id", "x"), neighbours(tsne_layout.NEAR, n), seed)
+        where = tsne_layout.moved(where, tsne_layout.affinities(near, n, perplexity(wanted, n)), n, moves)
+    return numbered.select("id", key).join(where, "id").select(key, F.col("u").alias("TSNE1"), F.col("v").alias("TSNE2"))
 
 
 def umap(rows: DataFrame, wanted: int = 15, min_dist: float = 0.1, seed: int = 42, features: str = "features", key: str = "sequence_id", epochs: int = EPOCHS) -> DataFrame:

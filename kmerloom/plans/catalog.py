@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Cleaning, Kmers, Profiling
 from ..functions import sequences
-from ..operators import chimera, clean, correlation, embed, evaluate, explain, kmers, layout, models, split, stats, taxonomy
+from ..operators import blocks, chimera, clean, correlation, embed, evaluate, explain, kmers, layout, models, split, stats, taxonomy
 from ..sources import fasta
 from ..sources.stored import stored
 
@@ -524,6 +524,12 @@ def corr_pairs_long_all(spark, sf_dir):
     return correlation.long_pairs(long, load(spark, sf_dir, "embeddings").count(), "vec_id", "idx", "x").select("f1", "f2", r6("r"))
 
 
+@query(f"WITH {_LONG}, {_PAIRS} SELECT f1, f2, round(r, 6) AS r FROM prs")
+def corr_blocks(spark, sf_dir):
+    """From strips of products; blocks of 24, so that 64 features make three."""
+    return blocks.pairs(vectors(spark, sf_dir), block=24).select("f1", "f2", r6("r"))
+
+
 @query(f"WITH {_LONG}, {_PAIRS} SELECT CAST(least(floor((r + 1.0) / (2.0 / 60)) + 1, 60) AS BIGINT) AS bin, count(*) AS n FROM prs GROUP BY 1")
 def corr_histogram(spark, sf_dir):
     return correlation.histogram(correlation.pairs(vectors(spark, sf_dir)))
@@ -547,6 +553,12 @@ def corr_spearman(spark, sf_dir):
     return correlation.strong(correlation.pairs(vectors(spark, sf_dir), method="spearman"), CORRELATED).select("f1", "f2", r6("r"))
 
 
+@query(f"WITH {_LONG}, {_RANKS} SELECT f1, f2, round(r, 6) AS r FROM sp")
+def rank_corr_blocks(spark, sf_dir):
+    """Spearman's from ranks that ranges of values make, by blocks."""
+    return blocks.pairs(blocks.ranked(vectors(spark, sf_dir), "vec_id"), block=24).select("f1", "f2", r6("r"))
+
+
 def _greedy(pairs: str, cutoff: float, n: str) -> str:
     """Pairs in order, one after the other: gone collects the dropped features, log what was dropped for what."""
     return f"""means AS (SELECT idx, sum(a) / {n} AS m FROM (SELECT f1 AS idx, abs(r) AS a FROM {pairs} UNION ALL SELECT f2, abs(r) FROM {pairs}) GROUP BY idx),
@@ -635,9 +647,21 @@ def cv_summary(spark, sf_dir):
     return s.select(r6("mean"), r6("std"))
 
 
-@query()
+_LINKAGE = f"""
+d AS (SELECT f1, f2, 1 - abs(r) AS d FROM prs),
+run(step, cl, x, y, h) AS (
+  SELECT -1, range({N_FEATURES}), -1::BIGINT, -1::BIGINT, 0::DOUBLE
+  UNION ALL
+  SELECT step + 1, list_transform(cl, lambda c: CASE WHEN c = m.x OR c = m.y THEN {N_FEATURES} + step + 1 ELSE c END), m.x, m.y, m.h
+  FROM run, LATERAL (SELECT least(cl[f1 + 1], cl[f2 + 1]) AS x, greatest(cl[f1 + 1], cl[f2 + 1]) AS y, avg(d) AS h FROM d WHERE cl[f1 + 1] <> cl[f2 + 1] GROUP BY 1, 2 ORDER BY h, x, y LIMIT 1) m
+  WHERE step < {N_FEATURES - 2})"""
+
+
+@query(f"WITH RECURSIVE {_LONG}, {_PAIRS}, {_LINKAGE} SELECT step, CAST(x AS INTEGER) AS first, CAST(y AS INTEGER) AS second, round(h, 6) AS height FROM run WHERE step >= 0")
 def dendrogram(spark, sf_dir):
-    return spark.createDataFrame(correlation.dendrogram(correlation.matrix(vectors(spark, sf_dir))), "step int, left int, right int, height double")
+    """Merges by a chain of nearest neighbours; the SQL takes the nearest two clusters anew at each step."""
+    merges = correlation.dendrogram(correlation.matrix(vectors(spark, sf_dir)))
+    return spark.createDataFrame(merges, "step int, first int, second int, height double").withColumn("height", F.round("height", 6))
 
 
 @query(f"WITH {_LONG}, {_STATS}, top AS (SELECT idx FROM st ORDER BY variance DESC, idx LIMIT 10) SELECT a.idx AS f1, b.idx AS f2, round(abs(corr(a.x, b.x)), 6) AS r FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.idx < b.idx WHERE a.idx IN (SELECT idx FROM top) AND b.idx IN (SELECT idx FROM top) GROUP BY a.idx, b.idx")
@@ -701,6 +725,12 @@ def neighbour_graph(spark, sf_dir):
     return layout.neighbours(stored(v, "vectors"), 15).select("id", "other", r6("d"))
 
 
+@query()
+def tsne_layout(spark, sf_dir):
+    """Of all rows; those that aren't landmarks are placed among them, and all are moved together."""
+    return embed.tsne(embed.standardize(vectors(spark, sf_dir)), key="vec_id")
+
+
 @query()
 def umap_layout(spark, sf_dir):
     return embed.umap(embed.standardize(vectors(spark, sf_dir)), key="vec_id")

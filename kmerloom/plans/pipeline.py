@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Boosting, Cleaning, Forest, Kmers, Profiling, Reducing, Splitting
-from ..operators import clean, correlation, embed, evaluate, explain, kmers, models, split, stats, taxonomy
+from ..operators import blocks, clean, correlation, embed, evaluate, explain, kmers, models, split, stats, taxonomy
 from ..sources import fasta
 from .stages import Stages
 
@@ -145,7 +145,7 @@ def diagnose(features: DataFrame, meta: DataFrame, n_features: int, p: Profiling
     st = stages or Stages(features.sparkSession)
     merged = st.table("described", lambda: taxonomy.left_merge(features, meta).drop("features"), features, meta)
     s = st.table("feature_statistics", lambda: stats.feature_statistics(features), features)
-    pairs = st.table("correlated", lambda: correlation.strong(correlation.pairs(features), p.correlated), features, p.correlated)
+    pairs = st.table("correlated", lambda: blocks.pairs(features, p.correlated), features, p.correlated)
     return {
         "dataset_summary": stats.dataset_summary(merged, n_features),
         "summary_text": stats.summary_text(stats.dataset_summary(merged, n_features), stats.class_distribution(merged)),

@@ -133,27 +133,41 @@ def write_folder(records: DataFrame, folder: str) -> None:
 def write_files(records: DataFrame, folder: str, ending: str = ".clean.fa") -> DataFrame:
     """One file ``<genus>.clean.fa`` for each genus, which one task streams; genus, file and records, once they are written.
 
-    A task that runs again writes its file anew. folder: shared by all executors.
+    A file gets its name once it is whole; until then it has a hidden one of its attempt's, so attempts of a task that run
+    side by side don't meet and one that fails leaves no half file for a reader. folder: shared by all executors.
     """
 
     def run(batches):
+        import uuid
+
         import pyarrow as pa
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         store.create_dir(root, recursive=True)
-        genus, out, told = None, None, []
-        for b in batches:
-            for g, value in zip(b["genus"].to_pylist(), b["value"].to_pylist(), strict=True):
-                if g != genus or out is None:
-                    if out is not None:
-                        out.close()
-                    genus, out = g, store.open_output_stream(f"{root}/{g}{ending}")
-                    told.append([g, f"{g}{ending}", 0])
-                out.write(value.encode() + b"\n")
-                told[-1][2] += 1
-        if out is not None:
+        attempt, genus, out, told = uuid.uuid4().hex, None, None, []
+
+        def end():
             out.close()
+            store.move(f"{root}/_{attempt}-{genus}", f"{root}/{genus}{ending}")
+
+        try:
+            for b in batches:
+                for g, value in zip(b["genus"].to_pylist(), b["value"].to_pylist(), strict=True):
+                    if g != genus or out is None:
+                        if out is not None:
+                            end()
+                        genus, out = g, store.open_output_stream(f"{root}/_{attempt}-{g}")
+                        told.append([g, f"{g}{ending}", 0])
+                    out.write(value.encode() + b"\n")
+                    told[-1][2] += 1
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(f"{root}/_{attempt}-{genus}")
+            raise
+        if out is not None:
+            end()
         yield pa.RecordBatch.from_pydict({"genus": [t[0] for t in told], "file": [t[1] for t in told], "records": [t[2] for t in told]}, pa.schema([("genus", pa.string()), ("file", pa.string()), ("records", pa.int64())]))
 
     written = as_text(records).repartition("genus").sortWithinPartitions("genus", "seq_idx").mapInArrow(run, "genus string, file string, records long")
