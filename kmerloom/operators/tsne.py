@@ -178,4 +178,5 @@ def moved(start: DataFrame, affinities: DataFrame, n: int, moves: int = MOVES) -
         next_ = where.join(pulls, "id", "left").fillna(0.0, ["pu", "pv"]).mapInArrow(move, "id long, u double, v double, du double, dv double")
         old, where = where, stored(next_, "tsne")
         discard(old)
+    discard(ties)
     return where.select("id", "u", "v")
