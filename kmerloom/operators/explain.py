@@ -14,8 +14,10 @@ from ..sources.fasta import shared_folder
 from .models import BoostedTrees
 
 
-#: Values of rows, features and classes that a task holds at once.
-CELLS = 2_000_000
+#: Rows, features and leaves (see shapley_sum) that a task holds at once, and the leaves among them.
+CELLS, LEAVES = 4_000_000, 64
+#: Parts that rows are dealt over, for each task that can run at a time.
+PARTS = 2
 
 
 @dataclass
@@ -41,28 +43,21 @@ def trees_of(spark: SparkSession, model, folder: str | None = None) -> list[Tree
             threshold = [np.nextafter(model.cuts[f][b], -np.inf) if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin, strict=True)]
             out.append(Tree(np.array(t.feature), np.array(threshold), np.array(t.left), np.array(t.right), np.array(t.n), value))
         return out
-    by_tree = _nodes(spark, model, folder or shared_folder(spark, "model"))
-    out = []
-    for nodes in by_tree:
-        stats = np.array([n["impurityStats"] for n in nodes], float)
-        share = stats / np.maximum(stats.sum(1, keepdims=True), 1e-300)
-        out.append(_tree(nodes, share / len(by_tree)))
-    return out
+    nodes = _nodes(spark, model, folder or shared_folder(spark, "model"))
+    starts = np.flatnonzero(np.diff(nodes["tree"], prepend=-1))
+    share = nodes["stats"] / np.maximum(nodes["stats"].sum(1, keepdims=True), 1e-300) / len(starts)
+    return [Tree(*(nodes[c][a:b] for c in ("feature", "threshold", "left", "right", "cover")), share[a:b]) for a, b in zip(starts, [*starts[1:], len(share)], strict=True)]
 
 
-def _nodes(spark: SparkSession, model, path: str) -> list[list]:
-    """Each tree's rows of the node table, saved and read again."""
+def _nodes(spark: SparkSession, model, path: str) -> dict[str, np.ndarray]:
+    """The trees' node table, saved and read again, by columns; a tree's nodes in their order, one tree after the other. Bounded by the model's parameters."""
     model.write().overwrite().save(path)
-    by_tree: dict[int, list] = {}
-    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect():
-        by_tree.setdefault(r["treeID"], []).append(r)
-    return [nodes for _, nodes in sorted(by_tree.items())]
-
-
-def _tree(nodes: list, value: np.ndarray) -> Tree:
-    leaf = np.array([n["leftChild"] < 0 for n in nodes])
-    thresholds = [n["split"]["leftCategoriesOrThreshold"] for n in nodes]
-    return Tree(np.array([n["split"]["featureIndex"] for n in nodes]), np.array([t[0] if t else 0.0 for t in thresholds]), np.where(leaf, -1, [n["leftChild"] for n in nodes]), np.where(leaf, -1, [n["rightChild"] for n in nodes]), np.array([n["rawCount"] for n in nodes], float), value)
+    n, leaf = F.col("nodeData"), F.col("nodeData.leftChild") < 0
+    child = lambda c: F.when(leaf, -1).otherwise(n[c]).alias(c)
+    threshold = F.coalesce(F.try_element_at(n["split"]["leftCategoriesOrThreshold"], F.lit(1)), F.lit(0.0))
+    table = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), n["id"].alias("id"), n["split"]["featureIndex"].alias("feature"), threshold.alias("threshold"), child("leftChild"), child("rightChild"), n["rawCount"].cast("double").alias("cover"), n["impurityStats"].alias("stats")).orderBy("tree", "id").toArrow()
+    names = {"tree": "tree", "feature": "feature", "threshold": "threshold", "left": "leftChild", "right": "rightChild", "cover": "cover"}
+    return {k: table[c].to_numpy() for k, c in names.items()} | {"stats": np.stack(table["stats"].to_numpy())}
 
 
 def expected(tree: Tree) -> np.ndarray:
@@ -77,66 +72,94 @@ def shapley(tree: Tree, x: np.ndarray, n_features: int) -> np.ndarray:
 
 
 def shapley_rows(tree: Tree, x: np.ndarray, n_features: int) -> np.ndarray:
-    """Values (row, feature, class) of many rows at once.
+    """Values (row, feature, class) of many rows at once."""
+    return shapley_sum([tree], x, n_features)
+
 
-    For each leaf, the features on its path are players: one that is known passes all or nothing, one that
-    isn't passes the share of its branch. A polynomial in the number of known players, with one feature
-    left out at a time, weighs all their orders at once.
+def shapley_sum(trees: list[Tree], x: np.ndarray, n_features: int) -> np.ndarray:
+    """Values (row, feature, class) of many rows, added up over trees.
+
+    For each leaf, the features on its path are players: one that is known passes all or nothing (one), one that isn't
+    passes the share of its branch (zero). The mean over all orders of the players is the integral, for t from 0 to 1, of
+    the product of all other players' one * t + zero * (1 - t): a polynomial of t, which a few Gauss points add up
+    exactly. The products at these points go down the tree with the rows; players' shares of leaves are kept by feature and
+    multiplied with the leaves' values, LEAVES of them at once.
     """
-    phi = np.zeros((n_features, len(x), tree.value.shape[1]))
-    stack: list[tuple[int, dict[int, tuple[np.ndarray, float]]]] = [(0, {})]
-    while stack:
-        node, path = stack.pop()
-        if tree.left[node] < 0:
-            d = len(path)
-            if not d:
+    rows, classes = len(x), trees[0].value.shape[1]
+    phi = np.zeros((n_features, rows, classes))
+    held, values, filled = np.empty((n_features, LEAVES, rows)), np.empty((n_features, LEAVES, classes)), np.zeros(n_features, int)
+
+    def add(f: int) -> None:
+        phi[f] += held[f, : filled[f]].T @ values[f, : filled[f]]
+        filled[f] = 0
+
+    columns = np.ascontiguousarray(x.T)
+    for tree in trees:
+        at, weight = np.polynomial.legendre.leggauss(max(1, -(-min(depth(tree), n_features) // 2)))
+        known, unknown, weight = (1 + at) / 2, (1 - at) / 2, weight / 2
+        # node, features on the path, their zeros, whether a row passes them, and the products at each point
+        stack = [(0, (), (), np.empty((0, rows)), np.ones((len(at), rows)))]
+        while stack:
+            node, players, zeros, ones, product = stack.pop()
+            if tree.left[node] < 0:
+                if players:
+                    of, without = list(players), np.outer(zeros, unknown)
+                    passes = (weight * (1 - np.array(zeros)[:, None]) / (without + known)) @ product
+                    stops = (-weight / unknown) @ product  # of any player: its zero cancels out
+                    slot = filled[of]
+                    held[of, slot] = stops + ones * (passes - stops)
+                    values[of, slot] = tree.value[node]
+                    filled[of] += 1
+                    if slot.max() == LEAVES - 1:
+                        for f in np.flatnonzero(filled == LEAVES):
+                            add(f)
                 continue
-            one, zero = np.array([o for o, _ in path.values()]), np.array([z for _, z in path.values()])
-            weights = np.array([1.0 / (d * _binomial(d - 1, k)) for k in range(d)])
-            patterns, of = np.unique(one, axis=1, return_inverse=True)
-            others = np.array([[j for j in range(d) if j != i] for i in range(d)], int).reshape(d, d - 1)
-            poly = np.zeros((d, patterns.shape[1], d))
-            poly[:, :, 0] = 1.0
-            for k in range(d - 1):  # one factor (share + known * t) of each player's polynomial
-                j = others[:, k]
-                more = poly * zero[j][:, None, None]
-                more[:, :, 1:] += poly[:, :, :-1] * patterns[j][:, :, None]
-                poly = more
-            share = (patterns - zero[:, None]) * (poly @ weights)
-            for i, f in enumerate(path):
-                phi[f] += share[i][of.reshape(-1), None] * tree.value[node]
-            continue
-        f = int(tree.feature[node])
-        goes_left = x[:, f] <= tree.threshold[node]
-        for child, taken in ((int(tree.left[node]), goes_left), (int(tree.right[node]), ~goes_left)):
-            one, zero = path.get(f, (1.0, 1.0))
-            stack.append((child, {**path, f: (one * taken, zero * tree.cover[child] / tree.cover[node])}))
+            f = int(tree.feature[node])
+            goes_left = (columns[f] <= tree.threshold[node]).astype(float)
+            for child, taken in ((int(tree.left[node]), goes_left), (int(tree.right[node]), 1 - goes_left)):
+                part = max(tree.cover[child] / tree.cover[node], 1e-30)
+                if f in players:
+                    i = players.index(f)
+                    zero, both = zeros[i] * part, ones.copy()
+                    both[i] = ones[i] * taken
+                    new = product * ((zero * unknown)[:, None] + np.outer(known, both[i])) / ((zeros[i] * unknown)[:, None] + np.outer(known, ones[i]))
+                    stack.append((child, players, (*zeros[:i], zero, *zeros[i + 1 :]), both, new))
+                else:
+                    stack.append((child, (*players, f), (*zeros, part), np.concatenate([ones, taken[None]]), product * ((part * unknown)[:, None] + np.outer(known, taken))))
+    for f in np.flatnonzero(filled):
+        add(f)
     return phi.transpose(1, 0, 2)
 
 
-def _binomial(n: int, k: int) -> float:
-    out = 1.0
-    for i in range(k):
-        out = out * (n - i) / (i + 1)
+def depth(tree: Tree) -> int:
+    """Splits on the longest path."""
+    level, out = np.array([0]), 0
+    while len(level := level[tree.left[level] >= 0]):
+        level, out = np.concatenate([tree.left[level], tree.right[level]]), out + 1
     return out
 
 
 def explain(rows: DataFrame, trees: list[Tree], names: list[str], key: str = "sequence_id", features: str = "features") -> DataFrame:
-    """key, class, kmer, shap in long form; zero values are left out. The trees are bounded by the model's parameters."""
+    """key, class, kmer, shap in long form; zero values are left out. The trees are bounded by the model's parameters.
+
+    Rows are dealt evenly over tasks, however few partitions they come in: one costs a visit to every node of all trees.
+    """
     given = rows.sparkSession.sparkContext.broadcast((trees, names))
     kind = dict(rows.dtypes)[key]
+    parts = PARTS * rows.sparkSession.sparkContext.defaultParallelism
 
     def run(batches):
         trees, names = given.value
         for p in batches:
-            size = max(1, CELLS // (len(names) * trees[0].value.shape[1]))
+            size = max(1, CELLS // (len(names) * (LEAVES + trees[0].value.shape[1])))
             for i in range(0, len(p), size):
                 keys, x = p[key].iloc[i : i + size].to_numpy(), np.array(p[features].iloc[i : i + size].to_list(), float)
-                phi = sum(shapley_rows(t, x, len(names)) for t in trees)
+                phi = shapley_sum(trees, x, len(names))
                 r, f, c = np.nonzero(phi)
-                yield pd.DataFrame({key: keys[r], "class": c.astype(np.int64), "kmer": [names[j] for j in f], "shap": phi[r, f, c]})
+                yield pd.DataFrame({key: keys[r], "class": c.astype(np.int64), "kmer": np.array(names, object)[f], "shap": phi[r, f, c]})
 
-    return rows.select(key, F.transform(features, lambda x: x.cast("double")).alias(features)).mapInPandas(run, f"{key} {kind}, class long, kmer string, shap double")
+    dealt = rows.select(key, F.transform(features, lambda x: x.cast("double")).alias(features)).repartition(parts, key)
+    return dealt.mapInPandas(run, f"{key} {kind}, class long, kmer string, shap double")
 
 
 def strongest(values: DataFrame, n_rows: int, n: int = 15) -> DataFrame:

@@ -28,6 +28,7 @@ def prepare(rows: DataFrame, label: str = "genus", features: str = "features") -
 
 
 def train_forest(rows: DataFrame, p: Forest = Forest()) -> Transformer:  # noqa: B008
+    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)  # small rows may come in one partition; every level of trees visits them all
     return RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="w", numTrees=p.trees, maxDepth=p.depth, minInstancesPerNode=p.min_leaf, featureSubsetStrategy="sqrt", seed=p.seed).fit(rows)
 
 

@@ -207,6 +207,51 @@ def test_attributions_of_many_rows_are_those_of_each():
         assert np.allclose(p.sum(0) + explain.expected(tree), tree.value[at]) and np.allclose(p, explain.shapley(tree, row, 3))
 
 
+def test_attributions_against_all_coalitions(spark):
+    """Several trees with features that come back on a path; rows of one partition are dealt over tasks."""
+    from itertools import combinations
+    from math import comb
+
+    r = np.random.default_rng(4)
+
+    def grown(depth):
+        nodes = []
+
+        def node(n, d):
+            i = len(nodes)
+            nodes.append([-1, 0.0, -1, -1, n, r.random(2)])
+            if d < depth:
+                a = int(r.integers(1, n))
+                nodes[i][:2] = int(r.integers(4)), float(r.normal())
+                nodes[i][2], nodes[i][3] = node(a, d + 1), node(n - a, d + 1)
+            return i
+
+        node(10_000, 0)
+        return explain.Tree(*(np.array(c) for c in zip(*nodes, strict=True)))
+
+    def output(tree, node, row, known):
+        if tree.left[node] < 0:
+            return tree.value[node]
+        f, sides = tree.feature[node], (tree.left[node], tree.right[node])
+        if f in known:
+            return output(tree, sides[int(row[f] > tree.threshold[node])], row, known)
+        return sum(output(tree, c, row, known) * tree.cover[c] / tree.cover[node] for c in sides)
+
+    trees, x = [grown(d) for d in (5, 4, 0)], r.normal(size=(150, 4))
+    phi = explain.shapley_sum(trees, x, 4)
+    for i in range(6):
+        for f in range(4):
+            rest = [g for g in range(4) if g != f]
+            want = sum((output(t, 0, x[i], {*s, f}) - output(t, 0, x[i], set(s))) / (4 * comb(3, k)) for t in trees for k in range(4) for s in combinations(rest, k))
+            assert np.allclose(phi[i, f], want)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sequence_id long, features array<double>").coalesce(1)
+    out = explain.explain(rows, trees, list("abcd"))
+    assert {(q["sequence_id"], q["class"], q["kmer"]): q["shap"] for q in out.collect()} == pytest.approx({(i, c, "abcd"[f]): phi[i, f, c] for i in range(150) for f in range(4) for c in range(2) if phi[i, f, c]})
+    from pyspark.sql import functions as F
+
+    assert out.select(F.spark_partition_id()).distinct().count() >= 4
+
+
 def test_models_are_restored_with_classes_and_rounds(spark, tmp_path):
     from pyspark.ml.functions import array_to_vector
     from pyspark.sql import functions as F
