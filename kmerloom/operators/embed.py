@@ -69,7 +69,7 @@ def tsne(rows: DataFrame, wanted: float = 30, seed: int = 42, features: str = "f
     places = tsne_layout.exact([x for _, x in chosen], perplexity(wanted, len(chosen)), rounds, seed)
     where = tsne_layout.placed(numbered, [x for _, x in chosen], places)
     if n > len(chosen):
-        near = layout.neighbours(numbered.select("id", "x"), neighbours(tsne_layout.NEAR, n), seed)
+        near = layout.neighbours(numbered.select("id", "x"), neighbours(tsne_layout.NEAR, n))
         where = tsne_layout.moved(where, tsne_layout.affinities(near, n, perplexity(wanted, n)), n, moves)
     return numbered.select("id", key).join(where, "id").select(key, F.col("u").alias("TSNE1"), F.col("v").alias("TSNE2"))
 
@@ -81,7 +81,7 @@ def umap(rows: DataFrame, wanted: int = 15, min_dist: float = 0.1, seed: int = 4
     if n < 3:
         return numbered.select(key, F.lit(0.0).alias("UMAP1"), F.lit(0.0).alias("UMAP2"))
     k = neighbours(wanted, n)
-    near = layout.neighbours(numbered.select("id", "x"), k, seed)
+    near = layout.neighbours(numbered.select("id", "x"), k)
     scores, _ = pca(numbered.select("id", "x"), features="x")
     wide = scores.agg(F.greatest(F.max(F.abs("PC1")), F.max(F.abs("PC2")))).first()[0] or 1.0
     start = scores.select("id", (F.col("PC1") * (10 / wide)).alias("u"), (F.col("PC2") * (10 / wide)).alias("v"))

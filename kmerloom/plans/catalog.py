@@ -720,7 +720,7 @@ def pca_variances(spark, sf_dir):
 
 @query(f"WITH {_LONG}, d AS (SELECT a.vec_id AS id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM long a JOIN long b ON a.idx = b.idx AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id) SELECT id, other, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM d) WHERE r <= 15")
 def neighbour_graph(spark, sf_dir):
-    """The 15 nearest of each row: exact where all rows make one block, else nearly so."""
+    """The 15 nearest of each row."""
     v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("features").alias("x"))
     return layout.neighbours(stored(v, "vectors"), 15).select("id", "other", r6("d"))
 
