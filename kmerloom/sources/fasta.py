@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..functions import sequences
-from .stored import shared_folder  # noqa: F401
+from .stored import shared_folder, stored  # noqa: F401
 
 SCHEMA = "genus string, file string, seq_idx long, header string, sequence string"
 WIDTH = 60
@@ -196,5 +196,22 @@ def write_json(row: DataFrame, path: str) -> None:
 
 
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """seq_idx within each genus, for tables that have no order of their own."""
-    return df.withColumn("seq_idx", (F.row_number().over(Window.partitionBy("genus").orderBy(*order)) - 1).cast("long"))
+    """seq_idx within each genus, for tables that have no order of their own.
+
+    Only keys are sorted, by ranges: a range's ordinals go on from the counts of those before it, so no task has a whole
+    genus, and rows get their ordinals by a join. Rows of equal keys are numbered in no particular order.
+    """
+    keys = ["genus", *order]
+    ranged = stored(df.groupBy(*keys).agg(F.count("*").alias("__n")).repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ordinals")
+    so_far = lambda n, w: F.sum(n).over(w) - F.col(n)
+    sums = ranged.groupBy(F.col("__range").alias("__r"), F.col("genus").alias("__g")).agg(F.sum("__n").alias("__sum")).withColumn("__before", so_far("__sum", Window.partitionBy("__g").orderBy("__r")))  # few rows
+    at = ranged.join(F.broadcast(sums), (F.col("__range") == F.col("__r")) & F.col("genus").eqNullSafe(F.col("__g")))
+    at = at.withColumn("__at", F.col("__before") + so_far("__n", Window.partitionBy("__range", "genus").orderBy(*order)))
+    at = at.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), "__at")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__{i}"))
+    out = df.join(at, on)
+    if not ranged.filter("__n > 1").isEmpty():
+        out = out.withColumn("__at", F.col("__at") + F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1)
+    return out.select(*df.columns, F.col("__at").cast("long").alias("seq_idx"))

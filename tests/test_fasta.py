@@ -104,3 +104,20 @@ def test_splits_of_a_file(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError):
         fasta.read_split(spark, str(tmp_path / "none"))
+
+
+def test_ordinals_of_tables_without_an_order(spark):
+    """Over several ranges, with null and equal keys; no task gets all of a genus."""
+    from pyspark.sql import Row
+
+    rows = [Row(genus="a" if i % 10 else (None if i % 20 else "b"), key=(i * 7919) % 4001, text="x" * (i % 50)) for i in range(4000)] + [Row(genus="a", key=None, text="n"), Row(genus="c", key=5, text="1"), Row(genus="c", key=5, text="2")]
+    df = spark.createDataFrame(rows, "genus string, key long, text string").repartition(3)
+    plan = fasta.with_ordinal(df, "key")
+    got = sorted((q["genus"] or "", q["seq_idx"], -1 if q["key"] is None else q["key"], q["text"]) for q in plan.collect())
+    want, seen = [], {}
+    for g, k, t in sorted((r.genus or "", -1 if r.key is None else r.key, r.text) for r in rows):
+        seen[g] = seen.get(g, -1) + 1
+        want.append((g, seen[g], k, t))
+    assert [q[:3] for q in got] == [q[:3] for q in want] and sorted(q[3] for q in got) == sorted(q[3] for q in want)
+    lines = [x for x in fasta.with_ordinal(df.filter("genus = 'a'"), "key")._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in x and "text" in x]
+    assert not lines  # texts don't go through a window
