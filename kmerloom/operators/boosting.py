@@ -1,8 +1,7 @@
 """Multi-class boosting on histograms: one softmax tree a class and round, with L1 and L2 penalties on leaves.
 
 Features are binned once. A level of all classes' trees is one job: tasks sum gradients and Hessians by class, node, feature
-and bin, the sums are combined before and after a shuffle on the first three, and each node's best split, a row, comes
-to the driver. Leaf values follow from the same sums. Margins are stored with the rows every ROUNDS rounds; in between a
+and bin, a node's sums go through a shuffle as one array a task, and each node's best split, a row, comes to the driver. Leaf values follow from the same sums. Margins are stored with the rows every ROUNDS rounds; in between a
 task adds the newest trees' outputs. Validation losses of those rounds are one job, and a model that stops early keeps the
 trees up to its best round: nothing is fitted twice.
 """
@@ -25,8 +24,8 @@ ROUNDS, CELLS = 10, 1 << 24
 
 _ROWS = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("bins", pa.binary()), ("margin", pa.list_(pa.float64()))])
 ROWS = "id long, y int, bins binary, margin array<double>"
-_SUMS = pa.schema([*(pa.field(c, pa.int32()) for c in ("class", "node", "feature", "bin")), *(pa.field(c, pa.float64()) for c in ("g", "h", "n"))])
-SUMS = "class int, node int, feature int, bin int, g double, h double, n double"
+_SUMS = pa.schema([("class", pa.int32()), ("node", pa.int32()), ("sums", pa.binary())])
+SUMS = "class int, node int, sums binary"
 _BEST = pa.schema([("class", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), *(pa.field(c, pa.float64()) for c in ("gain", "gl", "hl", "nl", "g", "h", "n"))])
 BEST = "class int, node int, feature int, bin int, gain double, gl double, hl double, nl double, g double, h double, n double"
 
@@ -134,7 +133,9 @@ def binned(rows: DataFrame, cuts: list[np.ndarray], classes: int, features: str
                 yield pa.RecordBatch.from_arrays([b["id"], b["y"], pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([[0.0] * classes] * len(x), pa.list_(pa.float64()))], schema=_ROWS)
 
     values = F.transform(features, lambda v: v.cast("double"))
-    return rows.select(F.xxhash64(values, "y").alias("id"), F.col("y").cast("int").alias("y"), values.alias("x")).mapInArrow(run, ROWS)
+    # dealt over all tasks, as every level visits all rows: a table of small rows may come in a partition or two
+    dealt = rows.select(F.xxhash64(values, "y").alias("id"), F.col("y").cast("int").alias("y"), values.alias("x")).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, ROWS)
 
 
 def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,10 +151,13 @@ def level(rows: DataFrame, newest: list[list[Growing]], trees: list[Growing], li
     sizes = [len(of) * len(f) * p.bins for of, f in zip(live, chosen, strict=True)]
 
     def told(held):
+        """A row for each node that has rows: gradients, Hessians and counts by feature and bin, as bytes."""
         for c, sums in enumerate(held):
-            if sums is not None and len(at := np.flatnonzero(sums[2])):
-                row = at // p.bins
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (np.full(len(at), c), np.array(live[c])[row // len(chosen[c])], chosen[c][row % len(chosen[c])], at % p.bins)), *(pa.array(x[at]) for x in sums)], schema=_SUMS)
+            if sums is not None:
+                by_node = np.stack(sums).reshape(3, len(live[c]), -1).transpose(1, 0, 2)
+                used = np.flatnonzero(by_node[:, 2].any(1))
+                if len(used):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), c, np.int32)), pa.array(np.array(live[c], np.int32)[used]), pa.array([by_node[i].tobytes() for i in used], pa.binary())], schema=_SUMS)
 
     def sums(batches):
         newest, trees, live = given.value
@@ -180,21 +184,16 @@ def level(rows: DataFrame, newest: list[list[Growing]], trees: list[Growing], li
 
     def best(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b["sums"]
-            row, flat = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
-            g, h, n = np.zeros((3, b.num_rows, p.bins))
-            for name, dense in (("g", g), ("h", h), ("n", n)):
-                dense[row, flat.field("bin").to_numpy()] = flat.field(name).to_numpy()
-            at, gain = best_bins(g, h, n, p)
-            left = [np.cumsum(a, 1)[np.arange(len(at)), at] for a in (g, h, n)]
-            yield pa.RecordBatch.from_arrays([b["class"], b["node"], b["feature"], pa.array(at.astype(np.int32)), pa.array(gain), *map(pa.array, left), *(pa.array(a.sum(1)) for a in (g, h, n))], schema=_BEST)
-
-    added = rows.mapInArrow(sums, SUMS).groupBy("class", "node", "feature", "bin").agg(*(F.sum(c).alias(c) for c in ("g", "h", "n")))
-    merged = added.groupBy("class", "node", "feature").agg(F.collect_list(F.struct("bin", "g", "h", "n")).alias("sums"))  # a struct for each bin
-    split = F.max_by(F.struct("feature", "bin", "gain", "gl", "hl", "nl", "g", "h", "n"), F.struct("gain", -F.col("feature")))
-    return merged.mapInArrow(best, BEST).groupBy("class", "node").agg(split.alias("s")).select("class", "node", "s.*").collect()
+            for c, node, parts in zip(b["class"].to_pylist(), b["node"].to_pylist(), b["sums"], strict=True):
+                f = chosen[c]
+                g, h, n = sum(np.frombuffer(x.as_buffer(), float) for x in parts.values).reshape(3, len(f), p.bins)
+                at, gain = best_bins(g, h, n, p)
+                i = int(gain.argmax())  # of equal gains the first feature's
+                left = [float(x[i, : at[i] + 1].sum()) for x in (g, h, n)]
+                yield pa.RecordBatch.from_pylist([dict(zip(_BEST.names, (c, node, int(f[i]), int(at[i]), float(gain[i]), *left, *(float(x[i].sum()) for x in (g, h, n))), strict=True))], schema=_BEST)
+
+    merged = rows.mapInArrow(sums, SUMS).groupBy("class", "node").agg(F.collect_list("sums").alias("sums"))  # one of each task
+    return merged.mapInArrow(best, BEST).collect()
 
 
 def grow(rows: DataFrame, newest: list[list[Growing]], number: int, classes: int, n_features: int, p: Boosting) -> list[Growing]:

@@ -110,3 +110,15 @@ def test_saved_attributed_and_odd_inputs(spark, tmp_path):
     assert np.allclose([[total.get((i, c), 0.0) + base[c] for c in range(3)] for i in range(len(y))], m)
     one = boosting.fit(df.filter("y = 0"), None, Boosting(rounds=1))
     assert one.classes == 1 and set(r["pred"] for r in one.transform(df).collect()) == {0.0}
+
+
+def test_rows_of_one_partition_are_dealt_and_sums_are_arrays(spark):
+    """Small rows come in one partition, yet every level visits them all; a node's sums are one row a task, not one a bin."""
+    r = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i % 3, r.normal(size=4).tolist()) for i in range(400)], "y int, features array<double>").coalesce(1)
+    p = Boosting(depth=2, bins=8)
+    ready = boosting.binned(rows, boosting.cut_points(rows, p), 3)
+    assert ready.select(F.spark_partition_id()).distinct().count() >= 4
+    assert boosting.SUMS.split()[-1] == "binary"
+    best = boosting.level(ready, [], [boosting.Growing() for _ in range(3)], [[0]] * 3, 0, 4, p)
+    assert sorted((b["class"], b["node"]) for b in best) == [(0, 0), (1, 0), (2, 0)]
