@@ -116,4 +116,4 @@ def find(records: DataFrame, scope: list[str], skew: float = SKEW, least: int =
     fine = starts(near.withColumn("l", F.explode(F.sequence(F.col("l"), F.least(F.col("l") + (least - 1), F.col("n"))))))
     settled = _collected(_answers(starts(asked.drop("x", "f")), fine, keys, skew), scope)
     settled = settled.withColumn("sure", F.filter(F.sequence(F.lit(least), F.col("n") - least), lambda p: _different(_ids("starts", p), _ids("ends", F.col("n") - p)))).filter(F.size("sure") > 0)
-    return proven.unionByName(told(settled, x, _ids("starts", x), _ids("ends", F.col("n") - x)))
+    return stored(proven.unionByName(told(settled, x, _ids("starts", x), _ids("ends", F.col("n") - x))), "chimeras-found")

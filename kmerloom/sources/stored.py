@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +19,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffled bytes that Spark aims at for a task: rows of digests and shared places take some forty times that in memory.
+ADVISED = "8m"
+
+
+@contextmanager
+def small_tasks(spark: SparkSession):
+    """Adaptive execution joins small partitions up to ADVISED only; the session's setting comes back."""
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ADVISED)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table, written and read back: a lost executor costs a scan, not what came before."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_tasks(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["stored_in"] = path
     return out

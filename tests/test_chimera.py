@@ -120,3 +120,19 @@ def test_entry_point(spark, tmp_path):
     stay, summary = pipeline.clean_folder(spark, str(tmp_path / "in"), c=Cleaning(min_len=10, max_len=200, chimeras="denovo"))
     assert sorted(x["header"] for x in stay.collect()) == ["a;size=4", "b;size=3"]
     assert [(x["dropped_chimeras"], x["final"]) for x in summary.collect()] == [(1, 2)]
+
+
+def test_tasks_stay_small(spark):
+    """Digests of shared starts compress so well that a task of Spark's advised size would take gigabytes; the setting comes back."""
+    from kmerloom.sources import stored
+
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    with stored.small_tasks(spark):
+        assert spark.conf.get(setting) == stored.ADVISED == "8m"
+    assert spark.conf.get(setting) == before
+    r = random.Random(5)
+    rows = [("g", i, 1, "".join(r.choices("ACGU", k=70))) for i in range(30)]
+    df = spark.createDataFrame(rows, "genus string, seq_idx long, size long, sequence string")
+    assert "stored_in" in chimera.find(df, ["genus"]).__dict__  # all of it runs with that setting
+    assert spark.conf.get(setting) == before
