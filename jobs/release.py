@@ -44,7 +44,7 @@ def with_counts(rows: DataFrame, s: Settings) -> DataFrame:
 def build(spark: SparkSession, source: str, target: str, s: Settings = Settings()) -> None:  # noqa: B008
     """The job. Each folder is made from the one before, read back, so that no plan holds the whole of it."""
     # stored first: cleaning reads the records several times, and their expressions may be costly
-    records(reader(spark, s).load(source), s.columns).write.mode("overwrite").parquet(f"{target}/records")
+    records(reader(spark, s).load(source), s.columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/records")
     rows = spark.read.schema(AUDIT.rpartition(",")[0]).parquet(f"{target}/records")
     n, ids = rows.agg(F.count("*"), F.count("seq_idx")).first()
     log.info("read %s: %d records", source, n)
@@ -52,13 +52,14 @@ def build(spark: SparkSession, source: str, target: str, s: Settings = Settings(
         raise ValueError(f"{source}: {n - ids} records have no id")
     if twice := [r[0] for r in rows.groupBy("seq_idx").count().filter("count > 1").limit(5).collect()]:
         raise ValueError(f"{source}: ids of several records: {sorted(twice)}")
-    clean.stages(rows, s.cleaning).hint("rebalance", "drop_reason").write.mode("overwrite").partitionBy("drop_reason").parquet(f"{target}/audit")
+    # written by the tasks that join the reasons, each a file for each of the few reasons: another shuffle would move all sequences again
+    clean.stages(rows, s.cleaning).write.mode("overwrite").option("compression", "zstd").partitionBy("drop_reason").parquet(f"{target}/audit")
     audit = spark.read.schema(AUDIT).parquet(f"{target}/audit")
     for r in audit.groupBy("drop_reason").count().orderBy("drop_reason").collect():  # as many as there are rules
         log.info("wrote %s/audit: %d records %s", target, r["count"], r["drop_reason"])
     passed = audit.filter("drop_reason = 'pass'")
-    dealt = passed.join(split.group_split(passed, p=s.splitting), "accession")
-    out = with_counts(dealt, s).select("seq_idx", "accession", F.length("sequence").cast("long").alias("sequence_length"), "kmers", "split", "genus")
+    counted = with_counts(passed, s).select("seq_idx", "accession", F.length("sequence").cast("long").alias("sequence_length"), "kmers", "genus")  # before the join, which shuffles
+    out = counted.join(split.group_split(passed, p=s.splitting), "accession").select("seq_idx", "accession", "sequence_length", "kmers", "split", "genus")
     # a genus with very many records is written by several tasks, small ones share a task
     out.hint("rebalance", "split", "genus").sortWithinPartitions("split", "genus", "seq_idx").write.mode("overwrite").partitionBy("split", "genus").parquet(f"{target}/training")
     training = spark.read.schema(TRAINING).parquet(f"{target}/training")

@@ -7,7 +7,7 @@ import subprocess
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Cleaning
@@ -48,7 +48,12 @@ def _first(records: DataFrame, strand: str) -> DataFrame:
     if strand == "both":
         key = F.least(key, sequences.reverse_complement(key))
     scope = _scope(records)
-    return records.groupBy(*scope, F.xxhash64(key).alias("__h"), key.alias("__k")).agg(F.min("seq_idx").alias("seq_idx")).select(*scope, "seq_idx")
+    return records.groupBy(*scope, _letters(key)).agg(F.min("seq_idx").alias("seq_idx")).select(*scope, "seq_idx")
+
+
+def _letters(key: Column) -> Column:
+    """Stands for a sequence where equal ones are looked for, so that sequences aren't shuffled: SHA-256."""
+    return F.unhex(F.sha2(key, 256)).alias("__k")
 
 
 def nested(records: DataFrame, strand: str = "both") -> DataFrame:
@@ -95,9 +100,9 @@ def vsearch(records: DataFrame) -> tuple[DataFrame, str]:
 def with_size(staged: DataFrame, stage: str = "nonnested") -> DataFrame:
     """The records of a stage with size, the sum of their header's sizes and those of their dropped copies."""
     scope, key = _scope(staged), F.upper("sequence")
-    copies = staged.filter(F.col("drop_reason").isin("pass", "duplicate", "nested")).groupBy(*scope, F.xxhash64(key).alias("__h"), key.alias("__k")).agg(F.sum(chimera.abundance(F.col("header"))).alias("size"))
+    copies = staged.filter(F.col("drop_reason").isin("pass", "duplicate", "nested")).groupBy(*scope, _letters(key)).agg(F.sum(chimera.abundance(F.col("header"))).alias("size"))
     stay = in_stage(staged, stage)
-    return stay.withColumn("__h", F.xxhash64(key)).withColumn("__k", key).join(copies, [*scope, "__h", "__k"]).select(*stay.columns, "size")
+    return stay.withColumn("__k", _letters(key)).join(copies, [*scope, "__k"]).select(*stay.columns, "size")
 
 
 ChimeraFilter = Callable[[DataFrame], tuple[DataFrame, str]]
@@ -120,7 +125,8 @@ def stages(records: DataFrame, c: Cleaning = Cleaning()) -> DataFrame:  # noqa:
     keys = [*_scope(records), "seq_idx"]
     passed = judged.filter("drop_reason = 'pass'")
     first = _first(passed, c.dedup)
-    inside = nested(passed.join(first, keys, "left_semi"), c.strand)
+    # copies may stay among what contains: they are in their first copy, and a duplicate whatever else; forward containment isn't the same of a reverse complement
+    inside = nested(passed.join(first, keys, "left_semi") if (c.dedup, c.strand) == ("both", "forward") else passed, c.strand)
     on = judged.join(first.withColumn("__first", F.lit(True)), keys, "left").join(inside.withColumn("__nested", F.lit(True)), keys, "left")
     reason = F.when(F.col("drop_reason") != "pass", F.col("drop_reason")).when(F.col("__first").isNull(), "duplicate").when(F.col("__nested"), "nested").otherwise("pass")
     return on.select(*records.columns, reason.alias("drop_reason"))

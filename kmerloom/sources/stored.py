@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The table, written and read back: a lost executor costs a scan, not what came before."""
     path = shared_folder(df.sparkSession, name)
     with small_tasks(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["stored_in"] = path
     return out

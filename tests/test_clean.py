@@ -141,3 +141,49 @@ def test_chimera_plug_in(spark):
     stay, summary = clean.clean(df, SMALL, lambda r: (r.filter("header = 'keep'"), "ran"))
     assert [r["seq_idx"] for r in stay.collect()] == [0]
     assert sorted((r["genus"], r["dropped_chimeras"], r["final"], r["chimera_status"]) for r in summary.collect()) == [("g", 1, 1, "ran"), ("h", 1, 0, "ran")]
+
+
+def test_nested_of_all_lengths(spark):
+    """Parts about the lengths at which levels begin, of texts that repeat themselves, in copies, on both strands; null and other letters."""
+    r = random.Random(12)
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGU", "UGCA"))
+    whole = ["".join(r.choices("ACGU", k=1100)), "ACG" * 200, "A" * 300, "".join(r.choices("ACGU", k=40)) * 9]
+    rows = [("g", w) for w in whole]
+    for w in whole:
+        for n in (1, 2, 15, 16, 31, 32, 33, 63, 64, 65, 127, 128, 129, 255, 256, 257, 300):
+            a = r.randint(0, len(w) - n)
+            rows.append(("gh"[n % 2], r.choice([w[a : a + n], rc(w[a : a + n]), w[a : a + n // 2] + "N" + w[a + n // 2 + 1 : a + n]])))
+    rows += r.sample(rows, 20)
+    df = records(spark, [(g, "", s) for g, s in rows])
+    assert sorted(x["seq_idx"] for x in clean.drop_nested(df).collect()) == naive(rows)
+    assert sorted(x["seq_idx"] for x in clean.drop_nested(df, "forward").collect()) == naive(rows, False)
+
+
+def test_containment_stores_few_rows_a_sequence(spark, monkeypatch):
+    """What is stored and shuffled is in proportion to sequences, not to letters."""
+    from kmerloom.operators import containment
+
+    r = random.Random(13)
+    rows = [("g", "".join(r.choices("ACGU", k=3000))) for _ in range(60)]
+    rows += [("g", s[700:1500]) for _, s in rows[:20]]
+    told, store = {}, containment.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        told[name] = told.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(containment, "stored", counted)
+    df = records(spark, [(g, "", s) for g, s in rows])
+    assert sorted(x["seq_idx"] for x in clean.drop_nested(df).collect()) == naive(rows)
+    assert sum(told.values()) < 30 * len(rows), told
+
+
+def test_stages_keep_copies_apart(spark):
+    """Copies are duplicates even where something contains them; what only a dropped reverse complement contains stays with strand forward."""
+    a = "ACGUUGCAACGGUUACGUCA"
+    rc = a[::-1].translate(str.maketrans("ACGU", "UGCA"))
+    rows = [("g", "", s) for s in (rc, a, a, a[3:15], a[3:15].lower())]
+    for c, want in ((("forward", "forward"), "pass pass duplicate nested duplicate"), (("forward", "both"), "pass nested duplicate nested duplicate"), (("both", "forward"), "pass duplicate duplicate pass duplicate"), (("both", "both"), "pass duplicate duplicate nested duplicate")):
+        got = clean.stages(records(spark, rows), Cleaning(min_len=4, max_len=40, dedup=c[0], strand=c[1])).orderBy("seq_idx").collect()
+        assert [x["drop_reason"] for x in got] == want.split(), c
