@@ -3,7 +3,7 @@
 Attraction goes along a graph of nearest neighbours: edges joined with positions, summed by row. Repulsion between all rows
 is interpolated: tasks spread their rows' charges over the nodes of a grid, the driver convolves the grid with the kernels,
 and tasks read the forces off at their rows' positions. The grid has at most (3 * SIDE)^2 nodes, however many rows there
-are. Positions are stored after every move.
+are. Positions are stored after every move; edges are stored once, in buckets of one end, so that a move shuffles them by the other only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import discard, stored
+from ..sources.stored import dealt, discard, stored
 
 #: Neighbours that attract a row, moves of all rows, boxes along a side of the grid (of width 1/2, if they are enough), landmarks that place another row.
 NEAR, MOVES, SIDE, PLACING = 30, 15, 200, 3
@@ -158,7 +158,7 @@ def repulsion(where: DataFrame, n: int) -> Repulsion:
 def moved(start: DataFrame, affinities: DataFrame, n: int, moves: int = MOVES) -> DataFrame:
     """id, u, v after so many moves down the gradient, with half of the last move added. start: id, u, v."""
     rate = n / 3
-    ties = stored(affinities, "tsne-ties")
+    ties = dealt(affinities, "tsne-ties", "other")
     where = stored(start.select("id", "u", "v", F.lit(0.0).alias("du"), F.lit(0.0).alias("dv")), "tsne")
     for _ in range(moves):
         given = where.sparkSession.sparkContext.broadcast(repulsion(where, n))

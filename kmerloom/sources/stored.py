@@ -45,8 +45,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like stored(), in buckets of a key: a join by it shuffles the other side only, however often. A table of the session by a name of its own, which discard() drops."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    table, n = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    out.__dict__.update(stored_in=path, table=table)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of stored() that nothing reads any more."""
+    """Deletes tables of stored() and dealt() that nothing reads any more."""
     for t in tables:
+        if table := t.__dict__.get("table"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.__dict__["stored_in"])
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

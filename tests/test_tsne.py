@@ -62,3 +62,29 @@ def test_few_rows_and_copies(spark):
     same = embed.tsne(rows, landmarks=5, moves=2, rounds=20)
     assert same.count() == 12 and np.isfinite(np.array(same.select("TSNE1", "TSNE2").collect())).all()
     assert embed.tsne(rows.withColumn("u", F.lit("x")), rounds=20).columns == ["sequence_id", "TSNE1", "TSNE2"]
+
+
+def test_edges_in_buckets_are_not_shuffled_again(spark):
+    """Of the two sides of a join by the buckets' key only the other one is; the table goes with its files."""
+    from kmerloom.sources.stored import dealt, discard
+
+    before, setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(setting, "-1")
+    try:
+        ties = dealt(spark.range(2000).selectExpr("id", "id % 50 as other", "1.0D as p"), "some-ties", "other")
+        both = ties.join(spark.range(50).withColumnRenamed("id", "other"), "other")
+        assert both.count() == 2000 and both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert ties.join(spark.range(50).withColumnRenamed("id", "other"), "other").agg(F.sum("id")).first()[0] == 1999000
+        discard(ties)
+        assert not spark.catalog.tableExists(ties.__dict__["table"])
+        made = []
+        real, tsne.dealt = tsne.dealt, lambda *a: made.append(real(*a)) or made[-1]
+        try:
+            start = places(spark, np.random.default_rng(1).normal(size=(40, 2)))
+            p = spark.createDataFrame([(i, (i + s) % 40, 1 / 80) for i in range(40) for s in (1, 39)], "id long, other long, p double")
+            assert tsne.moved(start, p, 40, 2).count() == 40
+        finally:
+            tsne.dealt = real
+        assert len(made) == 1 and not spark.catalog.tableExists(made[0].__dict__["table"])
+    finally:
+        spark.conf.set(setting, before)
