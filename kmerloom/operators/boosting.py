@@ -170,6 +170,8 @@ def level(rows: DataFrame, newest: list[list[Growing]], trees: list[Growing], li
             bins, y = bins[use], y[use]
             g, h = gradients(margins(m[use], newest, bins), y)
             for c, (tree, of, f) in enumerate(zip(trees, live, chosen, strict=True)):
+                if not of:  # this class's tree is done while others still grow
+                    continue
                 slot = np.full(len(tree.feature), -1)
                 slot[of] = np.arange(len(of))
                 at = slot[nodes_of(tree, bins)]

@@ -122,3 +122,13 @@ def test_rows_of_one_partition_are_dealt_and_sums_are_arrays(spark):
     assert boosting.SUMS.split()[-1] == "binary"
     best = boosting.level(ready, [], [boosting.Growing() for _ in range(3)], [[0]] * 3, 0, 4, p)
     assert sorted((b["class"], b["node"]) for b in best) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_a_class_whose_tree_is_done_before_the_others(spark):
+    """No row is of class 1, so that its trees have no split and no live node from the second level on."""
+    r = np.random.default_rng(8)
+    y = r.integers(0, 2, 200) * 2
+    x = r.normal(size=(200, 3)) + y[:, None] * [1.0, 0.0, 0.0] + np.square(r.normal(size=(200, 3)))
+    rows = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(y, x, strict=True)], "y int, features array<double>")
+    fitted = boosting.fit(rows, None, Boosting(rounds=2, depth=3, bins=16))
+    assert all(max(trees[0].left) > 1 and trees[1].left == [-1] and max(trees[2].left) > 1 for trees in fitted.trees)
