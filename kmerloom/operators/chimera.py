@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.stored import stored
+from ..sources.stored import measured_joins, stored
 
 SKEW, LEAST = 2.0, 32
 
@@ -82,6 +82,11 @@ def find(records: DataFrame, scope: list[str], skew: float = SKEW, least: int =
     """
     if skew <= 1 or least < 1:
         raise ValueError("skew has to be over 1 and least at least 1")
+    with measured_joins(records.sparkSession):
+        return _found(records, scope, skew, least)
+
+
+def _found(records: DataFrame, scope: list[str], skew: float, least: int) -> DataFrame:
     base = records.select(*scope, F.col("seq_idx").alias("id"), F.col("size").cast("bigint").alias("size"), F.upper("sequence").alias("s")).filter(F.length("s") >= least).withColumn("n", F.length("s"))
     turned = base.withColumn("t", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("text")), F.struct(F.lit(1).alias("side"), F.reverse("s").alias("text"))))).select(*scope, "id", "size", "n", F.col("t.side").alias("side"), F.col("t.text").alias("text"))
     keys = [*scope, "side", "l", "h1", "h2"]
@@ -109,8 +114,8 @@ def find(records: DataFrame, scope: list[str], skew: float = SKEW, least: int =
 
     x = F.col("sure")[0]
     proven = told(judged.filter(F.size("sure") > 0), x, _ids("starts", after(x)), _ids("ends", after(F.col("n") - x)))
-    open_ = judged.filter(F.size("sure") == 0).select(*scope, "id", F.explode("places").alias("x"))
-    asked = open_.join(turned, [*scope, "id"]).withColumn("l", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("n") - F.col("x"))).withColumn("f", floor(F.col("l")))
+    open_ = judged.filter(F.size("sure") == 0).select(*scope, "id", "places")
+    asked = turned.join(open_, [*scope, "id"]).withColumn("x", F.explode("places")).drop("places").withColumn("l", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("n") - F.col("x"))).withColumn("f", floor(F.col("l")))
     wanted = asked.select(*scope, "side", F.col("f").alias("l"), *_digests(F.substring(F.col("text"), F.lit(1), F.col("f")))).distinct()
     near = grid.select("*", *_digests(F.substring(F.col("text"), F.lit(1), F.col("l")))).join(wanted, keys, "left_semi").drop("h1", "h2")
     fine = starts(near.withColumn("l", F.explode(F.sequence(F.col("l"), F.least(F.col("l") + (least - 1), F.col("n"))))))

@@ -35,6 +35,27 @@ def small_tasks(spark: SparkSession):
         spark.conf.set(setting, before)
 
 
+@contextmanager
+def measured_joins(spark: SparkSession):
+    """Joins send a side to all tasks only where adaptive execution has measured it; the session's settings come back.
+
+    Before that Spark goes by the size of files, and what is made from stored ones may be a hundred times as large: the
+    driver would hold it whole.
+    """
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(planned), spark.conf.get(measured, None)
+    spark.conf.set(measured, before[1] or before[0])
+    spark.conf.set(planned, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(planned, before[0])
+        if before[1] is None:
+            spark.conf.unset(measured)
+        else:
+            spark.conf.set(measured, before[1])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table, written and read back: a lost executor costs a scan, not what came before."""
     path = shared_folder(df.sparkSession, name)

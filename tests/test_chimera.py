@@ -136,3 +136,31 @@ def test_tasks_stay_small(spark):
     df = spark.createDataFrame(rows, "genus string, seq_idx long, size long, sequence string")
     assert "stored_in" in chimera.find(df, ["genus"]).__dict__  # all of it runs with that setting
     assert spark.conf.get(setting) == before
+
+
+def plans_of(monkeypatch, module):
+    """What Spark plans for each table that a module stores, before it has measured anything."""
+    plans, store = [], module.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(module, "stored", seen)
+    return plans
+
+
+def test_files_sizes_send_nothing_to_the_tasks(spark, monkeypatch):
+    """Stored tables are a hundredth of what is made from them: a join that went by their size filled the driver. Settings come back."""
+    from kmerloom.sources import stored
+
+    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in settings]
+    r = random.Random(11)
+    a, b = ("".join(r.choices("ACGU", k=90)) for _ in range(2))
+    plans = plans_of(monkeypatch, chimera)
+    assert [x["seq_idx"] for x in found(spark, [("g", 4, a), ("g", 4, b), ("g", 1, a[:41] + b[41:]), ("g", 1, a[10:70])], 2.0, 32)] == [2]
+    assert len(plans) == 2 and not [p for p in plans if "BroadcastExchange" in p]
+    with stored.measured_joins(spark), stored.measured_joins(spark):
+        assert spark.conf.get(settings[0]) == "-1" and spark.conf.get(settings[1]) == before[0]
+    assert [spark.conf.get(k, None) for k in settings] == before
