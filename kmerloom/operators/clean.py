@@ -62,7 +62,7 @@ def nested(records: DataFrame, strand: str = "both") -> DataFrame:
 
 
 def drop_nested(records: DataFrame, strand: str = "both") -> DataFrame:
-    return records.join(nested(records, strand), [*_scope(records), "seq_idx"], "left_anti")
+    return records.join(nested(records, strand).hint("merge"), [*_scope(records), "seq_idx"], "left_anti")
 
 
 def without_tool(records: DataFrame) -> tuple[DataFrame, str]:
@@ -75,7 +75,7 @@ def without_chimeras(skew: float = chimera.SKEW, least: int = chimera.LEAST) ->
 
     def remove(records: DataFrame) -> tuple[DataFrame, str]:
         scope = _scope(records)
-        return records.join(chimera.find(records, scope, skew, least), [*scope, "seq_idx"], "left_anti"), "ran"
+        return records.join(chimera.find(records, scope, skew, least).hint("merge"), [*scope, "seq_idx"], "left_anti"), "ran"  # by files' size it would be sent to the tasks
 
     return remove
 
@@ -127,7 +127,7 @@ def stages(records: DataFrame, c: Cleaning = Cleaning()) -> DataFrame:  # noqa:
     first = _first(passed, c.dedup)
     # copies may stay among what contains: they are in their first copy, and a duplicate whatever else; forward containment isn't the same of a reverse complement
     inside = nested(passed.join(first, keys, "left_semi") if (c.dedup, c.strand) == ("both", "forward") else passed, c.strand)
-    on = judged.join(first.withColumn("__first", F.lit(True)), keys, "left").join(inside.withColumn("__nested", F.lit(True)), keys, "left")
+    on = judged.join(first.withColumn("__first", F.lit(True)), keys, "left").join(inside.withColumn("__nested", F.lit(True)).hint("merge"), keys, "left")
     reason = F.when(F.col("drop_reason") != "pass", F.col("drop_reason")).when(F.col("__first").isNull(), "duplicate").when(F.col("__nested"), "nested").otherwise("pass")
     return on.select(*records.columns, reason.alias("drop_reason"))
 

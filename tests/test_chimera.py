@@ -164,3 +164,17 @@ def test_files_sizes_send_nothing_to_the_tasks(spark, monkeypatch):
     with stored.measured_joins(spark), stored.measured_joins(spark):
         assert spark.conf.get(settings[0]) == "-1" and spark.conf.get(settings[1]) == before[0]
     assert [spark.conf.get(k, None) for k in settings] == before
+
+
+def test_the_cleaning_sends_nothing_by_files_sizes(spark, monkeypatch):
+    """The same of the step before, and of what its results are joined with."""
+    from kmerloom.operators import containment
+
+    r = random.Random(12)
+    a, b = ("".join(r.choices("ACGU", k=90)) for _ in range(2))
+    df = spark.createDataFrame([("g", i, s) for i, s in enumerate((a, b, a[10:70]))], "genus string, seq_idx long, sequence string")
+    plans = plans_of(monkeypatch, containment)
+    assert [x["seq_idx"] for x in containment.contained(df, ["genus"]).collect()] == [2]
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastExchange" in p]
+    for joined in (clean.drop_nested(df), clean.without_chimeras()(df.withColumn("size", F.lit(1)))[0]):
+        assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
