@@ -17,15 +17,10 @@ the same table gives the same rows.
 
 from __future__ import annotations
 
-from itertools import product
-
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.functions import sequences
-from kmerloom.operators import clean, split
+from kmerloom.operators import clean, kmers, split
 
 from .records import Settings, log, main, reader, records
 
@@ -33,14 +28,6 @@ AUDIT = "seq_idx long, genus string, accession string, header string, sequence s
 TRAINING = "seq_idx long, accession string, sequence_length long, kmers array<int>, split string, genus string"
 
 
-def with_counts(rows: DataFrame, s: Settings) -> DataFrame:
-    """kmers: counts in the vocabulary's order, made within each row; all zero where a sequence has none."""
-    words = ["".join(w) for w in product(s.kmers.alphabet, repeat=s.kmers.k)]
-    count = CountVectorizerModel.from_vocabulary(words, inputCol="__w", outputCol="__c")
-    cut = rows.withColumn("__w", sequences.kmers(F.col("sequence"), s.kmers.k, s.kmers.alphabet))
-    return count.transform(cut).withColumn("kmers", vector_to_array("__c").cast("array<int>")).drop("__w", "__c")
-
-
 def build(spark: SparkSession, source: str, target: str, s: Settings = Settings()) -> None:  # noqa: B008
     """The job. Each folder is made from the one before, read back, so that no plan holds the whole of it."""
     # stored first: cleaning reads the records several times, and their expressions may be costly
@@ -58,7 +45,7 @@ def build(spark: SparkSession, source: str, target: str, s: Settings = Settings(
     for r in audit.groupBy("drop_reason").count().orderBy("drop_reason").collect():  # as many as there are rules
         log.info("wrote %s/audit: %d records %s", target, r["count"], r["drop_reason"])
     passed = audit.filter("drop_reason = 'pass'")
-    counted = with_counts(passed, s).select("seq_idx", "accession", F.length("sequence").cast("long").alias("sequence_length"), "kmers", "genus")  # before the join, which shuffles
+    counted = passed.select("seq_idx", "accession", F.length("sequence").cast("long").alias("sequence_length"), kmers.counted(F.col("sequence"), s.kmers).alias("kmers"), "genus")  # before the join, which shuffles
     out = counted.join(split.group_split(passed, p=s.splitting), "accession").select("seq_idx", "accession", "sequence_length", "kmers", "split", "genus")
     # a genus with very many records is written by several tasks, small ones share a task
     out.hint("rebalance", "split", "genus").sortWithinPartitions("split", "genus", "seq_idx").write.mode("overwrite").partitionBy("split", "genus").parquet(f"{target}/training")

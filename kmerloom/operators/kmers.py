@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Kmers
@@ -49,6 +51,28 @@ def matrix(seqs: DataFrame, key: str = "sequence_id", p: Kmers = Kmers(), *extra
     return shares.select(key, *extra, vector_to_array("__f").alias("features"))
 
 
+def counted(sequence: Column, p: Kmers = Kmers()) -> Column:  # noqa: B008
+    """An array of counts in the vocabulary's order; all zero where there is no valid window. Letters are numbers, windows never texts of their own."""
+    size, letters = len(p.alphabet), np.full(0x110000, -1, np.int16)
+    letters[[ord(c) for c in p.alphabet]] = np.arange(size)
+
+    def count(text: str) -> np.ndarray:
+        code = letters[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        n = max(0, len(code) - p.k + 1)
+        index, valid = np.zeros(n, np.int64), np.full(n, True)
+        for i in range(p.k):
+            letter = code[i : i + n]
+            index = index * size + letter
+            valid &= letter >= 0
+        return np.bincount(index[valid], minlength=size**p.k).astype(np.int32)
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([count(x) for x in s], dtype=object)
+
+    return run(F.coalesce(F.upper(sequence), F.lit("")))
+
+
 def vectors(features: DataFrame, column: str = "features") -> DataFrame:
     """The array as an ML vector."""
     return features.withColumn(column, array_to_vector(F.col(column)))

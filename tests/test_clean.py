@@ -187,3 +187,29 @@ def test_stages_keep_copies_apart(spark):
     for c, want in ((("forward", "forward"), "pass pass duplicate nested duplicate"), (("forward", "both"), "pass nested duplicate nested duplicate"), (("both", "forward"), "pass duplicate duplicate pass duplicate"), (("both", "both"), "pass duplicate duplicate nested duplicate")):
         got = clean.stages(records(spark, rows), Cleaning(min_len=4, max_len=40, dedup=c[0], strand=c[1])).orderBy("seq_idx").collect()
         assert [x["drop_reason"] for x in got] == want.split(), c
+
+
+def test_levels_share_their_hashes(monkeypatch):
+    """Minimizers of all levels are those of each span by itself, and a level's windows are made from those of the level before."""
+    import numpy as np
+    import pyarrow as pa
+
+    from kmerloom.operators import containment
+
+    r = random.Random(15)
+    texts = ["".join(r.choices("ACGU", k=n)) for n in (5, 700, 0, 64, 63, 300, 1100)] + ["ACG" * 90, "A" * 200]
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["s", "scope"])
+    made, longer = [], containment._longer
+    monkeypatch.setattr(containment, "_longer", lambda h, have, size: made.append(size // have) or longer(h, have, size))
+    levels = list(range(11))
+    got = {level: list(zip(row.tolist(), pos.tolist(), strict=True)) for level, row, pos, _ in containment._postings(b, "s", levels)}
+    assert np.prod(made) == 256  # eight times twice as long for all levels, not 46 times
+    for level in levels:
+        span = 1 << level
+        size, want = min(span, max(containment.SEED, span >> 2)), set()
+        for i, s in enumerate(texts):
+            h = longer(containment._LETTERS[np.frombuffer(s.encode(), np.uint8)], 1, size) | np.uint64(1)
+            for at in range(len(s) - span + 1):
+                own = h[at : at + span - size + 1]
+                want |= {(i, at + int(k)) for k in np.flatnonzero(own == own.min())}
+        assert got.get(level, []) == sorted(want)

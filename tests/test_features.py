@@ -189,3 +189,18 @@ def test_scaling_and_pca(spark):
     assert (embed.perplexity(30, 10), embed.perplexity(30, 1000), embed.neighbours(15, 4)) == (5, 30, 3)
     y = embed.tsne(s, key="vec_id", rounds=30)
     assert y.count() == 40 and np.isfinite(np.array(y.select("TSNE1", "TSNE2").collect())).all()
+
+
+def test_counts_as_arrays(spark):
+    """The same as counting windows one by one, of any letters; nothing is made of a window's text."""
+    rows = [("a", "ACGUNacguAA" * 3), ("b", ""), ("c", None), ("d", "AC"), ("e", "ACÄGU😀ACG\nACG"), ("f", "ACGU" * 500)]
+    df = seqs(spark, rows)
+    for p in (Kmers(3), Kmers(1), Kmers(2, "UÄA")):
+        got = df.select("sequence_id", kmers.counted(F.col("sequence"), p).alias("n"))
+        assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("regexp_extract_all", "UDF("))
+        found = {r["sequence_id"]: r["n"] for r in got.collect()}
+        words = [r["kmer"] for r in kmers.vocabulary(spark, p).orderBy("kmer_idx").collect()]
+        for name, s in rows:
+            s = (s or "").upper()
+            cut = [s[i : i + p.k] for i in range(len(s) - p.k + 1)]
+            assert found[name] == [cut.count(w) for w in words]
